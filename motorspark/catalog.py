@@ -271,7 +271,8 @@ def prediction_sample(spark, sf_dir):
 
 @query
 def sample_n(spark, sf_dir):
-    return sampling.sample_n(views.listings(spark, sf_dir).where("VIN is not null").select("id", "VIN").distinct(), 200, 42, "VIN")
+    vins = views.listings(spark, sf_dir).where("VIN is not null").select("VIN").distinct()
+    return sampling.sample_n(vins, 200, 42, "VIN")
 
 
 @query
