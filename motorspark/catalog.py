@@ -366,7 +366,7 @@ def exposure_ranks(spark, sf_dir):
 @query
 def tied_ranks(spark, sf_dir):
     counts = reports.value_counts(views.listings(spark, sf_dir), "VIN", "listings")
-    return trend.average_rank(counts, "listings", "rank_by_listings")
+    return trend.average_rank(counts, "VIN", "listings", "rank_by_listings")
 
 
 @query

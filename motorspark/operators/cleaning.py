@@ -18,7 +18,10 @@ def first_broken(rules: Sequence[Rule]) -> Column:
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    return df.where(first_broken(rules).isNull())
+    """Rows that keep every rule, as plain filters that reach the scan where a column is stored."""
+    for _, valid in rules:
+        df = df.where(valid)
+    return df
 
 
 def keep_first(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
+MIN_SALTS, MAX_SALTS = 32, 512
 
 
 class JoinContractError(ValueError):
@@ -30,33 +30,38 @@ def assert_same_count(before: DataFrame, after: DataFrame) -> None:
         raise JoinContractError(f"{rows[0]} rows before the join, {rows[1]} after")
 
 
-def enrich(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    fill: dict | None = None,
-    spread: str | None = None,
-    salts: int = SALTS,
+def salt_count(df: DataFrame) -> int:
+    """Parts a hot key is cut into: a quarter of the shuffle partitions, within bounds."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(MIN_SALTS, partitions // 4), MAX_SALTS)
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread: str, how: str = "left", salts: int | None = None
 ) -> DataFrame:
-    """Left join to a right side with one row per key; ``fill`` gives values for missing matches.
+    """Join of a left side with hot keys to a right side with one row per key.
 
-    ``spread`` names a left column, such as the id, that spreads rows of one key over ``salts``
-    tasks; every right row is then offered once per salt.
+    The ``spread`` column of the left side, such as its id, cuts every key into ``salts`` parts;
+    each right row is offered once per part. No task holds all rows of a key.
     """
-    keys = list(on)
-    if spread is not None:
-        left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-        keys = ["_salt", *keys]
-    joined = left.join(right, keys, "left").drop("_salt")
+    parts = salts or salt_count(left)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(parts)))
+    offered = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+    return salted.join(offered, ["_salt", *on], how).drop("_salt")
+
+
+def enrich(
+    left: DataFrame, right: DataFrame, on: Sequence[str], fill: dict | None = None, spread: str | None = None
+) -> DataFrame:
+    """Left join to a right side with one row per key; ``fill`` gives values for missing matches."""
+    joined = left.join(right, list(on), "left") if spread is None else spread_join(left, right, on, spread)
     return joined.fillna(fill) if fill else joined
 
 
 def match_ids(fact: DataFrame, keys: DataFrame, on: Sequence[str], id_column: str) -> DataFrame:
     """Ids of fact rows whose key is in the key set."""
-    distinct_keys = keys.select(*on).distinct()
     reached = fact.select(id_column, *on).distinct()
-    return reached.join(distinct_keys, list(on), "left_semi").select(id_column).distinct()
+    return spread_join(reached, keys.select(*on).distinct(), on, id_column, "left_semi").select(id_column).distinct()
 
 
 def count_distinct_by(df: DataFrame, keys: Sequence[str], id_column: str, alias: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.text import announcing_sentence, first_token, model_years, name_tokens
 from motorspark.functions.values import holds
-from motorspark.operators.joins import count_distinct_by, enrich, match_ids
+from motorspark.operators.joins import count_distinct_by, enrich, match_ids, spread_join
 from motorspark.operators.reports import value_counts
 
 
@@ -81,9 +81,8 @@ def link_table(recalls: DataFrame, vocabulary: DataFrame, id_column: str, group:
         model_years(F.col("sentence")).alias("_years"),
         F.explode(F.array_distinct(name_tokens(F.col("sentence")))).alias("model_token"),
     ).where(F.size("_years") > 0)
-    return tokens.join(vocabulary, "model_token", "left_semi").select(
-        id_column, group, F.explode("_years").alias("year"), "model_token"
-    )
+    known = spread_join(tokens, vocabulary, ["model_token"], id_column, "left_semi")
+    return known.select(id_column, group, F.explode("_years").alias("year"), "model_token")
 
 
 def recall_counts(years: DataFrame, links: DataFrame, id_column: str, group: str) -> tuple[DataFrame, DataFrame]:

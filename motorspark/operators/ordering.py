@@ -2,7 +2,7 @@
 
 A group may hold a third of all rows, so its values are never gathered in one place. Rows are
 first reduced to distinct (group, value) pairs with counts, then the value axis is cut at
-``buckets`` global quantile points, and only bucket totals, a bounded number per group, are
+global quantile points, and only bucket totals, a bounded number per group, are
 summed in order. One window partition holds one bucket of one group.
 """
 
@@ -13,13 +13,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from motorspark.operators.joins import spread_join
+
+MIN_BUCKETS, MAX_BUCKETS = 64, 1024
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Value buckets: as many as shuffle partitions, within bounds."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(MIN_BUCKETS, partitions), MAX_BUCKETS)
 
 
 def _bucketed_counts(
-    df: DataFrame, keys: Sequence[str], value: str, buckets: int, weight: str | None = None
+    df: DataFrame, keys: Sequence[str], value: str, buckets: int | None, weight: str | None = None
 ) -> DataFrame:
     """Distinct (keys, value) with their row count, or weight, ``n`` and value bucket."""
+    buckets = buckets or bucket_count(df)
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("n"))
     points = [F.lit(i / buckets) for i in range(1, buckets)]
@@ -52,7 +61,7 @@ def _bucket_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS, weight: str | None = None
+    df: DataFrame, keys: Sequence[str], value: str, buckets: int | None = None, weight: str | None = None
 ) -> DataFrame:
     """One row per distinct (keys, value): ``n`` rows, ``before`` rows with a smaller value, ``total``.
 
@@ -87,7 +96,7 @@ def quantiles(
     value: str,
     points: dict[str, float],
     count: str | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation per group; ``points`` maps output name to quantile."""
     counts = _bucketed_counts(df, keys, value, buckets)
@@ -124,9 +133,12 @@ def quantiles(
 QUARTILES = {"q25": 0.25, "median_price": 0.5, "q75": 0.75}
 
 
-def average_rank(df: DataFrame, value: str, alias: str, descending: bool = True) -> DataFrame:
-    """Rank of each row by ``value``; ties share the mean rank, cut to a whole number."""
+def average_rank(df: DataFrame, key: str, value: str, alias: str, descending: bool = True) -> DataFrame:
+    """Rank of each row by ``value``; ties share the mean rank, cut to a whole number.
+
+    ``key`` identifies the rows and spreads those of one value over the tasks of the join.
+    """
     ranks = value_ranks(df.select(value), [], value)
     first = F.col("total") - F.col("before") - F.col("n") if descending else F.col("before")
     ranks = ranks.select(value, F.floor(first + (F.col("n") + 1) / 2).cast("long").alias(alias))
-    return df.join(ranks, value, "left")
+    return spread_join(df, ranks, [value], key)

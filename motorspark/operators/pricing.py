@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.values import band, bin_number, cut, holds
-from motorspark.operators.ordering import QUARTILES, quantiles, value_ranks
+from motorspark.operators.joins import spread_join
+from motorspark.operators.ordering import QUARTILES, quantiles
 from motorspark.operators.reports import top_k
 
 
@@ -72,7 +73,7 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5
     spread = (F.col("q75") - F.col("q25")) * reach
     inside = F.col(value).between(F.col("q25") - spread, F.col("q75") + spread)
     return (
-        distinct_values.join(boxes, list(keys))
+        spread_join(distinct_values, boxes, keys, value, "inner")
         .where(inside)
         .groupBy(*keys, "listings", *QUARTILES)
         .agg(F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))
@@ -182,8 +183,3 @@ def model_coverage(features: DataFrame) -> DataFrame:
         F.count("model").alias("models"),
     )
 
-
-__all__ = [
-    "band", "box_stats", "brand_era_boxes", "brand_summary", "dense_axis", "depreciation", "depreciation_by",
-    "histogram", "model_coverage", "price_features", "segment_curves", "stacked_summary", "value_ranks",
-]

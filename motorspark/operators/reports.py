@@ -110,16 +110,10 @@ def _long(df: DataFrame, columns: Sequence[str], name: str, value: str, dtype: s
     return df.select(*keep, F.inline(F.array(*pairs)))
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct values per column, missing not counted; columns share one shuffle of pairs."""
-    pairs = _long(df, columns, "column", "value", "string").where("value is not null").distinct()
-    return pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
-
-
 def schema_profile(df: DataFrame) -> DataFrame:
-    """Type, filled rows and distinct values of every column."""
+    """Type, rows and filled rows of every column."""
     totals = df.agg(F.count(F.lit(1)).alias("_all"), *[F.count(c).alias(f"_f{i}") for i, c in enumerate(df.columns)])
-    shape = _lines(
+    return _lines(
         totals,
         [
             [
@@ -131,7 +125,6 @@ def schema_profile(df: DataFrame) -> DataFrame:
             for i, field in enumerate(df.schema.fields)
         ],
     )
-    return shape.join(distinct_counts(df, df.columns), "column", "left").fillna(0, subset=["n_unique"])
 
 
 def category_profile(df: DataFrame, columns: Sequence[str] | None = None, max_values: int = 15) -> DataFrame:

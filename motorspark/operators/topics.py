@@ -9,11 +9,13 @@ that matrix are added up by a distributed aggregation.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,9 @@ from motorspark.functions.text import letters_only
 from motorspark.functions.values import longest_argument
 from motorspark.session import checkpointed
 
+# Tasks get this module's helpers with the function, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def default_stop_words() -> list[str]:
     """Spark's English stop words, letters only, and the boilerplate of recall summaries."""
@@ -108,20 +113,42 @@ class Factors:
     errors: list[float] = field(default_factory=list)
 
 
-def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, term number and weight of every entry in a batch."""
-    sizes = batch["term_ids"].str.len().to_numpy()
-    rows = np.repeat(np.arange(len(batch)), sizes)
-    if sizes.sum() == 0:
-        return rows, np.zeros(0, dtype=np.int64), np.zeros(0)
-    return rows, np.concatenate(batch["term_ids"].to_numpy()), np.concatenate(batch["weights"].to_numpy())
+MAX_ENTRIES = 500_000
 
 
-def _times(rows: np.ndarray, ids: np.ndarray, weights: np.ndarray, count: int, right: np.ndarray) -> np.ndarray:
-    """Sparse rows times a terms-by-k matrix."""
-    out = np.zeros((count, right.shape[1]))
-    np.add.at(out, rows, weights[:, None] * right[ids])
-    return out
+@dataclass(frozen=True)
+class Block:
+    """Some rows of a batch: where each row's entries start, term numbers and weights."""
+
+    starts: np.ndarray
+    ids: np.ndarray
+    weights: np.ndarray
+
+    def times(self, right: np.ndarray) -> np.ndarray:
+        """Rows times a terms-by-k matrix."""
+        return np.add.reduceat(self.weights[:, None] * right[self.ids], self.starts, axis=0)
+
+    def transposed_times(self, own: np.ndarray, width: int) -> np.ndarray:
+        """Transposed rows times a rows-by-k matrix."""
+        spread = np.repeat(own, np.diff(np.append(self.starts, len(self.ids))), axis=0) * self.weights[:, None]
+        return np.stack([np.bincount(self.ids, spread[:, j], minlength=width) for j in range(own.shape[1])], axis=1)
+
+
+def blocks(batch: pd.DataFrame) -> Iterator[tuple[slice, Block]]:
+    """The batch in blocks of whole rows with a bounded number of entries; no row is empty."""
+    sizes = batch["term_ids"].str.len().to_numpy()
+    ends = np.cumsum(sizes)
+    low = 0
+    while low < len(batch):
+        taken = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, taken + MAX_ENTRIES, side="right")))
+        rows = slice(low, high)
+        yield rows, Block(
+            np.append(0, np.cumsum(sizes[rows])[:-1]),
+            np.concatenate(batch["term_ids"].to_numpy()[rows]),
+            np.concatenate(batch["weights"].to_numpy()[rows]),
+        )
+        low = high
 
 
 def topic_weights(cross: np.ndarray, square: np.ndarray, sweeps: int = 60) -> np.ndarray:
@@ -138,8 +165,8 @@ def topic_weights(cross: np.ndarray, square: np.ndarray, sweeps: int = 60) -> np
 _CELLS = "kind string, a int, b int, value double"
 
 
-def _sum_pass(rows: DataFrame, work: Callable[[pd.DataFrame, dict], None]) -> dict[str, list[tuple[int, int, float]]]:
-    """Runs ``work`` over all batches; each task adds into matrices, Spark adds the tasks up.
+def _sum_pass(rows: DataFrame, work: Callable[[Block, dict], None]) -> dict[str, list[tuple[int, int, float]]]:
+    """Runs ``work`` over all rows; each task adds into matrices, Spark adds the tasks up.
 
     Every matrix has topics-by-terms cells at most, so the driver receives a bounded result.
     """
@@ -147,7 +174,8 @@ def _sum_pass(rows: DataFrame, work: Callable[[pd.DataFrame, dict], None]) -> di
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            work(batch, sums)
+            for _, block in blocks(batch):
+                work(block, sums)
         for kind, matrix in sums.items():
             a, b = np.nonzero(matrix)
             yield pd.DataFrame({"kind": kind, "a": a.astype("int32"), "b": b.astype("int32"), "value": matrix[a, b]})
@@ -166,34 +194,30 @@ def _matrix(cells: list[tuple[int, int, float]] | None, shape: tuple[int, int])
     return out
 
 
-def _leading_terms(rows: DataFrame, width: int, k: int, seed: int, passes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors and values of the document-term matrix, by subspace iteration."""
+def _leading_terms(rows: DataFrame, width: int, k: int, seed: int, passes: int) -> np.ndarray:
+    """Right singular vectors of the document-term matrix, by subspace iteration."""
     size = min(width, k + 8)
     basis, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))
     for _ in range(passes):
 
-        def work(batch: pd.DataFrame, sums: dict, basis: np.ndarray = basis) -> None:
-            at, ids, weights = _flat(batch)
-            left = _times(at, ids, weights, len(batch), basis)
+        def work(block: Block, sums: dict, basis: np.ndarray = basis) -> None:
             part = sums.setdefault("y", np.zeros(basis.shape))
-            np.add.at(part, ids, weights[:, None] * left[at])
+            part += block.transposed_times(block.times(basis), width)
 
         image = _matrix(_sum_pass(rows, work).get("y"), basis.shape)
         small = basis.T @ image
         values, vectors = np.linalg.eigh((small + small.T) / 2)
-        lead = np.argsort(values)[::-1][:k]
-        right, scale = basis @ vectors[:, lead], np.sqrt(np.maximum(values[lead], 0))
+        right = basis @ vectors[:, np.argsort(values)[::-1][:k]]
         basis, _ = np.linalg.qr(image)
-    return right, scale
+    return right
 
 
 def _start(rows: DataFrame, width: int, k: int, seed: int, passes: int) -> np.ndarray:
     """Topic matrix from the larger signed part of each singular pair."""
-    right, scale = _leading_terms(rows, width, k, seed, passes)
+    right = _leading_terms(rows, width, k, seed, passes)
 
-    def work(batch: pd.DataFrame, sums: dict) -> None:
-        at, ids, weights = _flat(batch)
-        left = _times(at, ids, weights, len(batch), right)
+    def work(block: Block, sums: dict) -> None:
+        left = block.times(right)
         part = sums.setdefault("u", np.zeros((2, right.shape[1])))
         part[0] += (np.maximum(left, 0) ** 2).sum(0)
         part[1] += (np.minimum(left, 0) ** 2).sum(0)
@@ -206,9 +230,9 @@ def _start(rows: DataFrame, width: int, k: int, seed: int, passes: int) -> np.nd
         size, part = max(sides, key=lambda s: s[0])
         length = np.linalg.norm(part)
         if length > 0:
-            # size is the product of both norms times the singular value
+            # The norm of the unscaled left side already holds the singular value.
             topics[j] = np.sqrt(size) * part / length
-    return np.maximum(topics, 0)
+    return topics
 
 
 def factorise(
@@ -221,16 +245,15 @@ def factorise(
     for _ in range(max_iter):
         square = topics @ topics.T
 
-        def work(batch: pd.DataFrame, sums: dict, topics: np.ndarray = topics, square: np.ndarray = square) -> None:
-            at, ids, weights = _flat(batch)
-            cross = _times(at, ids, weights, len(batch), topics.T)
+        def work(block: Block, sums: dict, topics: np.ndarray = topics, square: np.ndarray = square) -> None:
+            cross = block.times(topics.T)
             own = topic_weights(cross, square)
             ww = sums.setdefault("ww", np.zeros(square.shape))
             ww += own.T @ own
             wx = sums.setdefault("wx", np.zeros((width, topics.shape[0])))
-            np.add.at(wx, ids, weights[:, None] * own[at])
+            wx += block.transposed_times(own, width)
             fit = sums.setdefault("fit", np.zeros((1, 1)))
-            fit += (weights**2).sum() - 2 * (own * cross).sum()
+            fit += (block.weights**2).sum() - 2 * (own * cross).sum()
 
         sums = _sum_pass(rows, work)
         ww = _matrix(sums.get("ww"), square.shape)
@@ -267,9 +290,9 @@ def assign_topics(rows: DataFrame, factors: Factors, id_column: str) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at, ids, weights = _flat(batch)
-            own = topic_weights(_times(at, ids, weights, len(batch), topics.T), square)
-            yield pd.DataFrame({id_column: batch[id_column], "topic_weights": list(own)})
+            for part, block in blocks(batch):
+                own = topic_weights(block.times(topics.T), square)
+                yield pd.DataFrame({id_column: batch[id_column].iloc[part], "topic_weights": list(own)})
 
     weighted = rows.select(id_column, "term_ids", "weights").mapInPandas(run, f"{id_column} {id_type}, topic_weights array<double>")
     largest = F.array_max("topic_weights")

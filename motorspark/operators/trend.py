@@ -82,7 +82,7 @@ def exposure(df: DataFrame, key: str, units: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("recalls"), F.coalesce(F.sum(units), F.lit(0.0)).alias("units_affected"))
         .withColumn("units_per_recall", F.col("units_affected") / F.col("recalls"))
     )
-    return average_rank(totals, "units_affected", "rank_by_units")
+    return average_rank(totals, key, "units_affected", "rank_by_units")
 
 
 def first_by_rank(df: DataFrame, order: Sequence[Column], k: int, alias: str) -> DataFrame:
