@@ -73,7 +73,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 def share_bucket(value: Column, largest: Column, steps: Sequence[float] = (0.65, 0.45, 0.25, 0.12)) -> Column:
     """Colour step of a heat-map cell: the highest step whose share of the maximum is reached."""
-    share = value / largest
+    share = F.try_divide(value, largest)
     level = F.lit(0)
     for i, step in enumerate(reversed(steps), start=1):
         level = F.when(share >= step, i).otherwise(level)

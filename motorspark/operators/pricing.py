@@ -129,7 +129,9 @@ def histogram(
     values = df.select((F.log10(column) if log else column.cast("double")).alias("_v"))
     if low is None or high is None:
         ends = values.agg(F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()
-        values = values.withColumns({"_lo": ends["lo"], "_hi": ends["hi"]})
+        # A single value gets a bin range of width one around it.
+        half = F.when(ends["lo"] == ends["hi"], 0.5).otherwise(0.0)
+        values = values.withColumns({"_lo": ends["lo"] - half, "_hi": ends["hi"] + half})
     else:
         limits = [F.log10(F.lit(float(x))) if log else F.lit(float(x)) for x in (low, high)]
         values = values.withColumns({"_lo": limits[0], "_hi": limits[1]})

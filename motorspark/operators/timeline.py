@@ -354,7 +354,7 @@ def trip_features(
     )
     kept = trips.where((F.col("duration_min") >= min_minutes) & (F.col("distance_km") >= min_km))
     events = F.col("harsh_brakes") + F.col("harsh_accels")
-    return kept.withColumn("harsh_events_per_100km", events / F.col("distance_km") * 100)
+    return kept.withColumn("harsh_events_per_100km", F.try_divide(events, F.col("distance_km")) * 100)
 
 
 def rounded(df: DataFrame, digits: int = 2) -> DataFrame:
@@ -373,7 +373,7 @@ def device_summary(trips: DataFrame, key: str, min_km: float = 100) -> DataFrame
             F.sum(F.col("harsh_brakes") + F.col("harsh_accels")).alias("harsh_events"),
             F.avg("idle_share").alias("idle_share"),
         )
-        .withColumn("harsh_events_per_100km", F.col("harsh_events") / F.col("distance_km") * 100)
+        .withColumn("harsh_events_per_100km", F.try_divide("harsh_events", "distance_km") * 100)
         .where(F.col("distance_km") >= min_km)
     )
 
