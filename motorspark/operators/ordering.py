@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorspark.operators.joins import spread_join
@@ -31,11 +31,11 @@ def _bucketed_counts(
     buckets = buckets or bucket_count(df)
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("n"))
-    points = [F.lit(i / buckets) for i in range(1, buckets)]
+    points = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
     # The row total keeps this aggregate on the same exchange as the main branch.
     edges = counts.agg(
         F.struct(
-            F.percentile_approx(value, F.array(*points), F.lit(20 * buckets)).alias("edges"),
+            F.expr(f"percentile_approx(`{value}`, array({points}), {20 * buckets})").alias("edges"),
             F.sum("n").alias("rows"),
         )
     ).scalar()
@@ -102,32 +102,26 @@ def quantiles(
     counts = _bucketed_counts(df, keys, value, buckets)
     offsets = _bucket_offsets(counts, keys)
 
-    def place(q: float, side) -> Column:
-        return side(F.lit(q) * (F.col("total") - 1)).cast("long")
+    def place(q: float, side: str) -> str:
+        return f"{side}({q!r}D * (total - 1))"
 
-    def covers(place_: Column, start: Column, end: Column) -> Column:
-        return (start <= place_) & (place_ < end)
-
-    needed = F.lit(False)
-    for q in points.values():
-        for side in (F.floor, F.ceil):
-            needed = needed | covers(place(q, side), F.col("_offset"), F.col("_upto"))
+    sides = [(name, q, tag, side) for name, q in points.items() for tag, side in (("lo", "floor"), ("hi", "ceil"))]
+    needed = " OR ".join(f"(_offset <= {place(q, side)} AND {place(q, side)} < _upto)" for _, q, _, side in sides)
     ranked = _with_positions(counts, offsets.where(needed), keys, value)
-
-    picks = []
-    for name, q in points.items():
-        for tag, side in (("lo", F.floor), ("hi", F.ceil)):
-            hit = covers(place(q, side), F.col("before"), F.col("before") + F.col("n"))
-            picks.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"_{tag}_{name}"))
+    picks = [
+        F.expr(
+            f"max(CASE WHEN before <= {place(q, side)} AND {place(q, side)} < before + n "
+            f"THEN CAST(`{value}` AS DOUBLE) END) AS `_{tag}_{name}`"
+        )
+        for name, q, tag, side in sides
+    ]
     picked = ranked.groupBy(*keys).agg(F.max("total").alias("total"), *picks)
-    out = [F.col(k) for k in keys]
-    if count:
-        out.append(F.col("total").alias(count))
-    for name, q in points.items():
-        at = F.lit(q) * (F.col("total") - 1)
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return picked.select(*out)
+    between = [
+        f"`_lo_{name}` + (`_hi_{name}` - `_lo_{name}`) * ({q!r}D * (total - 1) - {place(q, 'floor')}) AS `{name}`"
+        for name, q in points.items()
+    ]
+    counted = [f"total AS `{count}`"] if count else []
+    return picked.selectExpr(*[f"`{k}`" for k in keys], *counted, *between)
 
 
 QUARTILES = {"q25": 0.25, "median_price": 0.5, "q75": 0.75}

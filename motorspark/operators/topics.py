@@ -322,8 +322,8 @@ def topic_examples(assigned: DataFrame, documents: DataFrame, id_column: str, te
         assigned.where("topic >= 0")
         .join(digests, id_column)
         .groupBy("topic", "_digest")
-        .agg(F.max(F.struct("topic_weight", (-F.col(id_column)).alias("_minus"))).alias("_best"))
-        .select("topic", F.col("_best.topic_weight").alias("topic_weight"), (-F.col("_best._minus")).alias(id_column))
+        .agg(F.min(F.struct((-F.col("topic_weight")).alias("minus"), F.col(id_column).alias("id"))).alias("_best"))
+        .select("topic", (-F.col("_best.minus")).alias("topic_weight"), F.col("_best.id").alias(id_column))
     )
     window = Window.partitionBy("topic").orderBy(F.col("topic_weight").desc(), id_column)
     kept = best.withColumn("place", F.row_number().over(window)).where(F.col("place") <= n)

@@ -43,7 +43,7 @@ def as_lists(df: DataFrame, order: str, columns: Sequence[str], key: str | None
 
 def document(spark: SparkSession, parts: dict[str, DataFrame]) -> DataFrame:
     """One row with one field per part, each a list of that summary's lines."""
-    row = spark.range(1)
+    row = spark.range(0, 1, 1, numPartitions=1)
     fields = []
     for name, part in parts.items():
         fields.append(records(part).scalar().alias(name))
