@@ -14,12 +14,9 @@ from motorspark import catalog  # noqa: E402
 from motorspark.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "rule_audit", "clean_listings", "missingness", "category_profile", "price_by_segment", "segment_curves",
-    "brand_summary", "box_by_brand_era", "depreciation_by_brand", "histogram_log", "ols_importance",
-    "display_names", "spikes", "structural_breaks", "exposure_ranks", "severity_levels", "link_table",
-    "recall_features", "coverage_listings", "coverage_recalls", "tfidf_weights", "nmf_topics", "spec_compare",
-    "spec_decisions", "drive_before_after", "sessions", "quality_report", "frozen_runs", "rolling_features",
-    "trip_features", "device_summary",
+    "rule_audit", "clean_listings", "segment_curves", "brand_summary", "depreciation_by_brand", "ols_importance",
+    "spikes", "exposure_ranks", "severity_levels", "recall_features", "coverage_recalls", "tfidf_weights", "nmf_topics",
+    "spec_decisions", "sessions", "quality_report", "rolling_features", "trip_features",
 ]
 
 

@@ -363,6 +363,13 @@ def exposure_ranks(spark, sf_dir):
     return trend.first_by_rank(table, [F.col("recalls").desc(), F.col("manufacturer")], 50, "rank_by_recalls")
 
 
+@query
+def exposure_by_units(spark, sf_dir):
+    top = trend.exposure(views.recalls(spark, sf_dir), "manufacturer", "units").orderBy(F.col("recalls").desc(), "manufacturer").limit(10)
+    shown = top.select(short_name(F.col("manufacturer")).alias("label"), "recalls", "units_affected")
+    return trend.first_by_rank(shown, [F.col("units_affected").desc(), F.col("label")], 10, "place")
+
+
 @query
 def tied_ranks(spark, sf_dir):
     counts = reports.value_counts(views.listings(spark, sf_dir), "VIN", "listings")
@@ -435,8 +442,9 @@ def link_parts(spark: SparkSession, sf_dir: str):
     recalls = views.recalls(spark, sf_dir)
     keys, vocabulary = recall_plan.listing_keys(views.listings(spark, sf_dir))
     vehicle = recalls.where(F.col("recall_type") == "Vehicle")
-    years = linking.recall_years(vehicle, "recall_id", "mfr_group", "description").select("recall_id", "mfr_group", "year")
-    links = linking.link_table(vehicle, vocabulary, "recall_id", "mfr_group", "description")
+    parsed = linking.parsed_recalls(vehicle, "recall_id", "mfr_group", "description")
+    years = linking.recall_years(parsed, "recall_id", "mfr_group")
+    links = linking.link_table(parsed, vocabulary, "recall_id", "mfr_group")
     return recalls, keys, vocabulary, years, links
 
 
@@ -528,21 +536,19 @@ def spot_check(spark, sf_dir):
 # --- texts ---
 
 
-def english_terms(spark: SparkSession, sf_dir: str):
-    docs = views.documents(spark, sf_dir).select("doc_id", "text")
-    counts = topics.term_counts(docs, "doc_id", "text", STOP_WORDS)
-    return docs, counts, topics.vocabulary(counts, topics.document_count(docs, "text"), 20, 500)
-
-
 @query
 def tfidf_top_terms(spark, sf_dir):
-    return english_terms(spark, sf_dir)[2]
+    docs = views.documents(spark, sf_dir).select("doc_id", "text")
+    counts = topics.term_counts(docs, "doc_id", "text", STOP_WORDS)
+    return topics.vocabulary(counts, topics.document_count(docs, "text"), 20, 500)
 
 
 @query
 def tfidf_weights(spark, sf_dir):
-    _, counts, vocab = english_terms(spark, sf_dir)
-    return topics.long_weights(topics.tfidf(counts, checkpointed(vocab), "doc_id"), "doc_id")
+    docs = views.documents(spark, sf_dir).select("doc_id", "text")
+    counts = checkpointed(topics.term_counts(docs, "doc_id", "text", STOP_WORDS))
+    vocab = topics.vocabulary(counts, topics.document_count(docs, "text"), 20, 500)
+    return topics.long_weights(topics.tfidf(counts, vocab, "doc_id"), "doc_id")
 
 
 def topic_parts(spark: SparkSession, sf_dir: str):

@@ -107,14 +107,28 @@ def conflict_samples(df: DataFrame, fields: Sequence[Field], key: str, n: int =
 
 
 def before_after(df: DataFrame, before: str, after: str, value: str, unknown: str = "unknown") -> DataFrame:
-    """Rows and median per category under two labellings; categories of either side are shown."""
+    """Rows and median per category under two labellings; categories of either side are shown.
 
-    def side(column: str, tag: str) -> DataFrame:
-        labelled = df.select(F.coalesce(column, F.lit(unknown)).alias("drive"), value)
-        return quantiles(labelled, ["drive"], value, {f"median_price_{tag}": 0.5}, f"listings_{tag}")
+    Every row is offered once per labelling, so both sides come from one aggregation.
+    """
+    sides = F.array(
+        *[
+            F.struct(F.lit(tag).alias("side"), F.coalesce(column, F.lit(unknown)).alias("drive"))
+            for tag, column in (("before", before), ("after", after))
+        ]
+    )
+    both = df.select(F.col(value).alias("_v"), F.inline(sides))
+    summary = quantiles(both, ["side", "drive"], "_v", {"median": 0.5}, "n")
 
-    joined = side(before, "before").join(side(after, "after"), "drive", "full_outer")
-    return joined.fillna(0, subset=["listings_before"])
+    def of(side: str, column: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(column)))
+
+    return summary.groupBy("drive").agg(
+        F.coalesce(of("before", "n"), F.lit(0)).alias("listings_before"),
+        of("before", "median").alias("median_price_before"),
+        of("after", "n").alias("listings_after"),
+        of("after", "median").alias("median_price_after"),
+    )
 
 
 def spec_rules(current_year: Column | int, fuels: Sequence[str] = ("gas", "diesel", "hybrid"), electric: str = "electric") -> dict[str, Column]:

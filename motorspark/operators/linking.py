@@ -12,6 +12,7 @@ from motorspark.functions.text import announcing_sentence, first_token, model_ye
 from motorspark.functions.values import holds
 from motorspark.operators.joins import count_distinct_by, enrich, match_ids, spread_join
 from motorspark.operators.reports import value_counts
+from motorspark.session import checkpointed
 
 
 def valid_vocabulary(
@@ -58,31 +59,39 @@ def listing_keys(df: DataFrame, model: str, keep: Sequence[str]) -> DataFrame:
     return df.groupBy(*keep, first_token(F.col(model)).alias("first_word")).agg(F.count(F.lit(1)).alias("listings"))
 
 
-def recall_years(recalls: DataFrame, id_column: str, group: str, description: str) -> DataFrame:
-    """One row per (recall, model year) of the announcing sentence; keeps the sentence."""
-    return (
-        recalls.where(F.col(group).isNotNull())
-        .withColumn("sentence", announcing_sentence(F.col(description)))
-        .select(id_column, group, "sentence", F.explode(model_years(F.col("sentence"))).alias("year"))
+def parsed_recalls(recalls: DataFrame, id_column: str, group: str, description: str) -> DataFrame:
+    """Model years and tokens of each announcing sentence; written out, as texts are read once.
+
+    Recalls without a manufacturer group cannot meet a listing and are left out.
+    """
+    sentences = recalls.where(F.col(group).isNotNull()).select(
+        id_column, group, announcing_sentence(F.col(description)).alias("_sentence")
     )
+    return checkpointed(
+        sentences.select(
+            id_column,
+            group,
+            model_years(F.col("_sentence")).alias("years"),
+            F.array_distinct(name_tokens(F.col("_sentence"))).alias("tokens"),
+        )
+    )
+
+
+def recall_years(parsed: DataFrame, id_column: str, group: str) -> DataFrame:
+    """One row per (recall, model year)."""
+    return parsed.select(id_column, group, F.explode("years").alias("year"))
 
 
-def link_table(recalls: DataFrame, vocabulary: DataFrame, id_column: str, group: str, description: str) -> DataFrame:
+def link_table(parsed: DataFrame, vocabulary: DataFrame, id_column: str, group: str) -> DataFrame:
     """One row per (recall, model year, model token).
 
     Tokens meet the vocabulary before years are expanded, so the join sees each token once.
     """
-    sentences = recalls.where(F.col(group).isNotNull()).withColumn(
-        "sentence", announcing_sentence(F.col(description))
+    tokens = parsed.where(F.size("years") > 0).select(
+        id_column, group, "years", F.explode("tokens").alias("model_token")
     )
-    tokens = sentences.select(
-        id_column,
-        group,
-        model_years(F.col("sentence")).alias("_years"),
-        F.explode(F.array_distinct(name_tokens(F.col("sentence")))).alias("model_token"),
-    ).where(F.size("_years") > 0)
     known = spread_join(tokens, vocabulary, ["model_token"], id_column, "left_semi")
-    return known.select(id_column, group, F.explode("_years").alias("year"), "model_token")
+    return known.select(id_column, group, F.explode("years").alias("year"), "model_token")
 
 
 def recall_counts(years: DataFrame, links: DataFrame, id_column: str, group: str) -> tuple[DataFrame, DataFrame]:

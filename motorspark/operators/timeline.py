@@ -227,16 +227,17 @@ def _border_runs(runs: DataFrame, series: Series) -> DataFrame:
     ``runs`` has one line per (series, chunk, run) with ``size``; the per-chunk table made of it
     is written out before its several uses.
     """
-    moving = {f"_{side}_moving": c for side, c in (("first", F.sum(F.when(F.col("_run") == 0, F.col("moving")))), ("last", F.max_by("moving", "_run")))}
     ends = checkpointed(
         runs.groupBy(series.key, CHUNK).agg(
             F.max("_run").alias("_last"),
             F.coalesce(F.sum(F.when(F.col("_run") == 0, F.col("size"))), F.lit(0)).alias("_first_size"),
             F.max_by("size", "_run").alias("_last_size"),
+            F.sum("rows").alias("_rows"),
             F.sum("long_moving").alias("_long_moving"),
             F.sum(F.when(F.col("_run") == 0, F.col("long_moving"))).alias("_first_long"),
             F.max_by("long_moving", "_run").alias("_last_long"),
-            *[c.alias(name) for name, c in moving.items()],
+            F.sum(F.when(F.col("_run") == 0, F.col("moving"))).alias("_first_moving"),
+            F.max_by("moving", "_run").alias("_last_moving"),
         )
     )
     before = series.chunks.rowsBetween(Window.unboundedPreceding, -1)
@@ -265,7 +266,7 @@ def _run_sizes(with_runs: DataFrame, series: Series, min_run: int, speed: str) -
     moving = F.count_if(F.col("_same") & (F.col(speed) > 0))
     return (
         with_runs.groupBy(series.key, CHUNK, "_run")
-        .agg(F.count_if("_same").alias("size"), moving.alias("moving"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.count_if("_same").alias("size"), moving.alias("moving"))
         .withColumn("long_moving", F.when(F.col("size") >= min_run, F.col("moving")).otherwise(0))
     )
 
@@ -296,13 +297,15 @@ def frozen_runs(signals: DataFrame, series: Series, min_run: int = 10, speed: st
 
 
 def frozen_count(signals: DataFrame, series: Series, min_run: int = 10, speed: str = "speed") -> DataFrame:
-    """One line: rows of ``frozen_runs`` that are frozen, from run sizes alone."""
+    """One line: rows of ``frozen_runs`` that are frozen, and all rows, from run sizes alone."""
     borders = _border_runs(_run_sizes(_with_runs(signals, series), series, min_run, speed), series)
     one_run = F.col("_last") == 0
     inner = F.col("_long_moving") - F.coalesce("_first_long", F.lit(0)) - F.when(one_run, 0).otherwise(F.col("_last_long"))
     first = F.when(F.col("_first_whole") >= min_run, F.coalesce("_first_moving", F.lit(0))).otherwise(0)
     last = F.when(~one_run & (F.col("_last_whole") >= min_run), F.col("_last_moving")).otherwise(0)
-    return borders.agg(F.coalesce(F.sum(inner + first + last), F.lit(0)).alias("rows"))
+    return borders.agg(
+        F.coalesce(F.sum(inner + first + last), F.lit(0)).alias("rows"), F.sum("_rows").alias("of_rows")
+    )
 
 
 def trip_features(

@@ -54,10 +54,14 @@ def terms(tokens: Column, pairs: bool = True) -> Column:
 
 
 def term_counts(df: DataFrame, id_column: str, text: str, stop_words: Sequence[str], pairs: bool = True) -> DataFrame:
-    """(document, term, tf) over whole texts."""
+    """(document, term, tf) over whole texts.
+
+    The outer explode keeps Spark from adding a size filter that would tokenise every text twice.
+    """
     tokens = df.select(id_column, words(F.col(text), stop_words).alias("_words"))
     return (
-        tokens.select(id_column, F.explode(terms(F.col("_words"), pairs)).alias("term"))
+        tokens.select(id_column, F.explode_outer(terms(F.col("_words"), pairs)).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy(id_column, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

@@ -360,6 +360,13 @@ ranked AS (SELECT *, floor(rank() OVER (ORDER BY units_affected DESC) + (count(*
   row_number() OVER (ORDER BY recalls DESC, manufacturer)::INT AS rank_by_recalls FROM totals)
 SELECT manufacturer, recalls, round(units_affected, 6) AS units_affected, round(units_affected / recalls, 6) AS units_per_recall,
   rank_by_units, rank_by_recalls FROM ranked WHERE rank_by_recalls <= 50"""
+SQL["exposure_by_units"] = f"""WITH {V_RECALLS},
+top AS (SELECT manufacturer, count(*) AS recalls, coalesce(sum(units), 0.0) AS units_affected FROM v_recalls GROUP BY 1
+  ORDER BY recalls DESC, manufacturer LIMIT 10),
+shown AS (SELECT replace(regexp_replace(manufacturer, ',? (Inc\\.|LLC|North America).*$', '', 'g'), ' North America', '') AS label,
+  recalls, units_affected FROM top)
+SELECT label, recalls, round(units_affected, 6) AS units_affected,
+  row_number() OVER (ORDER BY units_affected DESC, label)::INT AS place FROM shown"""
 SQL["tied_ranks"] = f"""WITH {V_LISTINGS},
 counts AS (SELECT VIN, count(*) AS listings FROM v_listings WHERE VIN IS NOT NULL GROUP BY VIN)
 SELECT VIN, listings, floor(rank() OVER (ORDER BY listings DESC) + (count(*) OVER (PARTITION BY listings) - 1) / 2)::BIGINT AS rank_by_listings

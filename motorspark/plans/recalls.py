@@ -61,7 +61,7 @@ def topic_model(
     seed: int = 42,
 ) -> tuple[DataFrame, topics.Factors]:
     """(id, topic, topic_weight) for every document, and the fitted topics."""
-    counts = topics.term_counts(documents, id_column, text, stop_words)
+    counts = checkpointed(topics.term_counts(documents, id_column, text, stop_words))
     vocab = topics.vocabulary(counts, topics.document_count(documents, text), min_df, max_features)
     vocab = checkpointed(vocab)
     names = [r["term"] for r in vocab.select("term").orderBy("term").collect()]
@@ -123,8 +123,9 @@ def run(
     listings = clean_listings.withColumn("mfr_group", map_values(F.col("manufacturer"), fixed.BRAND_GROUPS))
     keys, vocabulary = listing_keys(listings, stop_words)
     vehicle = named.where(F.col("recall_type") == "Vehicle")
-    years = linking.recall_years(vehicle, "recall_id", "mfr_group", "description").select("recall_id", "mfr_group", "year")
-    links = linking.link_table(vehicle, vocabulary, "recall_id", "mfr_group", "description")
+    parsed = linking.parsed_recalls(vehicle, "recall_id", "mfr_group", "description")
+    years = linking.recall_years(parsed, "recall_id", "mfr_group")
+    links = linking.link_table(parsed, vocabulary, "recall_id", "mfr_group")
     by_year, by_model = (checkpointed(t) for t in linking.recall_counts(years, links, "recall_id", "mfr_group"))
     with_words = linking.with_model_token(
         listings.withColumn("first_word", linking.first_token(F.col("model"))), "first_word", vocabulary, spread="id"

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motorspark.sources.readers import on_all_cores
+
 LISTINGS = {
     "id": "l_orderkey * 10 + l_linenumber",
     "price": "CASE WHEN l_orderkey % 13 = 0 THEN CAST(0 AS DOUBLE) ELSE l_extendedprice END",
@@ -104,4 +106,4 @@ def telematics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
     docs = _select(table(spark, sf_dir, "documents"), DOCUMENTS)
-    return docs if lang is None else docs.where(F.col("lang") == lang)
+    return on_all_cores(docs if lang is None else docs.where(F.col("lang") == lang), "doc_id")

@@ -56,9 +56,9 @@ def cars(spark):
 
 def links(recalls, spark):
     words = spark.createDataFrame([("f150",), ("escape",), ("rio",)], "model_token string")
-    vehicle = recalls.where("recall_type = 'Vehicle'")
-    years = linking.recall_years(vehicle, "recall_id", "mfr_group", "description").select("recall_id", "mfr_group", "year")
-    return years, linking.link_table(vehicle, words, "recall_id", "mfr_group", "description")
+    parsed = linking.parsed_recalls(recalls.where("recall_type = 'Vehicle'"), "recall_id", "mfr_group", "description")
+    years = linking.recall_years(parsed, "recall_id", "mfr_group")
+    return years, linking.link_table(parsed, words, "recall_id", "mfr_group")
 
 
 def test_links_come_from_the_announcing_sentence(spark, recalls):
