@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from motorspark import views
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.text import (
-    announcing_sentence, classify_regex, model_years, normalize_company, severity, short_name,
+    announcing_sentence, classify_regex, first_token, model_years, normalize_company, severity, short_name,
 )
 from motorspark.functions.values import lenient_number, share_bucket
 from motorspark.operators import (
@@ -466,13 +466,12 @@ def link_table(spark, sf_dir):
 
 @query
 def recall_features(spark, sf_dir):
-    _, _, words, years, links = link_parts(spark, sf_dir)
+    _, _, _, years, links = link_parts(spark, sf_dir)
     by_year, by_model = linking.recall_counts(years, links, "recall_id", "mfr_group")
     listings = views.listings(spark, sf_dir).select(
-        "id", "l_partkey", "mfr_group", "year", linking.first_token(F.col("model")).alias("first_word")
+        "id", "l_partkey", "mfr_group", "year", first_token(F.col("model")).alias("model_token")
     )
-    tokens = linking.with_model_token(listings, "first_word", words, spread="id")
-    rows = linking.recall_features(tokens, by_year, by_model, "mfr_group")
+    rows = linking.recall_features(listings, by_year, by_model, "mfr_group")
     return rows.select("id", "l_partkey", "mfr_group", "recalled_flag", "recall_count", "mfr_year_recall_count")
 
 

@@ -108,7 +108,10 @@ def _count_columns(df: DataFrame) -> DataFrame:
 def recall_features(
     listings: DataFrame, by_year: DataFrame, by_model: DataFrame, group: str, spread: str | None = "id"
 ) -> DataFrame:
-    """Recall counts on every listing: one row in, one row out."""
+    """Recall counts on every listing: one row in, one row out.
+
+    ``model_token`` may be the plain first word of the model: the counts hold usable words only.
+    """
     first = enrich(listings, by_model, [group, "year", "model_token"], {"recall_count": 0}, spread)
     both = enrich(first, by_year, [group, "year"], {"mfr_year_recall_count": 0}, spread)
     return _count_columns(both)

@@ -152,15 +152,22 @@ def histogram(
     )
 
 
+def top_models(df: DataFrame, k: int = 20, unknown: str = "unknown") -> DataFrame:
+    return top_k(df, "model", k, [unknown]).select("model")
+
+
 def price_features(
     df: DataFrame,
     reference_year: int = 2021,
     luxury: Sequence[str] = fixed.LUXURY_BRANDS,
     k: int = 20,
-    unknown: str = "unknown",
+    top: DataFrame | None = None,
 ) -> DataFrame:
-    """Age at listing, miles per year, brand segment and the k most listed models."""
-    top = top_k(df, "model", k, [unknown]).select(F.col("model").alias("_top"))
+    """Age at listing, miles per year, brand segment and the k most listed models.
+
+    ``top`` is the list of kept models where it is already at hand.
+    """
+    top = (top_models(df, k) if top is None else top).select(F.col("model").alias("_top"))
     age = F.greatest(F.lit(reference_year) - F.col("year"), F.lit(0))
     return (
         df.withColumn("vehicle_age", age)

@@ -118,7 +118,8 @@ def run(raw: DataFrame, out: str, plan: CleaningPlan | None = None, reference_ye
     }
     write_table(plan.clean(raw), out, "usedcars_clean")
     clean = spark.read.parquet(f"{out}/usedcars_clean")
-    features = checkpointed(pricing.price_features(clean, reference_year))
+    # Only the short model list is written out; the features are cheap columns of the clean table.
+    features = pricing.price_features(clean, reference_year, top=checkpointed(pricing.top_models(clean)))
     tables |= price_summaries(clean, features)
     fitted = price_model(features)
     effects = regression.effects(fitted.model, regression.NUMERIC_LABELS, fixed.FEATURE_GROUP_NAMES)

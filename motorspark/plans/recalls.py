@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motorspark.functions import fixed_values as fixed
-from motorspark.functions.text import classify_regex, letters_only, normalize_company, severity
+from motorspark.functions.text import classify_regex, first_token, letters_only, normalize_company, severity
 from motorspark.functions.values import map_values
 from motorspark.operators import joins, linking, reports, topics, trend
 from motorspark.session import checkpointed
@@ -127,10 +127,8 @@ def run(
     years = linking.recall_years(parsed, "recall_id", "mfr_group")
     links = linking.link_table(parsed, vocabulary, "recall_id", "mfr_group")
     by_year, by_model = (checkpointed(t) for t in linking.recall_counts(years, links, "recall_id", "mfr_group"))
-    with_words = linking.with_model_token(
-        listings.withColumn("first_word", linking.first_token(F.col("model"))), "first_word", vocabulary, spread="id"
-    )
-    features = linking.recall_features(with_words, by_year, by_model, "mfr_group")
+    worded = listings.withColumn("model_token", first_token(F.col("model")))
+    features = linking.recall_features(worded, by_year, by_model, "mfr_group")
     write_table(
         features.select("id", "mfr_group", "recalled_flag", "recall_count", "mfr_year_recall_count"), out, "usedcars_with_recalls"
     )
