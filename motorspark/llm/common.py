@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,20 @@ WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the executors' Python this package, as ``--py-files`` would, unless it is on their path already."""
+    context = spark.sparkContext
+    if ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and context.applicationId not in _shipped:
+        zipped = shutil.make_archive(os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="package-")), "motorspark"), "zip", ROOT, "motorspark")
+        context.addPyFile(zipped)  # Spark's own file server hands it out
+        _shipped.add(context.applicationId)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a folder of its own only where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motorspark.llm.common import ship
 from motorspark.llm.permutation_index import nearest
+from motorspark.llm.token_files import through_files
 from motorspark.llm.top_k import exact_top_k
 from motorspark.llm.url_filters import url_verdicts
 
@@ -16,7 +18,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,17 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = through_files(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1, spaces=False)
+    return found.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -35,6 +48,7 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_token_files": op4_token_files,
     "op10_permutation_index": op10_permutation_index,
 }
 
