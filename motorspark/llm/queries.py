@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorspark.llm.common import ship
+from motorspark.llm.packing import packed_documents
 from motorspark.llm.permutation_index import nearest
 from motorspark.llm.token_files import through_files
 from motorspark.llm.top_k import exact_top_k
@@ -41,6 +42,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packed_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2, size=1024, with_ids=False)
+    return found.select(F.col("id").alias("doc_id"), "piece", "start", F.col("n").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_token_files": op4_token_files,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_permutation_index": op10_permutation_index,
 }
 
