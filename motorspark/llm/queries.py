@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from motorspark.llm.common import ship
 from motorspark.llm.packing import packed_documents
 from motorspark.llm.permutation_index import nearest
+from motorspark.llm.repeats import without_repeats
 from motorspark.llm.token_files import through_files
 from motorspark.llm.top_k import exact_top_k
 from motorspark.llm.url_filters import url_verdicts
@@ -42,6 +43,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packed_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2, size=1024, with_ids=False)
     return found.select(F.col("id").alias("doc_id"), "piece", "start", F.col("n").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
@@ -55,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_token_files": op4_token_files,
+    "op8_repeated_passages": op8_repeated_passages,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_permutation_index": op10_permutation_index,
 }
