@@ -6,7 +6,10 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,16 @@ def ascii_lower(text: Column) -> Column:
 def row_key(id_col: str, text_col: str) -> Column:
     """128 bits for (id, text), as hex; a null id differs from every id, a null text counts as empty."""
     return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def text_parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``most`` bytes: first, number, bytes, starts, ends."""
+    column = column.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + most, side="right")) - 1)
+        own = bounds[first : last + 1]
+        yield first, last - first, data[own[0] : own[-1]], own[:-1] - own[0], own[1:] - own[0]
+        first = last

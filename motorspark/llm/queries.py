@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorspark.llm.common import ship
+from motorspark.llm.near_duplicates import near_duplicates
 from motorspark.llm.packing import packed_documents
 from motorspark.llm.permutation_index import nearest
 from motorspark.llm.repeats import without_repeats
@@ -43,6 +44,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(read(spark, sf_dir, "documents"), threshold=0.8)
+    return found.select(F.col("id").alias("doc_id"), "class_id", F.col("first").alias("is_first"))
+
+
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(read(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_token_files": op4_token_files,
+    "op5_near_duplicates": op5_near_duplicates,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_permutation_index": op10_permutation_index,
