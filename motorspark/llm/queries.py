@@ -11,6 +11,7 @@ from motorspark.llm.common import ship
 from motorspark.llm.near_duplicates import near_duplicates
 from motorspark.llm.packing import packed_documents
 from motorspark.llm.permutation_index import nearest
+from motorspark.llm.quality import quality_scores
 from motorspark.llm.repeats import without_repeats
 from motorspark.llm.token_files import through_files
 from motorspark.llm.top_k import exact_top_k
@@ -24,6 +25,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_verdicts(read(spark, sf_dir, "pages"), rules)
@@ -52,7 +57,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(read(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +70,7 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filters": op2_url_filters,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_token_files": op4_token_files,

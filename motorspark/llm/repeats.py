@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -246,7 +247,7 @@ def covered(n: int, copied: bool, local: list[tuple[int, int]], marks: list[dict
     return change.reshape(-1, 2)
 
 
-def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans, kept, sizes = [], [], []
         texts = batch.column("text")
@@ -258,18 +259,18 @@ def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append([{"from": int(a), "to": int(b)} for a, b in runs])
             edges = [0, *runs.ravel().tolist(), len(data)]
             kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if len(runs) else data)
-        columns = [c for c in batch.schema.names if c not in ("text", "copies", "local", "marks")]
+        left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-        yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=[*columns, "n_bytes", "spans", "kept"])
+        yield pa.record_batch([batch.column("row"), pa.array(sizes, pa.int64()), pa.array(spans, span), left], names=["row", "n_bytes", "spans", "kept"])
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, n_bytes, spans (ascending runs of removed bytes) and kept (the bytes left) of every row.
+def without_repeats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
+    """row (a struct of the columns ``keep``), n_bytes, spans (ascending runs of removed bytes) and kept (the bytes left).
 
     A text is its UTF-8 bytes (null: empty). A byte goes if it lies under a string of 200 bytes that starts at any other
     place of any text, the same text included; strings are judged on the input. Repeated rows are copies of each other,
-    whatever their ids, so texts of 200 bytes or more that occur twice go whole. Shorter texts stay. Columns outside
-    ``keep`` are not read. An empty table gives no rows.
+    whatever their ids, so texts of 200 bytes or more that occur twice go whole. Shorter texts stay. ``as_text`` returns kept as a string
+    without the halves of characters that a cut has left. Columns outside ``keep`` are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -285,7 +286,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
     buckets = fragments.groupBy("h").agg(F.count(F.lit(1)).alias("different"))
     fragments = written(fragments.join(buckets, "h"), "fragments")
 
-    keyed = docs.select(*keep, clean.alias("text")).withColumn("key", F.unhex(F.md5("text")))
+    keyed = docs.select(F.struct(*keep).alias("row"), clean.alias("text")).withColumn("key", F.unhex(F.md5("text")))
     # one row of each text that holds a wanted fragment
     salts = F.ceil(F.col("different") / COLLECTION).cast("int").alias("salts")
     wanted = (
@@ -317,6 +318,6 @@ def without_repeats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
         texts.join(scanned.select("row", local.alias("local")), "row").join(of_rows, "row", "left")
         .select("key", "copies", F.when(F.col("copies") == 1, F.col("local")).alias("local"), F.when(F.col("copies") == 1, F.col("marks")).alias("marks"))
     )
-    joined = keyed.join(of_texts, "key", "left").select(*keep, "text", "copies", "local", "marks")
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.mapInArrow(remove, f"{kinds}, n_bytes long, spans array<struct<from:bigint,to:bigint>>, kept binary")
+    joined = keyed.join(of_texts, "key", "left").select("row", "text", "copies", "local", "marks")
+    row, kept = joined.schema["row"].dataType.simpleString(), "string" if as_text else "binary"
+    return joined.mapInArrow(partial(remove, as_text=as_text), f"row {row}, n_bytes long, spans array<struct<from:bigint,to:bigint>>, kept {kept}")
