@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motorspark.llm.common import ship
+from motorspark.llm.licenses import license_scan
 from motorspark.llm.near_duplicates import near_duplicates
 from motorspark.llm.packing import packed_documents
 from motorspark.llm.permutation_index import nearest
@@ -54,6 +55,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", F.col("first").alias("is_first"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"),
+        F.array_max("places").cast("long").alias("last_word"), F.concat_ws(",", "labels_of_phrases").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score",
+    )
+
+
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(read(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
@@ -75,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_top_k": op3_exact_top_k,
     "op4_token_files": op4_token_files,
     "op5_near_duplicates": op5_near_duplicates,
+    "op7_license_scan": op7_license_scan,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_permutation_index": op10_permutation_index,
