@@ -12,6 +12,7 @@ from motorspark.llm.licenses import license_scan
 from motorspark.llm.near_duplicates import near_duplicates
 from motorspark.llm.packing import packed_documents
 from motorspark.llm.permutation_index import nearest
+from motorspark.llm.pieces import decoded, encoded
 from motorspark.llm.quality import quality_scores
 from motorspark.llm.repeats import without_repeats
 from motorspark.llm.token_files import through_files
@@ -55,6 +56,12 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", F.col("first").alias("is_first"))
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("piece_bpe_32k.model")
+    found = decoded(encoded(read(spark, sf_dir, "documents"), path), path)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan(read(spark, sf_dir, "documents"))
     return found.select(
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_top_k": op3_exact_top_k,
     "op4_token_files": op4_token_files,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_sentence_pieces": op6_sentence_pieces,
     "op7_license_scan": op7_license_scan,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_best_fit_packing": op9_best_fit_packing,
