@@ -129,8 +129,8 @@ class Model:
         }
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 5e-3, decay: float = 1e-4) -> Model:
-    """Adam on the logistic loss. Without rows, or with one label only, every score is the share of good rows (one half)."""
+def fit(bags: list[np.ndarray], labels: np.ndarray, steps: int = 960, batch: int = 256, rate: float = 5e-3, decay: float = 1e-4) -> Model:
+    """``steps`` steps of Adam on the logistic loss, as many for few rows as for many. Without rows, or with one label only, every score is the share of good rows (one half)."""
     random = np.random.default_rng(11)
     shapes = {"E": (FEATURES, HIDDEN), "e": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "a": (GATE,), "c": (HIDDEN,), "b": ()}
     weights = {k: random.normal(0, 1 / np.sqrt(s[0]) if s else 0, s) if k not in "eb" else np.zeros(s) for k, s in shapes.items()}
@@ -141,16 +141,16 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: int
         return Model(np.zeros(FEATURES), np.ones(FEATURES), weights)
     everything = np.concatenate(bags)
     model = Model(everything.mean(0), everything.std(0) + 0.02, weights)
-    first, second, step = ({k: np.zeros(s) for k, s in shapes.items()} for _ in range(2)), None, 0
-    first, second = first
-    for epoch in range(epochs):
+    first, second = ({k: np.zeros(s) for k, s in shapes.items()} for _ in range(2))
+    step = 0
+    while step < steps:
         order = random.permutation(len(bags))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             text = np.repeat(np.arange(len(own)), [len(bags[i]) for i in own])
             out = model.forward(np.concatenate([bags[i] for i in own]), text, len(own))
             step += 1
-            speed = rate * (1 - epoch / epochs) + 1e-4
+            speed = rate * max(0.0, 1 - step / steps) + 1e-4
             for k, g in model.gradients(text, labels[own], out).items():
                 g = g + decay * weights[k] * (k not in "eb")
                 first[k] = 0.9 * first[k] + 0.1 * g
