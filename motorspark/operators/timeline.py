@@ -7,7 +7,8 @@ cut into time chunks. Two things cross a chunk border and are carried explicitly
   rolling frames;
 * running totals up to a chunk come from per-chunk sums, a table of one line per chunk.
 
-Rows without a time come last, spread over ``UNTIMED_CHUNKS`` chunks.
+Rows without a time come last, in the order of the tie-break, a whole number whose high bits cut them into chunks. Rows without a series key come
+after all series; each is a trip of its own, as nothing tells which row it follows.
 """
 
 from __future__ import annotations
@@ -19,23 +20,22 @@ from pyspark.sql import functions as F
 
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.values import holds
-from motorspark.operators.ordering import value_ranks
 from motorspark.session import checkpointed
 
 CHUNK = "_chunk"
 OVERLAP = "_overlap"
-UNTIMED_CHUNKS = 256
 _UNTIMED_BASE = 1 << 62
 
 
 @dataclass(frozen=True)
 class Series:
-    """Series key, time column, tie-break column and chunk length in seconds."""
+    """Series key, time column, whole-number tie-break, chunk length in seconds, and tie-break bits inside an untimed chunk."""
 
     key: str
     ts: str
     tie: str
     chunk_seconds: int = 86400
+    untimed_bits: int = 20
 
     @property
     def order(self) -> list[Column]:
@@ -56,7 +56,7 @@ class Series:
 
 def with_chunks(df: DataFrame, series: Series) -> DataFrame:
     timed = F.floor(F.unix_micros(series.ts) / (series.chunk_seconds * 1000000))
-    untimed = F.lit(_UNTIMED_BASE) + F.pmod(F.xxhash64(series.tie), F.lit(UNTIMED_CHUNKS))
+    untimed = F.lit(_UNTIMED_BASE) + F.shiftright(F.col(series.tie).cast("long"), series.untimed_bits)
     return df.withColumn(CHUNK, F.coalesce(timed, untimed))
 
 
@@ -105,17 +105,34 @@ def _offsets(sums: DataFrame, series: Series, within: list[str], across: list[st
         *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_off_{name}") for name in [*within, *across]],
     )
     for name in across:
-        per_series = sums.groupBy(series.key).agg(F.sum(name).alias("_weight"))
-        earlier = value_ranks(per_series, [], series.key, weight="_weight")
-        earlier = earlier.select(F.col(series.key).alias("_key"), F.col("before").alias("_earlier"))
-        offsets = offsets.join(earlier, "_key").withColumn(
+        per_series = sums.groupBy(F.col(series.key).alias("_key")).agg(F.sum(name).alias("_weight"))
+        offsets = offsets.join(_before_series(per_series), F.col("_key").eqNullSafe(F.col("_own"))).withColumn(
             f"_off_{name}", F.col(f"_off_{name}") + F.col("_earlier")
-        ).drop("_earlier")
+        ).drop("_own", "_earlier")
     return offsets
 
 
+def _before_series(per_series: DataFrame) -> DataFrame:
+    """(_own, _earlier): the weight of all series with a smaller key, a missing key last. Keys may be of any type that sorts.
+
+    Series are dealt to ranges of the key; inside a range they are added up in order, and the ranges, a line each, before it.
+    """
+    spark = per_series.sparkSession
+    order = F.col("_key").asc_nulls_last()
+    ranges = per_series.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order)
+    dealt = checkpointed(ranges.withColumn("_range", F.spark_partition_id()))
+    lower = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    below = dealt.groupBy("_range").agg(F.sum("_weight").alias("_w")).select(
+        F.col("_range").alias("_at"), F.coalesce(F.sum("_w").over(lower), F.lit(0)).alias("_below")
+    )
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(below, F.col("_range") == F.col("_at")).select(
+        F.col("_key").alias("_own"), (F.col("_below") + F.coalesce(F.sum("_weight").over(inside), F.lit(0))).alias("_earlier")
+    )
+
+
 def _join_chunks(df: DataFrame, per_chunk: DataFrame, series: Series) -> DataFrame:
-    same = (F.col(series.key) == F.col("_key")) & (F.col(CHUNK) == F.col("_in"))
+    same = F.col(series.key).eqNullSafe(F.col("_key")) & (F.col(CHUNK) == F.col("_in"))
     return df.join(per_chunk, same).drop("_key", "_in")
 
 
@@ -144,11 +161,10 @@ def own_rows(df: DataFrame) -> DataFrame:
 
 def trip_starts(df: DataFrame, series: Series, gap: float = fixed.TRIP_BREAK_SECONDS, rows: int = 1) -> DataFrame:
     """Chunked rows with overlap, seconds since the previous row of a trip, and the trip-start flag."""
-    known = df.where(F.col(series.key).isNotNull())
     before = F.lag(F.unix_micros(series.ts)).over(series.window)
-    delta = (F.unix_micros(series.ts) - before) / 1e6
+    delta = F.when(F.col(series.key).isNotNull(), (F.unix_micros(series.ts) - before) / 1e6)
     return (
-        with_overlap(with_chunks(known, series), series, rows)
+        with_overlap(with_chunks(df, series), series, rows)
         .withColumn("_delta", delta)
         .withColumn("_start", F.col("_delta").isNull() | (F.col("_delta") > gap))
         .withColumn("time_delta", F.when(~F.col("_start"), F.col("_delta")))
@@ -369,7 +385,8 @@ def rounded(df: DataFrame, digits: int = 2) -> DataFrame:
 def device_summary(trips: DataFrame, key: str, min_km: float = 100) -> DataFrame:
     """Trips, distance, harsh events and idle share per device with enough kilometres."""
     return (
-        trips.groupBy(key)
+        trips.where(F.col(key).isNotNull())
+        .groupBy(key)
         .agg(
             F.count(F.lit(1)).alias("trips"),
             F.sum("distance_km").alias("distance_km"),

@@ -16,7 +16,7 @@ V_RECALLS = (
     "JOIN nation ON c_nationkey = n_nationkey)"
 )
 V_TELEMATICS = f"v_telematics AS (SELECT {_columns(views.TELEMATICS)} FROM events)"
-V_DOCS = "v_docs AS (SELECT doc_id, text, source FROM documents WHERE lang = 'en')"
+V_DOCS = "v_docs AS (SELECT doc_id, text, source FROM documents)"
 
 _PLACES = [
     "posting_date", "price", "odometer", "VIN", "manufacturer", "model", "year", "id", "mfr_group", "type", "fuel",
@@ -601,17 +601,17 @@ SELECT drive, coalesce(b.n, 0) AS listings_before, round(b.m, 6) AS median_price
 # --- telematics ---
 
 TRIPS = f"""{V_TELEMATICS},
-gaps AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER d)) / 1e6 AS raw_delta FROM v_telematics
-  WINDOW d AS (PARTITION BY deviceID ORDER BY ts, event_id)),
+gaps AS (SELECT *, CASE WHEN deviceID IS NOT NULL THEN (epoch_us(ts) - epoch_us(lag(ts) OVER d)) / 1e6 END AS raw_delta FROM v_telematics
+  WINDOW d AS (PARTITION BY deviceID ORDER BY ts NULLS LAST, event_id)),
 marked AS (SELECT *, raw_delta IS NULL OR raw_delta > 3600 AS starts FROM gaps),
 trips AS (SELECT *, CASE WHEN NOT starts THEN raw_delta END AS time_delta,
-  sum(starts::INT) OVER (ORDER BY deviceID, ts, event_id)::BIGINT AS trip,
-  row_number() OVER (PARTITION BY deviceID ORDER BY ts, event_id) AS position FROM marked),
+  sum(starts::INT) OVER (ORDER BY deviceID NULLS LAST, ts NULLS LAST, event_id)::BIGINT AS trip,
+  row_number() OVER (PARTITION BY deviceID ORDER BY ts NULLS LAST, event_id) AS position FROM marked),
 changes AS (SELECT *, speed - lag(speed) OVER t AS change, coalesce(x = lag(x) OVER t, FALSE) AS same,
   count(speed) OVER r AS known, avg(speed) OVER r AS mean10, stddev_samp(speed) OVER r AS std10
-  FROM trips WINDOW t AS (PARTITION BY trip ORDER BY ts, event_id),
-    r AS (PARTITION BY trip ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
-numbered_runs AS (SELECT *, sum((NOT same)::INT) OVER (ORDER BY deviceID, ts, event_id) AS run FROM changes),
+  FROM trips WINDOW t AS (PARTITION BY trip ORDER BY ts NULLS LAST, event_id),
+    r AS (PARTITION BY trip ORDER BY ts NULLS LAST, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+numbered_runs AS (SELECT *, sum((NOT same)::INT) OVER (ORDER BY deviceID NULLS LAST, ts NULLS LAST, event_id) AS run FROM changes),
 signals AS (SELECT *, sum(same::INT) OVER (PARTITION BY run)::BIGINT AS repeats,
   CASE WHEN time_delta BETWEEN 0 AND 600 THEN change / 3.6 END AS accel_ms2,
   CASE WHEN known = 10 THEN mean10 END AS speed_mean, CASE WHEN known = 10 THEN std10 END AS speed_std,
@@ -669,7 +669,7 @@ SQL["device_summary"] = f"""WITH {FEATURES_BY_TRIP}
 SELECT deviceID, count(*) AS trips, round(sum(distance_km), 6) AS distance_km,
   sum(harsh_brakes + harsh_accels)::BIGINT AS harsh_events, round(avg(idle_share), 6) AS idle_share,
   round(sum(harsh_brakes + harsh_accels) / sum(distance_km) * 100, 6) AS harsh_events_per_100km
-FROM kept_trips GROUP BY deviceID HAVING sum(distance_km) >= 100"""
+FROM kept_trips WHERE deviceID IS NOT NULL GROUP BY deviceID HAVING sum(distance_km) >= 100"""
 SQL["example_trip"] = f"""WITH {TRIPS},
 sizes AS (SELECT trip, count(*) AS n, min(ts) AS started, min(position) AS first_position FROM trips GROUP BY trip),
 chosen AS (SELECT * FROM sizes ORDER BY abs(n - 20), trip LIMIT 1)

@@ -13,15 +13,6 @@ from motorspark.functions.values import lenient_number, nullify
 from motorspark.sources import schemas
 
 
-def on_all_cores(scan: DataFrame, key: str) -> DataFrame:
-    """A plain scan with fewer splits than cores is spread over them, for work that is heavy per row.
-
-    A large input has more splits than cores and is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names in file order; only the header line is read."""
     return spark.read.option("header", True).csv(path).columns

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorspark.sources.readers import on_all_cores
-
 LISTINGS = {
     "id": "l_orderkey * 10 + l_linenumber",
     "price": "CASE WHEN l_orderkey % 13 = 0 THEN CAST(0 AS DOUBLE) ELSE l_extendedprice END",
@@ -55,9 +53,9 @@ RECALLS = {
 
 TELEMATICS = {
     "event_id": "event_id",
-    "deviceID": "user_id % 8",
+    "deviceID": "CASE WHEN event_id % 97 = 5 THEN NULL ELSE user_id % 8 END",
     "tripID": "user_id",
-    "ts": "CAST(ts AS TIMESTAMP)",
+    "ts": "CASE WHEN event_id % 89 = 7 THEN NULL ELSE CAST(ts AS TIMESTAMP) END",
     "speed": "CAST(floor(value / 2) AS DOUBLE)",
     "gps_speed": "CAST(floor(value / 2) + (CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) - 50) / 2.0 AS DOUBLE)",
     "rpm": "CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) * 40 AS DOUBLE)",
@@ -104,6 +102,5 @@ def telematics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _select(table(spark, sf_dir, "events"), TELEMATICS)
 
 
-def documents(spark: SparkSession, sf_dir: str, lang: str | None = "en") -> DataFrame:
-    docs = _select(table(spark, sf_dir, "documents"), DOCUMENTS)
-    return on_all_cores(docs if lang is None else docs.where(F.col("lang") == lang), "doc_id")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _select(table(spark, sf_dir, "documents"), DOCUMENTS)

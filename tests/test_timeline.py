@@ -146,3 +146,36 @@ def test_sampling_steps_sum_to_rows_less_trips(spark):
     rows = telematics.sampling_report(steps, telematics.sampling_steps()).collect()
     assert [r["rows"] for r in rows] == [1, 2, 1, 2, 2]
     assert sum(r["rows"] for r in rows) == 10 - 2
+
+
+@pytest.mark.parametrize("chunk", [40, 10**7])
+def test_text_ids_and_readings_without_a_device(spark, chunk):
+    """Readings without a device are trips of their own after all devices, in the order of time, and none is lost."""
+    random = np.random.default_rng(8)
+    n = 300
+    pdf = pd.DataFrame(
+        {
+            "row_id": np.arange(n),
+            "deviceID": random.choice(["dev-3", "dev-10", "a", None], n),
+            "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(np.cumsum(random.choice([0, 1, 1, 5, 130], n)), unit="s"),
+            "speed": 10.0, "gps_speed": 1.0, "rpm": 800.0, "x": random.integers(0, 2, n).astype(float),
+        }
+    )
+    pdf.loc[random.choice(n, 20, replace=False), "ts"] = pd.NaT
+    want = pdf.sort_values(["deviceID", "ts", "row_id"], na_position="last").reset_index(drop=True)
+    delta = want.groupby("deviceID")["ts"].diff().dt.total_seconds()
+    want["trip"] = (delta.isna() | (delta > 120)).cumsum()
+    df = spark.createDataFrame(
+        [(r.row_id, r.deviceID, None if pd.isna(r.ts) else r.ts.to_pydatetime(), r.speed, r.gps_speed, r.rpm, r.x) for r in pdf.itertuples()],
+        SCHEMA.replace("deviceID long", "deviceID string"),
+    )
+    signals = timeline.driving_signals(df, series(chunk))
+    got = timeline.number_trips(timeline.frozen_runs(signals, series(chunk)), series(chunk)).select("row_id", "trip", "ts").toPandas()
+    assert len(got) == n
+    timed = want[want["ts"].notna()].set_index("row_id")["trip"].to_dict()
+    found = got.set_index("row_id")["trip"].to_dict()
+    assert {k: found[k] for k in timed} == timed
+    assert sorted(found.values()) == sorted(want["trip"])
+    trips = timeline.trip_features(signals, series(chunk), 0, 0).toPandas()
+    assert trips["rows"].sum() <= n and (trips["deviceID"].isna()).any()
+    assert timeline.device_summary(timeline.trip_features(signals, series(chunk), 0, 0), "deviceID", 0).where("deviceID is null").count() == 0
