@@ -734,5 +734,4 @@ def result_document(spark, sf_dir):
         "segments": price_by_segment(spark, sf_dir),
         "depreciation": depreciation(spark, sf_dir),
     }
-    row = document(spark, parts)
-    return row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
+    return document(parts)

@@ -98,7 +98,7 @@ def severity(
     """3, 2 or 1 by keyword in the lower-cased text; missing when the text has no letters."""
     lowered = F.lower(text)
     return (
-        F.when(letters_only(text) == "", F.lit(None).cast("int"))
+        F.when(~F.coalesce(lowered.rlike("[a-z]"), F.lit(False)), F.lit(None).cast("int"))
         .when(lowered.rlike("|".join(high)), 3)
         .when(lowered.rlike("|".join(medium)), 2)
         .otherwise(1)

@@ -20,12 +20,13 @@ def null_unless(df: DataFrame, valid: dict[str, Column]) -> DataFrame:
     return df.withColumns({c: F.when(ok, F.col(c)) for c, ok in valid.items()})
 
 
-def nullify(df: DataFrame, columns: Iterable[str], tokens: Iterable[str] = fixed.MISSING_TOKENS) -> DataFrame:
-    """Spellings of a missing value become missing."""
+def nullify(
+    df: DataFrame, columns: Iterable[str], tokens: Iterable[str] = fixed.MISSING_TOKENS, trimmed: bool = True
+) -> DataFrame:
+    """Spellings of a missing value become missing; with ``trimmed`` also between blanks."""
     spelled = list(tokens)
-    return df.withColumns(
-        {c: F.when(~F.trim(F.col(c)).isin(spelled), F.col(c)) for c in columns}
-    )
+    plain = (lambda c: F.trim(F.col(c))) if trimmed else F.col
+    return df.withColumns({c: F.when(~plain(c).isin(spelled), F.col(c)) for c in columns})
 
 
 def fill_unknown(df: DataFrame, columns: Iterable[str], value: str = "unknown") -> DataFrame:

@@ -40,10 +40,10 @@ def latest_order(df: DataFrame, order: Sequence[str]) -> list[str]:
 
 
 def latest_by(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Latest row per key; rows without a key are all kept."""
+    """Latest row per key; rows without a key are all kept: each has a number of its own for a key. One pass over the input."""
     columns = [F.col(c).desc_nulls_last() for c in latest_order(df, order)]
-    keyed = keep_first(df.where(F.col(key).isNotNull()), [key], columns)
-    return keyed.unionByName(df.where(F.col(key).isNull()))
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    return keep_first(df.withColumn("_own", own), [key, "_own"], columns).drop("_own")
 
 
 def _repost_keys(vin: str, near_keys: Sequence[str]) -> dict[str, Column]:

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_SALTS, MAX_SALTS = 32, 512
-
 
 class JoinContractError(ValueError):
     """A join's right side has a key twice, or the join changed the number of rows."""
@@ -30,24 +28,39 @@ def assert_same_count(before: DataFrame, after: DataFrame) -> None:
         raise JoinContractError(f"{rows[0]} rows before the join, {rows[1]} after")
 
 
-def salt_count(df: DataFrame) -> int:
-    """Parts a hot key is cut into: a quarter of the shuffle partitions, within bounds."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(MIN_SALTS, partitions // 4), MAX_SALTS)
+def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Keys with more rows than an average shuffle partition, and the parts of that size to cut them into.
+
+    There are fewer such keys than shuffle partitions, whatever the data, so the table may be broadcast.
+    """
+    size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    part = counts.agg(F.sum("_n") / size).scalar()
+    hot = counts.where(F.col("_n") > part).withColumn("_parts", F.ceil(F.col("_n") / part).cast("int"))
+    return hot.select(*[F.col(c).alias(f"_hot_{c}") for c in on], "_parts")
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread: str, how: str = "left", salts: int | None = None
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread: str, how: str = "left", hot: DataFrame | None = None
 ) -> DataFrame:
     """Join of a left side with hot keys to a right side with one row per key.
 
-    The ``spread`` column of the left side, such as its id, cuts every key into ``salts`` parts;
-    each right row is offered once per part. No task holds all rows of a key.
+    Rows of a hot key are cut into parts by the ``spread`` column of the left side, such as its id, and the right row of
+    that key is offered once per part. Any other right row appears once.
     """
-    parts = salts or salt_count(left)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(parts)))
-    offered = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-    return salted.join(offered, ["_salt", *on], how).drop("_salt")
+    keys = F.broadcast(hot_keys(left, on) if hot is None else hot)
+    same = [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in on]
+    parts = F.coalesce("_parts", F.lit(1))
+    drop = ["_parts", *[f"_hot_{c}" for c in on]]
+    salted = left.join(keys, same, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop(*drop)
+    return salted.join(offered(right, on, keys), ["_salt", *on], how).drop("_salt")
+
+
+def offered(right: DataFrame, on: Sequence[str], hot: DataFrame) -> DataFrame:
+    """The right rows with a salt: 0, or for a hot key one row for each of its parts."""
+    same = [F.col(c).eqNullSafe(F.col(f"_hot_{c}")) for c in on]
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    return right.join(hot, same, "left").withColumn("_salt", copies).drop("_parts", *[f"_hot_{c}" for c in on])
 
 
 def enrich(

@@ -9,19 +9,17 @@ summed in order. One window partition holds one bucket of one group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import sqrt
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorspark.operators.joins import spread_join
 
-MIN_BUCKETS, MAX_BUCKETS = 64, 1024
-
 
 def bucket_count(df: DataFrame) -> int:
-    """Value buckets: as many as shuffle partitions, within bounds."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(MIN_BUCKETS, partitions), MAX_BUCKETS)
+    """Value buckets: as many as shuffle partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _bucketed_counts(
@@ -33,15 +31,19 @@ def _bucketed_counts(
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("n"))
     points = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
     # The row total keeps this aggregate on the same exchange as the main branch.
-    edges = counts.agg(
-        F.struct(
-            F.expr(f"percentile_approx(`{value}`, array({points}), {20 * buckets})").alias("edges"),
-            F.sum("n").alias("rows"),
-        )
-    ).scalar()
+    found = counts.agg(
+        F.expr(f"percentile_approx(`{value}`, array({points}), {20 * buckets})").alias("edges"), F.sum("n").alias("rows")
+    )
+    # Two levels: every step-th edge first, then the edges up to the next of those.
+    step = max(1, round(sqrt(buckets)))
+    coarse = F.filter("edges", lambda _, i: i % step == step - 1)
+    edges = found.select(F.struct("edges", coarse.alias("coarse"), "rows")).scalar()
+    below = F.size(F.filter(F.col("_edges")["coarse"], lambda edge: edge < F.col(value))) * step
+    near = F.slice(F.col("_edges")["edges"], F.col("_bucket") + 1, step)
     return (
-        counts.withColumn("_edges", edges["edges"])
-        .withColumn("_bucket", F.size(F.filter("_edges", lambda edge: edge < F.col(value))))
+        counts.withColumn("_edges", edges)
+        .withColumn("_bucket", below)
+        .withColumn("_bucket", F.col("_bucket") + F.size(F.filter(near, lambda edge: edge < F.col(value))))
         .drop("_edges")
     )
 

@@ -21,7 +21,6 @@ from motorspark.functions.values import map_values
 from motorspark.operators.ordering import quantiles
 
 INTERCEPT = "(intercept)"
-MAX_FEATURES = 2000
 
 
 @dataclass(frozen=True)
@@ -118,8 +117,6 @@ def collect_products(cells: DataFrame, by: Sequence[str] = ()) -> dict[tuple, Pr
     out = {}
     for key, rows in groups.items():
         names = sorted({r["i"] for r in rows})
-        if len(names) > MAX_FEATURES:
-            raise ValueError(f"{len(names)} features; group rare levels first")
         place = {n: i for i, n in enumerate(names)}
         matrix = np.zeros((len(names), len(names)))
         for r in rows:

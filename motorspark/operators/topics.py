@@ -30,8 +30,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def default_stop_words() -> list[str]:
-    """Spark's English stop words, letters only, and the boilerplate of recall summaries."""
-    english = [w.replace("'", " ").split(" ")[0] for w in StopWordsRemover.loadDefaultStopWords("english")]
+    """Spark's English stop words, both sides of an apostrophe, and the boilerplate of recall summaries."""
+    english = [half for w in StopWordsRemover.loadDefaultStopWords("english") for half in w.split("'")]
     return sorted(set(english) | set(fixed.BOILERPLATE_WORDS))
 
 

@@ -135,9 +135,9 @@ def run(raw: DataFrame, out: str, plan: CleaningPlan | None = None, reference_ye
     }
     for name, table in tables.items():
         write_summary(table, f"{out}/tables", name)
-    write_document(spark, f"{out}/documents", "cleaning", {k: tables[k] for k in ("cleaning_audit", "missingness")})
+    write_document(f"{out}/documents", "cleaning", {k: tables[k] for k in ("cleaning_audit", "missingness")})
     write_document(
-        spark, f"{out}/documents", "pricing",
+        f"{out}/documents", "pricing",
         {k: t for k, t in tables.items() if k not in ("cleaning_audit", "missingness", "price_by_segment_lines")},
     )
     return clean

@@ -164,5 +164,5 @@ def run(
     }
     for name, table in tables.items():
         write_summary(table, f"{out}/tables", name)
-    write_document(spark, f"{out}/documents", "recalls", tables)
+    write_document(f"{out}/documents", "recalls", tables)
     return tables

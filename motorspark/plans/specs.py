@@ -91,5 +91,5 @@ def run(sample: DataFrame, specs: DataFrame, out: str, current_year: Column | in
     write_table(kept, out, "listings_vin_enriched")
     for name, table in tables.items():
         write_summary(table, f"{out}/tables", name)
-    write_document(sample.sparkSession, f"{out}/documents", "vin", tables)
+    write_document(f"{out}/documents", "vin", tables)
     return kept

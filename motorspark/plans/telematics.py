@@ -83,5 +83,5 @@ def run(readings: DataFrame, out: str, series: Series = SERIES) -> DataFrame:
     }
     for name, table in tables.items():
         write_summary(table, f"{out}/tables", name)
-    write_document(spark, f"{out}/documents", "telematics", tables)
+    write_document(f"{out}/documents", "telematics", tables)
     return trips

@@ -25,9 +25,12 @@ def read_csv(
     columns: Sequence[str] | None = None,
     exclude: Sequence[str] = (),
     multi_line: bool = False,
+    trimmed: bool = False,
 ) -> DataFrame:
     """CSV with a header, by column name, with missing-value spellings read as missing.
 
+    With ``multi_line`` values may hold line breaks, and one file is one task; with ``trimmed`` spellings may stand between blanks.
+
     Every column is read as text and cast leniently to its declared type, so ``NA`` in a number
     column is missing and not an error. Column names are trimmed. Unselected columns are pruned
     by the reader.
@@ -35,7 +38,7 @@ def read_csv(
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     df = trim_columns(reader.csv(path))
     kept = [c for c in (columns or df.columns) if c not in exclude]
-    df = nullify(df.select(*[_quoted(c) for c in kept]), kept)
+    df = nullify(df.select(*[_quoted(c) for c in kept]), kept, trimmed=trimmed)
     types = {f.name: f.dataType for f in schema.fields} if schema else {}
     return df.select(*[_typed(c, types.get(c)) for c in kept])
 
@@ -53,14 +56,15 @@ def trim_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def read_listings(spark: SparkSession, path: str) -> DataFrame:
-    df = read_csv(spark, path, schemas.LISTINGS, exclude=fixed.UNREAD_COLUMNS, multi_line=True)
+def read_listings(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The columns with line breaks are not read, but a file that has them needs ``multi_line``."""
+    df = read_csv(spark, path, schemas.LISTINGS, exclude=fixed.UNREAD_COLUMNS, multi_line=multi_line)
     return df.withColumn("year", F.col("year").cast("int"))
 
 
-def read_recalls(spark: SparkSession, path: str) -> DataFrame:
+def read_recalls(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Recalls with short column names and a parsed report date."""
-    df = read_csv(spark, path, multi_line=True)
+    df = read_csv(spark, path, multi_line=multi_line)
     date = F.coalesce(
         *[F.try_to_timestamp("Report Received Date", F.lit(f)) for f in ("MM/dd/yyyy", "M/d/yyyy", "yyyy-MM-dd")]
     )

@@ -3,34 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LINES = 10000
-
 
 def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(f"{folder}/{name}")
 
 
-def write_summary(df: DataFrame, folder: str, name: str) -> None:
-    """A summary table as one CSV file; the work before it stays parallel."""
-    df.repartition(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
-
+def in_order(df: DataFrame, order: Sequence[str | Column] = ()) -> DataFrame:
+    """Sorted by range, so that the files follow each other and a table of any length stays parallel; by default by the first column."""
+    return df.orderBy(*(order or df.columns[:1]))
 
-def records(df: DataFrame, order: Sequence[str] | None = None, limit: int = MAX_LINES) -> DataFrame:
-    """A summary table as one row with an ordered ``items`` array of its lines.
 
-    A summary longer than ``limit`` is refused, not cut.
-    """
-    columns = list(order or df.columns)
-    rest = [c for c in df.columns if c not in columns]
-    lines = df.limit(limit + 1)
-    items = F.sort_array(F.collect_list(F.struct(*columns, *rest)))
-    too_long = F.raise_error(F.lit(f"more than {limit} lines in a result document"))
-    return lines.agg(F.when(F.count(F.lit(1)) <= limit, items).otherwise(too_long).alias("items"))
+def write_summary(df: DataFrame, folder: str, name: str, order: Sequence[str | Column] = ()) -> None:
+    """A summary table as CSV in its order; a short one is one file."""
+    in_order(df, order).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
 
 
 def as_lists(df: DataFrame, order: str, columns: Sequence[str], key: str | None = None) -> DataFrame:
@@ -41,15 +32,16 @@ def as_lists(df: DataFrame, order: str, columns: Sequence[str], key: str | None
     return items.select(*([key] if key else []), *lists)
 
 
-def document(spark: SparkSession, parts: dict[str, DataFrame]) -> DataFrame:
-    """One row with one field per part, each a list of that summary's lines."""
-    row = spark.range(0, 1, 1, numPartitions=1)
-    fields = []
-    for name, part in parts.items():
-        fields.append(records(part).scalar().alias(name))
-    return row.select(*fields)
+def document(parts: dict[str, DataFrame]) -> DataFrame:
+    """The lines of all parts as (part, line): each line is a JSON object with missing values as null."""
+    lines = [
+        df.select(F.lit(name).alias("part"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+        for name, df in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, lines)
 
 
-def write_document(spark: SparkSession, folder: str, name: str, parts: dict[str, DataFrame]) -> None:
-    """The document as one line of JSON; missing values are written as null."""
-    document(spark, parts).write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/{name}")
+def write_document(folder: str, name: str, parts: dict[str, DataFrame]) -> None:
+    """Each part as JSON, one line per record, in its order; missing values are written as null."""
+    for part, df in parts.items():
+        in_order(df).write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/{name}/{part}")

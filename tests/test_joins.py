@@ -16,6 +16,17 @@ def test_spread_join_equals_plain_join(spark):
     assert plain == spread and len(spread) == 60
 
 
+def test_only_hot_keys_are_offered_more_than_once(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i}") for i in range(400)], "id int, k string")
+    right = spark.createDataFrame([("hot", 5), *((f"k{i}", i) for i in range(0, 400, 2))], "k string, n int")
+    hot = joins.hot_keys(left, ["k"])
+    copies = {r["k"]: r["count"] for r in joins.offered(right, ["k"], hot).groupBy("k").count().collect()}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert copies.pop("hot") >= parts // 2 and set(copies.values()) == {1}
+    assert hot.count() < parts
+    assert joins.spread_join(left, right, ["k"], "id").where("n is null").count() == 0
+
+
 def test_join_contract(spark):
     twice = spark.createDataFrame([("a",), ("a",)], "k string")
     with pytest.raises(joins.JoinContractError):

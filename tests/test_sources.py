@@ -66,15 +66,18 @@ def test_document_keeps_order_and_nulls(spark, tmp_path):
         "lines": spark.createDataFrame([(2, None), (1, "x")], "n int, s string"),
         "none": spark.createDataFrame([], "n int"),
     }
-    writers.write_document(spark, str(tmp_path), "d", parts)
-    text = next((tmp_path / "d").glob("*.json")).read_text()
-    assert json.loads(text) == {"lines": [{"n": 1, "s": "x"}, {"n": 2, "s": None}], "none": []}
-
-
-def test_long_summary_is_refused_and_not_cut(spark):
-    with pytest.raises(Exception, match="more than 3 lines"):
-        writers.records(spark.range(5), limit=3).collect()
-    assert len(writers.records(spark.range(3), limit=3).collect()[0]["items"]) == 3
+    writers.write_document(str(tmp_path), "d", parts)
+    lines = [json.loads(line) for f in sorted((tmp_path / "d/lines").glob("*.json")) for line in f.read_text().splitlines()]
+    assert lines == [{"n": 1, "s": "x"}, {"n": 2, "s": None}]
+    assert not any(f.read_text() for f in (tmp_path / "d/none").glob("*.json"))
+    rows = [(r["part"], json.loads(r["line"])) for r in writers.document(parts).collect()]
+    assert sorted(rows, key=str) == [("lines", {"n": 1, "s": "x"}), ("lines", {"n": 2, "s": None})]
+
+
+def test_long_summary_is_written_whole_and_in_order(spark, tmp_path):
+    writers.write_summary(spark.range(20000, 0, -1).repartition(5), str(tmp_path), "long")
+    files = sorted((tmp_path / "long").glob("*.csv"))
+    assert [int(line) for f in files for line in f.read_text().splitlines()[1:]] == list(range(1, 20001))
 
 
 def test_columns_as_lists(spark):
