@@ -22,6 +22,7 @@ from motorspark.operators import (
     cleaning, comparing, joins, linking, pricing, regression, reports, sampling, timeline, topics, trend,
 )
 from motorspark.operators.timeline import Series
+from motorspark.plans import listings as listings_plan
 from motorspark.plans import recalls as recall_plan
 from motorspark.plans import specs as spec_plan
 from motorspark.plans import telematics as telematics_plan
@@ -244,15 +245,17 @@ def ols_importance(spark, sf_dir):
 
 @query
 def ols_eval(spark, sf_dir):
-    fitted = price_model(features(spark, sf_dir), DESIGN)
-    errors = regression.median_error_pct(fitted.scored, "price", "predicted_price", "median_pct_error")
-    test_rows = int(fitted.test.block([regression.INTERCEPT], [regression.INTERCEPT])[0, 0])
-    return errors.select(
-        F.lit(fitted.model.train_rows).cast("long").alias("train_rows"),
-        F.lit(test_rows).cast("long").alias("test_rows"),
-        F.lit(fitted.r2).alias("r2"),
-        "median_pct_error",
-    )
+    return listings_plan.model_score(price_model(features(spark, sf_dir), DESIGN))
+
+
+@query
+def listing_totals(spark, sf_dir):
+    return listings_plan.listing_totals(clean(spark, sf_dir), 2001)
+
+
+@query
+def listing_first_rows(spark, sf_dir):
+    return listings_plan.first_rows(views.listings(spark, sf_dir), ["id", "posting_date", "price", "l_partkey"], 5)
 
 
 @query
@@ -389,16 +392,7 @@ def time_span(spark, sf_dir):
 
 @query
 def totals(spark, sf_dir):
-    return with_norm(spark, sf_dir).agg(
-        F.count(F.lit(1)).alias("total_recalls"),
-        F.min("year").alias("first_year"),
-        F.max("report_date").cast("string").alias("export_date"),
-        F.count_distinct("manufacturer").alias("raw_names"),
-        F.count_distinct("mfr_norm").alias("manufacturers"),
-        F.round(F.sum("units"), 2).alias("units_affected"),
-        F.count_if(F.col("component").isNull()).alias("missing_component"),
-        (F.avg(F.col("component").isNull().cast("int")) * 100).alias("missing_component_pct"),
-    )
+    return recall_plan.recall_totals(with_norm(spark, sf_dir))
 
 
 @query

@@ -263,6 +263,10 @@ SELECT (SELECT count(*) FROM rows_ WHERE in_train) AS train_rows, count(*) AS te
   round((SELECT r2 FROM r2s), 6) AS r2,
   round(quantile_cont(abs(exp(predicted) - exp(y)) / exp(y) * 100, 0.5), 6) AS median_pct_error FROM scored"""
 )
+SQL["listing_totals"] = f"""WITH {CLEAN}
+SELECT count(*) AS listings, 2001 AS reference_year, round(quantile_cont(price, 0.5), 6) AS median_price,
+  quantile_cont((2001 - year)::DOUBLE, 0.5) AS median_age, round(quantile_cont(odometer, 0.5), 6) AS median_odometer FROM clean"""
+SQL["listing_first_rows"] = f"WITH {V_LISTINGS} SELECT * FROM v_listings ORDER BY id, posting_date, price, l_partkey LIMIT 5"
 SQL["ols_importance"] = _recursive(
     f"""{_least_squares(['', *_GROUPS])}
 SELECT CASE g WHEN 'vehicle_age' THEN 'Vehicle age' WHEN 'odometer_10k' THEN 'Odometer' {_NAME_CASE} END AS feature_group,

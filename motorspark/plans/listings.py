@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.values import fill_unknown, null_unless
 from motorspark.operators import cleaning, pricing, regression, reports, sampling
+from motorspark.operators.ordering import quantiles
 from motorspark.session import checkpointed
-from motorspark.sources.writers import write_document, write_summary, write_table
+from motorspark.sources.writers import write_document, write_summaries, write_table
 
 
 @dataclass(frozen=True)
@@ -107,6 +108,45 @@ def price_summaries(clean: DataFrame, features: DataFrame) -> dict[str, DataFram
     }
 
 
+#: Order of the published tables, "-" for descending; the others go by their first column.
+ORDERS = {
+    "cleaning_audit": ["step_no"],
+    "missingness": ["-missing_pct", "column"],
+    "price_by_segment": ["segment", "-median_price"],
+    "brand_summary": ["-median_price", "manufacturer"],
+    "schema_report": [],
+    "price_model_effects": [],
+    "price_model_importance": ["-r2_drop"],
+    "price_model_error_by_price": [],
+}
+
+
+def model_score(fitted: PriceModel) -> DataFrame:
+    """One line: rows fitted and tested on, explained variance and median error on the test rows."""
+    test_rows = int(fitted.test.block([regression.INTERCEPT], [regression.INTERCEPT])[0, 0])
+    errors = regression.median_error_pct(fitted.scored, "price", "predicted_price", "median_pct_error")
+    return errors.select(
+        F.lit(fitted.model.train_rows).cast("long").alias("train_rows"),
+        F.lit(test_rows).cast("long").alias("test_rows"),
+        F.lit(fitted.r2).alias("r2"),
+        "median_pct_error",
+    )
+
+
+def listing_totals(clean: DataFrame, reference_year: int, price: str = "price", year: str = "year", odometer: str = "odometer") -> DataFrame:
+    """One line: listings, reference year, and the median price, age and odometer of all listings."""
+    measures = {"median_price": F.col(price), "median_age": F.lit(reference_year) - F.col(year), "median_odometer": F.col(odometer)}
+    lines = clean.agg(F.count(F.lit(1)).alias("listings"), F.lit(reference_year).alias("reference_year"))
+    for name, measure in measures.items():
+        lines = lines.withColumn(name, quantiles(clean.select(measure.cast("double").alias("_v")), [], "_v", {name: 0.5}).scalar())
+    return lines
+
+
+def first_rows(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in an order, for the schema report."""
+    return df.orderBy(*order).limit(n)
+
+
 def run(raw: DataFrame, out: str, plan: CleaningPlan | None = None, reference_year: int = 2021) -> DataFrame:
     """Cleans, writes the clean table, and writes every price summary; returns the clean table."""
     plan = plan or CleaningPlan()
@@ -115,6 +155,8 @@ def run(raw: DataFrame, out: str, plan: CleaningPlan | None = None, reference_ye
     tables = {
         "missingness": reports.missingness(priced, fixed.MISSING_DECISIONS, fixed.COMPLETE_DECISION),
         "cleaning_audit": plan.audit(raw),
+        "schema_report": reports.schema_profile(raw),
+        "schema_first_rows": first_rows(raw, ["id"]),
     }
     write_table(plan.clean(raw), out, "usedcars_clean")
     clean = spark.read.parquet(f"{out}/usedcars_clean")
@@ -132,12 +174,14 @@ def run(raw: DataFrame, out: str, plan: CleaningPlan | None = None, reference_ye
         "price_model_importance": spark.createDataFrame(importance, "feature_group string, r2_without double, r2_drop double"),
         "price_model_error_by_price": regression.error_by_band(fitted.scored, "price", "predicted_price"),
         "price_model_robustness": segment_models(features),
+        "price_model_score": model_score(fitted),
+        "listing_totals": listing_totals(clean, reference_year),
     }
-    for name, table in tables.items():
-        write_summary(table, f"{out}/tables", name)
-    write_document(f"{out}/documents", "cleaning", {k: tables[k] for k in ("cleaning_audit", "missingness")})
+    write_summaries(tables, f"{out}/tables", ORDERS)
+    write_document(f"{out}/documents", "cleaning", {k: tables[k] for k in ("cleaning_audit", "missingness")}, ORDERS)
     write_document(
         f"{out}/documents", "pricing",
         {k: t for k, t in tables.items() if k not in ("cleaning_audit", "missingness", "price_by_segment_lines")},
+        ORDERS,
     )
     return clean

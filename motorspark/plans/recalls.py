@@ -12,7 +12,7 @@ from motorspark.functions.text import classify_regex, first_token, letters_only,
 from motorspark.functions.values import map_values
 from motorspark.operators import joins, linking, reports, topics, trend
 from motorspark.session import checkpointed
-from motorspark.sources.writers import write_document, write_summary, write_table
+from motorspark.sources.writers import write_document, write_summaries, write_table
 
 
 def with_names(recalls: DataFrame, patterns: dict[str, str] = fixed.MANUFACTURER_GROUPS) -> DataFrame:
@@ -72,14 +72,17 @@ def topic_model(
     return everyone, factors
 
 
-def topic_table(scored: DataFrame, factors: topics.Factors, documents: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Topic, count, heaviest terms, example, mean severity and share scored high."""
+def topic_table(
+    scored: DataFrame, factors: topics.Factors, documents: DataFrame, id_column: str, text: str, names: dict[int, str] | None = None
+) -> DataFrame:
+    """Topic, count, heaviest terms, example, mean severity and share scored high, and its name where one is given."""
     examples = topics.topic_examples(scored, documents, id_column, text, 1).select("topic", F.col(text).alias("example"))
-    return (
+    table = (
         topics.top_terms(documents.sparkSession, factors)
         .join(topic_severity(scored), "topic")
         .join(examples, "topic")
     )
+    return table.withColumn("topic_name", map_values(F.col("topic").cast("int"), names)) if names else table
 
 
 def advisory_check(scored: DataFrame, flags: dict[str, Column], text: str) -> DataFrame:
@@ -100,11 +103,49 @@ def listing_keys(listings: DataFrame, stop_words: Sequence[str] = (), min_count:
     return linking.with_model_token(keys, "first_word", vocabulary), vocabulary
 
 
+#: Order of the published tables, "-" for descending; the others go by their first column.
+ORDERS = {
+    "recall_manufacturer_mapping": ["mfr_group", "-recalls", "manufacturer"],
+    "recall_spikes": ["-z_score"],
+    "recall_structural_breaks": ["-increase_ratio"],
+    "recall_exposure": ["rank_by_recalls"],
+    "recall_topics_severity": ["-mean_severity", "topic"],
+    "recall_severity_validation": [],
+    "join_coverage_listings": [],
+    "join_coverage_recalls": ["-recalls", "join_quality"],
+    "join_unmatched_examples": ["-recalls", "manufacturer"],
+    "recalls_top_listed_models": ["-listings"],
+    "component_counts": ["-recalls", "component"],
+    "recall_totals": [],
+}
+
+
+def recall_totals(named: DataFrame) -> DataFrame:
+    """One line: recalls, first year, last report date, raw and normalized names, units, and recalls without a component."""
+    missing = F.col("component").isNull()
+    return named.agg(
+        F.count(F.lit(1)).alias("total_recalls"),
+        F.min("year").alias("first_year"),
+        F.max("report_date").cast("string").alias("export_date"),
+        F.count_distinct("manufacturer").alias("raw_names"),
+        F.count_distinct("mfr_norm").alias("manufacturers"),
+        F.round(F.sum("units"), 2).alias("units_affected"),
+        F.count_if(missing).alias("missing_component"),
+        (F.avg(missing.cast("int")) * 100).alias("missing_component_pct"),
+    )
+
+
+def low_quality_before(quality: DataFrame, year: int) -> DataFrame:
+    """One line: recalls matched by their maker alone, and the share of them before a year."""
+    low = quality.where(F.col("join_quality") == fixed.QUALITY_MAKER)
+    return low.agg(F.count(F.lit(1)).alias("recalls"), (F.avg((F.col("year") < year).cast("int")) * 100).alias("pct_before"))
+
+
 def run(
     recalls: DataFrame, clean_listings: DataFrame, out: str, last_full_year: int = 2025, min_recalls: int = 100,
-    max_iter: int = 400,
+    max_iter: int = 400, topic_names: dict[int, str] | None = None, low_quality_year: int = 1996,
 ) -> dict[str, DataFrame]:
-    """Writes recalls_clean, usedcars_with_recalls and every recall summary."""
+    """Writes recalls_clean, usedcars_with_recalls and every recall summary; ``topic_names`` names topics by number."""
     spark = recalls.sparkSession
     stop_words = topics.default_stop_words()
     named = checkpointed(with_names(recalls))
@@ -151,7 +192,7 @@ def run(
         "recall_spikes": trend.spikes(dense, "mfr_display", "year"),
         "recall_structural_breaks": trend.structural_breaks(dense, "mfr_display", "year", previous, recent),
         "recall_exposure": trend.first_by_rank(trend.exposure(named, "mfr_display", "units"), order, 50, "rank_by_recalls"),
-        "recall_topics_severity": topic_table(scored, factors, documents, "recall_id", "text"),
+        "recall_topics_severity": topic_table(scored, factors, documents, "recall_id", "text", topic_names),
         "recall_severity_validation": advisory_check(scored, flags, "consequence"),
         "join_coverage_listings": linking.listing_coverage(by_key, "mfr_group"),
         "join_coverage_recalls": share(quality, "join_quality", "recalls", "pct_of_recalls"),
@@ -160,9 +201,13 @@ def run(
         "recalled_by_year": linking.recalled_by_year(by_key, "mfr_group"),
         "recalls_per_year": reports.value_counts(full_years, "year", "recalls"),
         "component_counts": reports.top_k(named, "component", 10, count="recalls"),
+        "recall_totals": recall_totals(named),
+        "recall_peak_year": trend.peak(full_years, "year"),
+        "recalls_by_maker_and_year": dense,
+        "component_by_year": trend.counts_by(full_years.where("component is not null"), ["component", "year"], "recalls"),
+        "recalls_low_quality_before": low_quality_before(quality, low_quality_year),
         "heat_cells": trend.heat_cells(full_years, "mfr_display", "component"),
     }
-    for name, table in tables.items():
-        write_summary(table, f"{out}/tables", name)
-    write_document(f"{out}/documents", "recalls", tables)
+    write_summaries(tables, f"{out}/tables", ORDERS)
+    write_document(f"{out}/documents", "recalls", tables, ORDERS)
     return tables

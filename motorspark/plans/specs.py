@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from motorspark.functions import fixed_values as fixed
 from motorspark.operators import comparing, joins, reports, sampling
 from motorspark.session import checkpointed
-from motorspark.sources.writers import write_document, write_summary, write_table
+from motorspark.sources.writers import write_document, write_summaries, write_table
 
 COVERAGE = {
     "Engine displacement": "API_Engine", "Body class": "API_Body", "Drivetrain": "API_Drive", "Fuel type": "API_Fuel",
@@ -89,7 +89,6 @@ def run(sample: DataFrame, specs: DataFrame, out: str, current_year: Column | in
     write_table(specs, out, "vin_specs")
     kept = decided.where(F.col("action") != "Drop").select(*[c for c in OUTPUT_COLUMNS if c in decided.columns])
     write_table(kept, out, "listings_vin_enriched")
-    for name, table in tables.items():
-        write_summary(table, f"{out}/tables", name)
+    write_summaries(tables, f"{out}/tables", {})
     write_document(f"{out}/documents", "vin", tables)
     return kept

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.values import holds
-from motorspark.operators import reports, timeline
+from motorspark.operators import reports, timeline, trend
 from motorspark.operators.timeline import Series
 from motorspark.session import checkpointed
-from motorspark.sources.writers import write_document, write_summary, write_table
+from motorspark.sources.writers import write_document, write_summaries, write_table
 
 #: The tie-break is a digest: 52 low bits leave 4,096 chunks for readings without a time.
 SERIES = Series("deviceID", "ts", "row_id", untimed_bits=52)
@@ -66,7 +66,17 @@ def trips_with_gaps(numbered: DataFrame, gap: float = fixed.GAP_SECONDS) -> Data
     return per_trip.agg(F.sum("_gap").alias("trips_with_gaps"), F.count(F.lit(1)).alias("trips"))
 
 
-def run(readings: DataFrame, out: str, series: Series = SERIES) -> DataFrame:
+#: Order of the published tables, "-" for descending; the others go by their first column.
+ORDERS = {
+    "telematics_signal_ranges": [],
+    "telematics_sampling": [],
+    "telematics_quality_report": [],
+    "telematics_device_summary": ["-harsh_events_per_100km"],
+    "telematics_example_trip": ["place"],
+}
+
+
+def run(readings: DataFrame, out: str, series: Series = SERIES, original_trip: str = "tripID") -> DataFrame:
     """Writes the trip table and every telematics summary; returns the trip table."""
     spark = readings.sparkSession
     signals = checkpointed(timeline.driving_signals(readings, series))
@@ -80,8 +90,9 @@ def run(readings: DataFrame, out: str, series: Series = SERIES) -> DataFrame:
         "telematics_quality_report": quality_report(signals, series),
         "telematics_device_summary": devices,
         "telematics_example_trip": timeline.example_trip(numbered, series).select("trip", "place", "minutes", "speed", "rpm"),
+        "telematics_trips_with_gaps": trips_with_gaps(numbered),
+        "telematics_period": trend.time_span(readings, series.ts, original_trip),
     }
-    for name, table in tables.items():
-        write_summary(table, f"{out}/tables", name)
-    write_document(f"{out}/documents", "telematics", tables)
+    write_summaries(tables, f"{out}/tables", ORDERS)
+    write_document(f"{out}/documents", "telematics", tables, ORDERS)
     return trips

@@ -14,16 +14,27 @@ def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet") ->
     (writer.option("header", True).csv if fmt == "csv" else writer.parquet)(f"{folder}/{name}")
 
 
-def in_order(df: DataFrame, order: Sequence[str | Column] = ()) -> DataFrame:
-    """Sorted by range, so that the files follow each other and a table of any length stays parallel; by default by the first column."""
-    return df.orderBy(*(order or df.columns[:1]))
+def in_order(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """Sorted by range, so that files follow each other and a table of any length stays parallel.
 
+    A minus sign before a name is descending. Without an order the first column is one; an empty order leaves a report's
+    lines as they come.
+    """
+    order = df.columns[:1] if order is None else order
+    columns = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
+    return df.orderBy(*columns) if columns else df
 
-def write_summary(df: DataFrame, folder: str, name: str, order: Sequence[str | Column] = ()) -> None:
+
+def write_summary(df: DataFrame, folder: str, name: str, order: Sequence[str] | None = None) -> None:
     """A summary table as CSV in its order; a short one is one file."""
     in_order(df, order).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
 
 
+def write_summaries(tables: dict[str, DataFrame], folder: str, orders: dict[str, Sequence[str]]) -> None:
+    for name, table in tables.items():
+        write_summary(table, folder, name, orders.get(name))
+
+
 def as_lists(df: DataFrame, order: str, columns: Sequence[str], key: str | None = None) -> DataFrame:
     """Each column as a list in the given order, for the whole summary or per key."""
     grouped = df.groupBy(key) if key else df.groupBy()
@@ -41,7 +52,9 @@ def document(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, lines)
 
 
-def write_document(folder: str, name: str, parts: dict[str, DataFrame]) -> None:
+def write_document(
+    folder: str, name: str, parts: dict[str, DataFrame], orders: dict[str, Sequence[str]] | None = None
+) -> None:
     """Each part as JSON, one line per record, in its order; missing values are written as null."""
     for part, df in parts.items():
-        in_order(df).write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/{name}/{part}")
+        in_order(df, (orders or {}).get(part)).write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/{name}/{part}")
