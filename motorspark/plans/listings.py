@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from math import expm1
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,17 +76,19 @@ def price_model(features: DataFrame, design: regression.Design = regression.PRIC
 
 
 def segment_models(features: DataFrame, segment: str = "brand_segment") -> DataFrame:
-    """Yearly and mileage effect refitted inside each brand segment."""
-    design = regression.Design("log_price", ["vehicle_age", "odometer_10k"])
-    rows = features.withColumn("log_price", F.log("price"))
-    found = regression.collect_products(regression.product_sums(rows, design, [segment]), [segment])
-    lines = []
-    for (name,), products in sorted(found.items()):
-        model = regression.fit(products, design)
-        per = [expm1(model.coefficients[c]) * 100 for c in design.numeric]
-        lines.append((name, model.train_rows, *per))
-    return features.sparkSession.createDataFrame(
-        lines, "brand_segment string, listings long, pct_per_year double, pct_per_10k_miles double"
+    """Yearly and mileage effect refitted inside each segment: two features, so grouped covariances give them in closed form.
+
+    A segment without spread in age and mileage has no effects.
+    """
+    age, miles, price = F.col("vehicle_age").cast("double"), F.col("odometer_10k").cast("double"), F.log("price")
+    rows = features.select(segment, age.alias("a"), miles.alias("m"), price.alias("p")).dropna(subset=["a", "m", "p"])
+    pairs = [("a", "a"), ("m", "m"), ("a", "m"), ("a", "p"), ("m", "p")]
+    sums = rows.groupBy(segment).agg(F.count(F.lit(1)).alias("listings"), *[F.covar_pop(x, y).alias(x + y) for x, y in pairs])
+    spread = F.col("aa") * F.col("mm") - F.col("am") * F.col("am")
+    per_year = F.try_divide(F.col("ap") * F.col("mm") - F.col("mp") * F.col("am"), spread)
+    per_miles = F.try_divide(F.col("mp") * F.col("aa") - F.col("ap") * F.col("am"), spread)
+    return sums.select(
+        segment, "listings", (F.expm1(per_year) * 100).alias("pct_per_year"), (F.expm1(per_miles) * 100).alias("pct_per_10k_miles")
     )
 
 
