@@ -254,7 +254,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
     decoded = blocks.mapInArrow(decode, "shard int, id long, at long, n long, ids binary")
-    return decoded.join(shards, "shard").select("id", (F.col("offset") + F.col("at")).alias("start"), "n", "ids")
+    # one row a file: as many as there were shuffle partitions
+    return decoded.join(F.broadcast(shards), "shard").select("id", (F.col("offset") + F.col("at")).alias("start"), "n", "ids")
 
 
 def through_files(docs: DataFrame, path: str, end: int, spaces: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
