@@ -6,8 +6,9 @@ later than every register of the text. Two texts agree in a register with probab
 weights: plain Jaccard). Four agreeing registers of one of 24 bands make two texts candidates.
 
 Texts with the same words are one text from the start. A bucket of a band first compares its members with one leader; what
-that joins is one class already, and only pairs of different classes are left. Their agreement over all registers is
-counted in blocks, and likely pairs alone go on to the exact similarity. Too large a bucket is split by one more band.
+that joins is one class already. In a few rounds every row then tries its most agreeing partner of another class, which
+joins large groups along few links, and in the end all pairs of different classes are tried. Agreement over all registers
+is counted in blocks, and likely pairs alone go on to the exact similarity. Too large a bucket is split by one more band.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BANDS = REGISTERS // ROWS
 MARGIN = 0.18
 #: Members of a bucket that are compared as one block.
 BLOCK = 2048
+#: Rounds in which each open row tries its most agreeing partner, before all pairs still open are tried.
+ROUNDS = 1
 SCANNED = "row long, rk binary, id long, key binary, signature binary, bands array<long>"
 #: An odd base for rolling hashes modulo 2^64, its inverse, and odd factors to mix bits.
 BASE = 0x9E3779B97F4A7C15
@@ -154,12 +157,17 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((1.0 / ((x.sum() - u.sum() + below) / u + (y.sum() - v.sum() + above) / v)).sum())
 
 
+def sets_of(nodes: DataFrame, docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(row, strings, weights) of the rows in ``nodes``."""
+    asked = nodes.join(scanned.select("row", "rk"), "row")
+    sets = docs.select("rk", "text").join(asked, "rk").select("row", "text").mapInArrow(weigh, "row long, strings binary, weights binary")
+    return sets.groupBy("row").agg(F.first("strings").alias("strings"), F.first("weights").alias("weights"))  # repeated rows are one
+
+
 def verified(pairs: DataFrame, docs: DataFrame, scanned: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of rows whose exact similarity is at least ``threshold``, written."""
     nodes = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    asked = nodes.join(scanned.select("row", "rk"), "row")
-    sets = docs.select("rk", "text").join(asked, "rk").select("row", "text").mapInArrow(weigh, "row long, strings binary, weights binary")
-    sets = sets.groupBy("row").agg(F.first("strings").alias("strings"), F.first("weights").alias("weights"))  # repeated rows are one
+    sets = sets_of(nodes, docs, scanned)
     sides = [sets.select(F.col("row").alias(s), F.col("strings").alias(f"{s}s"), F.col("weights").alias(f"{s}w")) for s in ("a", "b")]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,33 +192,90 @@ def agreeing(pairs: DataFrame, scanned: DataFrame, least: float) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "as", "bs").mapInArrow(judge, "a long, b long")
 
 
-def block_pairs(members: DataFrame, least: float, n: int) -> DataFrame:
-    """Of (bucket, block, left, row, root, signature) rows: agreeing pairs of different roots, left members against all."""
+def blocks_of(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """The rows of each (bucket, block); batches come sorted by them, and these are the first two columns."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+            if held and row[:2] != held[-1][:2]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def best_partners(members: DataFrame, least: float, n: int) -> DataFrame:
+    """(a, b) for every row a that has agreeing rows of another root in its buckets: b agrees most."""
+    columns = ["bucket", "block", "left", "row", "root", "signature"]
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: list[tuple]) -> pa.RecordBatch:
+        for rows in blocks_of(batches, columns):
             row, root = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
             signs = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), REGISTERS)
-            out = [np.zeros((0, 2), np.int64)]
+            out = []
             for i in np.flatnonzero([r[2] for r in rows]):
-                other = np.flatnonzero((root != root[i]) & (row > row[i]))
-                other = other[(signs[other] == signs[i]).mean(1) >= least]
-                out.append(np.column_stack([np.full(len(other), row[i]), row[other]]))
-            out = np.concatenate(out)
-            return pa.record_batch([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+                other = np.flatnonzero(root != root[i])
+                share = (signs[other] == signs[i]).mean(1)
+                if len(other) and share.max() >= least:
+                    out.append((int(row[i]), int(row[other[share.argmax()]]), float(share.max())))
+            yield pa.record_batch([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "share"])
+
+    dealt = members.select(*columns).repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "row")
+    pairs = dealt.mapInArrow(pair, "a long, b long, share double")
+    return pairs.groupBy("a").agg(F.max(F.struct("share", "b")).alias("to")).select("a", F.col("to.b").alias("b"))
 
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "left", "row", "root", "signature")), strict=True):
-                if held and row[:2] != held[-1][:2]:
-                    yield found(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield found(held)
 
-    dealt = members.repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(pair, "a long, b long").distinct()
+def joining_links(members: DataFrame, least: float, threshold: float, n: int) -> DataFrame:
+    """Of members with their strings and weights: links (a, b) that join different roots, each pair tried exactly.
+
+    A pair is tried in the first band that it shares, and not once earlier links of the block have joined its roots: so
+    links are fewer than members, whatever the number of pairs.
+    """
+    columns = ["bucket", "block", "left", "row", "root", "signature", "band", "strings", "weights"]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in blocks_of(batches, columns):
+            row, root, band, out = np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), rows[0][6], []
+            signs = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), REGISTERS)
+            sets = [(np.frombuffer(r[7], np.uint64), np.frombuffer(r[8], np.int32)) for r in rows]
+            for i in np.flatnonzero([r[2] for r in rows]):
+                other = np.flatnonzero(root != root[i])
+                same = signs[other] == signs[i]
+                share = same.mean(1)
+                keep = (share >= least) & (same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band)
+                for j in other[keep][np.argsort(-share[keep], kind="stable")]:
+                    if root[i] != root[j] and probability_jaccard(*sets[i], *sets[j]) >= threshold - 1e-12:
+                        out.append((int(min(row[i], row[j])), int(max(row[i], row[j]))))
+                        root[root == root[j]] = root[i]
+            yield pa.record_batch([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = members.select(*columns).repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "row")
+    return dealt.mapInArrow(link, "a long, b long").distinct()
+
+
+def open_members(members: DataFrame, roots: DataFrame, scanned: DataFrame) -> DataFrame | None:
+    """Members of buckets that still hold several roots, in blocks, written; None if there are none.
+
+    Similar members of a large bucket agree in further bands too: there they meet in smaller company. What is still large
+    goes through in blocks, each block's members against all members.
+    """
+    rooted = written(members.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
+    several = written(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket"), "several")
+    if several.isEmpty():
+        return None
+    rooted = rooted.join(several, "bucket")
+    fitting = rooted.filter(F.col("size") <= BLOCK).select("bucket", "band", F.lit(0).alias("block"), F.lit(True).alias("left"), "row", "root")
+    large = rooted.filter(F.col("size") > BLOCK).select("bucket", F.col("band").alias("own"), "row", "root")
+    again = large.join(scanned.select("row", F.posexplode("bands").alias("band", "hash")), "row").filter("band <> own")
+    again = again.select(F.xxhash64("bucket", "band", "hash").alias("bucket"), F.least("band", "own").alias("band"), "row", "root")
+    sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    again = again.join(sizes.select("bucket", "size"), "bucket")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("row"), blocks).cast("int")
+    again = again.select("bucket", "band", "row", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    again = again.select("bucket", "band", "block", (F.col("own") == F.col("block")).alias("left"), "row", "root")
+    return written(fitting.unionByName(again).join(scanned.select("row", "signature"), "row"), "open-members")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -232,41 +297,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = scanned.groupBy("key").agg(F.min("row").alias("rep"))
     reps = scanned.join(same.select(F.col("rep").alias("row")), "row", "left_semi")
     banded = reps.select("row", F.posexplode("bands").alias("band", "hash"))
-    shared = banded.groupBy("hash").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(banded.join(shared, "hash").select(F.col("hash").alias("bucket"), "band", "row", "size"), "buckets")
+    shared = banded.groupBy("hash").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("leader")).filter("size > 1")
+    # written, so that joins have exchanges of their own, which adaptive execution may split where a bucket is hot
+    members = written(banded.join(written(shared, "shared"), "hash").select(F.col("hash").alias("bucket"), "band", "row", "size", "leader"), "buckets")
 
-    leaders = members.groupBy("bucket").agg(F.min("row").alias("a"))
-    stars = members.join(leaders, "bucket").filter("row <> a").select("a", F.col("row").alias("b")).distinct()
+    stars = members.filter("row <> leader").select(F.col("leader").alias("a"), F.col("row").alias("b")).distinct()
     links = verified(written(agreeing(stars, scanned, least), "stars"), texts, scanned, threshold)
     roots = written(components(links), "roots")
-
-    rooted = members.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    signs = scanned.select("row", "signature")
-    mixed_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    rooted = written(rooted.join(mixed_buckets, "bucket"), "mixed-buckets")
-    if rooted.isEmpty():
-        open_pairs = None
-    else:
-        fitting = rooted.filter(F.col("size") <= BLOCK).select("bucket", F.lit(0).alias("block"), F.lit(True).alias("left"), "row", "root")
-        # similar members of a large bucket agree in further bands too: there they meet in smaller company
-        large = rooted.filter(F.col("size") > BLOCK).select("bucket", F.col("band").alias("own"), "row", "root")
-        again = large.join(scanned.select("row", F.posexplode("bands").alias("band", "hash")), "row").filter("band <> own")
-        again = again.select(F.xxhash64("bucket", "band", "hash").alias("bucket"), "row", "root")
-        sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        again = again.join(sizes.select("bucket", "size"), "bucket")
-        # and what is still large goes through in blocks: each block's members against all members
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("row"), blocks).cast("int")
-        again = again.select("bucket", "row", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-        again = again.select("bucket", "block", (F.col("own") == F.col("block")).alias("left"), "row", "root")
-        open_pairs = written(block_pairs(fitting.unionByName(again).join(signs, "row"), least, n), "pairs")
-    if open_pairs is not None and not open_pairs.isEmpty():
-        links = links.unionByName(verified(open_pairs, texts, scanned, threshold))
-        roots = written(components(links), "roots")
-
-    classed = (
+    # every row of a mixed bucket tries its most agreeing partner of another class; then all pairs that are left
+    for step in range(ROUNDS + 1):
+        still = open_members(members, roots, scanned)
+        if still is None:
+            break
+        partners = written(best_partners(still, least, n), "partners")
+        if step < ROUNDS:
+            pairs = partners.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            found = verified(pairs, texts, scanned, threshold)
+        else:
+            # a row with an agreeing row of another class has a partner itself; no others are left to try
+            lonely = sets_of(partners.select(F.col("a").alias("row")), texts, scanned)
+            found = written(joining_links(still.join(lonely, "row"), least, threshold, n), "joining")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = written(components(links), "roots")
+
+    classed = written(
         scanned.select("row", "rk", "id", "key").join(same, "key")
-        .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("row", "rk", "id", F.coalesce("root", "rep").alias("root"))
+        .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("row", "rk", "id", F.coalesce("root", "rep").alias("root")),
+        "classed",
     )
     heads = classed.groupBy("root").agg(F.min("id").alias("class_id"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("head"))
+    heads = written(heads, "heads")
     return classed.join(heads, "root").select("rk", "id", "class_id", (F.col("row") == F.col("head.row")).alias("first"))
