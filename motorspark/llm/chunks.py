@@ -8,15 +8,17 @@ part letters from punctuation. Texts with other white space than single spaces a
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
-
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
+from motorspark.llm.common import held
+
 #: White space other than space and line end, as Python or the library's patterns see it.
 ODD_SPACE = re.compile(
     r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -44,11 +46,14 @@ class ChunkEncoder:
         self.vocabulary = self.library.get_vocab_size()
         self.model, self.letters = self.library.model, byte_letters()
         self.spaces, self.limit = spaces, limit
+        self.parts: dict[str, bytes] = {"": b""}
         self.forget()
 
     def forget(self) -> None:
+        """Drops the chunks, and their parts only once these are as many."""
         self.places: dict[str, int] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        if len(self.parts) > self.limit:
+            self.parts = {"": b""}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -116,15 +121,29 @@ class ChunkEncoder:
         self.used = total
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts one after the other, and the number of ids of each."""
+        """All ids of the texts one after the other, and the number of ids of each.
+
+        Nothing here refers to itself, so the collector of such objects rests meanwhile.
+        """
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self.looked_up(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def looked_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.places) > self.limit:
             self.forget()
         split = [self.split(t) for t in texts]
         whole = [i for i, s in enumerate(split) if s is None]
         chunks = [c for s in split if s for c in s]
-        if new := set(chunks).difference(self.places):
-            self.learn(list(new))
-        places = np.fromiter(map(self.places.__getitem__, chunks), np.int64, len(chunks))
+        places = np.fromiter(map(self.places.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if len(missed := np.flatnonzero(places < 0)):
+            new = [chunks[i] for i in missed.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            places[missed] = np.fromiter(map(self.places.__getitem__, new), np.int64, len(new))
         sizes = self.sizes[places]
         flat = self.pool[np.repeat(self.starts[places] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -138,10 +157,9 @@ class ChunkEncoder:
         return flat, counts
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, spaces: bool) -> ChunkEncoder:
-    """One encoder for each vocabulary and worker process: later tasks find what earlier ones learned."""
-    return ChunkEncoder(path, spaces)
+    """One encoder for each worker process: later tasks find what earlier ones learned."""
+    return held((path, spaces), lambda: ChunkEncoder(path, spaces))
 
 
 def portions(texts: Iterable[str | None], most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:

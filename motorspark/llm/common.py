@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +69,30 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit(""))))
 
 
+_held: dict = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """One thing that a worker process keeps from task to task, such as a vocabulary and what it has learned."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Gives back what the process keeps: Spark reuses a worker for the next operator, which needs its memory."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # not every C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of texts of about ``most`` bytes: first, number, bytes, starts, ends."""
+    release()
     column = column.cast(pa.large_binary())
     bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)

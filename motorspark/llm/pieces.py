@@ -10,7 +10,6 @@ the backpointer. What no piece covers is written as bytes. Decoding joins the pi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motorspark.llm.chunks import portions
+from motorspark.llm.common import held
 
 SPACE = "▁"  # stands for a space in pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -170,9 +170,8 @@ class Pieces:
         return text.decode("utf-8", "replace").removeprefix(" ")
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Pieces:
-    return Pieces(path)
+    return held(path, lambda: Pieces(path))
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

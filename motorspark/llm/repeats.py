@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorspark.llm.common import partitions, written
+from motorspark.llm.common import partitions, release, written
 
 LENGTH, GRAM = 200, 32
 LEFT = LENGTH - GRAM  # most bytes of a window before its anchor
@@ -105,6 +105,7 @@ def lists(owner: np.ndarray, n: int, values: np.ndarray, kind: pa.DataType) -> p
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each text its digest, its anchors (each fragment once, ``w`` times) and the spans under fragments it holds twice."""
+    release()
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             part = batch.slice(first, 256)
@@ -205,6 +206,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     names = ["h", "f", "salts", "salt", "cell", "gap"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
     for batch in batches:
@@ -280,10 +282,12 @@ def without_repeats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
 
     # where anchors occur that occur twice, whatever the text
     places = scanned.select("row", F.explode(F.arrays_zip("h", "f", "p", "w")).alias("a")).select("row", "a.h", "a.f", "a.p", "a.w")
-    twice = places.groupBy("h").agg(F.sum("w").alias("times")).filter("times > 1").select("h")
+    # written, so that the join has exchanges of its own, which adaptive execution may split where an anchor is hot
+    twice = written(places.groupBy("h").agg(F.sum("w").alias("times")).filter("times > 1").select("h"), "frequent")
     places = written(places.join(twice, "h"), "places")
     fragments = places.groupBy("h", "f").agg(F.sum("w").alias("times"), F.min(F.struct("row", "p")).alias("first"))
-    buckets = fragments.groupBy("h").agg(F.count(F.lit(1)).alias("different"))
+    fragments = written(fragments, "different-fragments")
+    buckets = written(fragments.groupBy("h").agg(F.count(F.lit(1)).alias("different")), "buckets")
     fragments = written(fragments.join(buckets, "h"), "fragments")
 
     keyed = docs.select(F.struct(*keep).alias("row"), clean.alias("text")).withColumn("key", F.unhex(F.md5("text")))
