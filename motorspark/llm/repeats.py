@@ -37,6 +37,8 @@ MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Bytes hashed at once, and fragments of a collection.
 SEGMENT = 1 << 21
 COLLECTION = 1 << 14
+#: Digests of copied texts that a task remembers; should it forget one, its fragments are cut again and dropped later.
+REMEMBERED = 1 << 18
 SCANNED = (
     "row long, key binary, size long, h array<long>, f array<long>, p array<int>, w array<int>, local_from array<long>, local_to array<long>"
 )
@@ -197,6 +199,8 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("h", "salt", "f", "salts", "cell", "gap")), strict=True):
+            if held and row[:3] == held[-1][:3]:
+                continue  # a copy of the text, cut by another task
             if len(held) >= COLLECTION and row[:2] != held[-1][:2]:
                 yield collection(held)
                 held = []
@@ -206,13 +210,21 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted fragments of each text; of the copies that a task meets only the first is cut."""
     release()
+    cut: set[bytes] = set()
     names = ["h", "f", "salts", "salt", "cell", "gap"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
     for batch in batches:
         rows = []
-        for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
-            data = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
+        for at, (text, key, copies) in enumerate(zip(batch.column("text"), *(batch.column(c).to_pylist() for c in ("key", "copies")), strict=True)):
+            if copies > 1:
+                if key in cut:
+                    continue
+                if len(cut) >= REMEMBERED:
+                    cut.clear()
+                cut.add(key)
+            data, wanted = memoryview(text.as_buffer()) if text.is_valid else memoryview(b""), batch.column("wanted")[at].as_py()
             for w in wanted:
                 head = max(0, w["p"] - LEFT)
                 rows.append((w["h"], w["f"], w["salts"], w["f"] % w["salts"], data[head : w["p"] + LENGTH].tobytes(), head - (w["p"] - LEFT)))
@@ -291,14 +303,14 @@ def without_repeats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ..
     fragments = written(fragments.join(buckets, "h"), "fragments")
 
     keyed = docs.select(F.struct(*keep).alias("row"), clean.alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    # one row of each text that holds a wanted fragment
+    # every copy of a text meets its wanted fragments here: a task cuts them once, and compare skips what other tasks cut
     salts = F.ceil(F.col("different") / COLLECTION).cast("int").alias("salts")
     wanted = (
         fragments.filter("different > 1").select(F.col("first.row").alias("row"), F.struct("h", "f", F.col("first.p").alias("p"), salts).alias("x"))
         .groupBy("row").agg(F.collect_list("x").alias("wanted"))
-        .join(scanned.select("row", "key"), "row").select("key", "wanted")
+        .join(texts.select("row", "key", "copies"), "row").select("key", "copies", "wanted")
     )
-    cells = keyed.join(wanted, "key").select("text", "wanted").mapInArrow(cut_fragments, "h long, f long, salts int, salt int, cell binary, gap int")
+    cells = keyed.join(wanted, "key").select("text", "key", "copies", "wanted").mapInArrow(cut_fragments, "h long, f long, salts int, salt int, cell binary, gap int")
     dealt = cells.repartition(n, "h", "salt").sortWithinPartitions("h", "salt", "f")
     compared = written(dealt.mapInArrow(compare, "h long, f long, marks binary, windows array<long>, gap int"), "marks")
 
