@@ -8,7 +8,8 @@ weights: plain Jaccard). Four agreeing registers of one of 24 bands make two tex
 Texts with the same words are one text from the start. A bucket of a band first compares its members with one leader; what
 that joins is one class already. In a few rounds every row then tries its most agreeing partner of another class, which
 joins large groups along few links, and in the end all pairs of different classes are tried. Agreement over all registers
-is counted in blocks, and likely pairs alone go on to the exact similarity. Too large a bucket is split by one more band.
+is counted in blocks, and likely pairs alone go on to the exact similarity. The members of too large
+a bucket first meet where one more band agrees, and in the end in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ REGISTERS, ROWS = 96, 4
 BANDS = REGISTERS // ROWS
 #: Texts whose registers agree less than the threshold by this much are not verified: over four standard deviations.
 MARGIN = 0.18
-#: Members of a bucket that are compared as one block.
+#: Members of a bucket that make one block; a task compares a pair of blocks.
 BLOCK = 2048
 #: Rounds in which each open row tries its most agreeing partner, before all pairs still open are tried.
 ROUNDS = 1
@@ -207,15 +208,15 @@ def blocks_of(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
 
 def best_partners(members: DataFrame, least: float, n: int) -> DataFrame:
     """(a, b) for every row a that has agreeing rows of another root in its buckets: b agrees most."""
-    columns = ["bucket", "block", "left", "row", "root", "signature"]
+    columns = ["bucket", "block", "left", "row", "root", "signature", "alone"]
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks_of(batches, columns):
             row, root = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
             signs = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), REGISTERS)
-            out = []
-            for i in np.flatnonzero([r[2] for r in rows]):
-                other = np.flatnonzero(root != root[i])
+            left, alone, out = np.array([r[2] for r in rows]), rows[0][6], []
+            for i in range(len(rows)):
+                other = np.flatnonzero((root != root[i]) & (alone | (left != left[i])))
                 share = (signs[other] == signs[i]).mean(1)
                 if len(other) and share.max() >= least:
                     out.append((int(row[i]), int(row[other[share.argmax()]]), float(share.max())))
@@ -232,15 +233,16 @@ def joining_links(members: DataFrame, least: float, threshold: float, n: int) ->
     A pair is tried in the first band that it shares, and not once earlier links of the block have joined its roots: so
     links are fewer than members, whatever the number of pairs.
     """
-    columns = ["bucket", "block", "left", "row", "root", "signature", "band", "strings", "weights"]
+    columns = ["bucket", "block", "left", "row", "root", "signature", "band", "strings", "weights", "alone"]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks_of(batches, columns):
             row, root, band, out = np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), rows[0][6], []
             signs = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), REGISTERS)
             sets = [(np.frombuffer(r[7], np.uint64), np.frombuffer(r[8], np.int32)) for r in rows]
-            for i in np.flatnonzero([r[2] for r in rows]):
-                other = np.flatnonzero(root != root[i])
+            left, alone = np.array([r[2] for r in rows]), rows[0][9]
+            for i in np.flatnonzero(left):
+                other = np.flatnonzero((root != root[i]) & (alone | ~left))
                 same = signs[other] == signs[i]
                 share = same.mean(1)
                 keep = (share >= least) & (same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band)
@@ -254,28 +256,42 @@ def joining_links(members: DataFrame, least: float, threshold: float, n: int) ->
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
-def open_members(members: DataFrame, roots: DataFrame, scanned: DataFrame) -> DataFrame | None:
-    """Members of buckets that still hold several roots, in blocks, written; None if there are none.
+def open_members(members: DataFrame, roots: DataFrame, scanned: DataFrame, narrowed: bool) -> DataFrame | None:
+    """Members of buckets that still hold several roots, dealt as pairs of blocks, written; None if there are none.
 
-    Similar members of a large bucket agree in further bands too: there they meet in smaller company. What is still large
-    goes through in blocks, each block's members against all members.
+    ``block`` is the number of a pair of blocks of about BLOCK members each, ``left`` the side a member is on; ``alone``
+    marks a block that is paired with itself. Every two members of different roots meet in one pair of their bucket. With
+    ``narrowed`` the members of a large bucket only meet where they agree in a further band and are few: that finds most
+    links cheaply, but not all.
     """
     rooted = written(members.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "rooted")
     several = written(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket"), "several")
     if several.isEmpty():
         return None
     rooted = rooted.join(several, "bucket")
-    fitting = rooted.filter(F.col("size") <= BLOCK).select("bucket", "band", F.lit(0).alias("block"), F.lit(True).alias("left"), "row", "root")
-    large = rooted.filter(F.col("size") > BLOCK).select("bucket", F.col("band").alias("own"), "row", "root")
-    again = large.join(scanned.select("row", F.posexplode("bands").alias("band", "hash")), "row").filter("band <> own")
-    again = again.select(F.xxhash64("bucket", "band", "hash").alias("bucket"), F.least("band", "own").alias("band"), "row", "root")
-    sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    again = again.join(sizes.select("bucket", "size"), "bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("row"), blocks).cast("int")
-    again = again.select("bucket", "band", "row", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    again = again.select("bucket", "band", "block", (F.col("own") == F.col("block")).alias("left"), "row", "root")
-    return written(fitting.unionByName(again).join(scanned.select("row", "signature"), "row"), "open-members")
+    if narrowed:
+        large = rooted.filter(F.col("size") > BLOCK).select("bucket", F.col("band").alias("own"), "row", "root")
+        again = large.join(scanned.select("row", F.posexplode("bands").alias("band", "hash")), "row").filter("band <> own")
+        again = again.select(F.xxhash64("bucket", "band", "hash").alias("bucket"), F.least("band", "own").alias("band"), "row", "root")
+        rooted = rooted.filter(F.col("size") <= BLOCK).select("bucket", "band", "row", "root").unionByName(again)
+    sizes = (
+        rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("rows")).groupBy("bucket")
+        .agg(F.sum("rows").alias("size"), F.count(F.lit(1)).alias("roots"), F.max(F.struct("rows", "root")).alias("top")).filter("roots > 1")
+    )
+    if narrowed:
+        sizes = sizes.filter(F.col("size") <= BLOCK)
+    # rows of the most common root need not meet each other: they get blocks of their own, before those of all others
+    large = F.col("size") > BLOCK
+    tops = F.when(large, F.ceil(F.col("top.rows") / BLOCK)).otherwise(F.lit(0)).alias("tops")
+    rest = F.when(large, F.ceil((F.col("size") - F.col("top.rows")) / BLOCK)).otherwise(F.lit(1)).alias("rest")
+    dealt = rooted.select("bucket", "band", "row", "root").join(sizes.select("bucket", F.col("top.root").alias("common"), tops, rest), "bucket")
+    is_top, blocks = (F.col("tops") > 0) & (F.col("root") == F.col("common")), F.col("tops") + F.col("rest")
+    own = F.when(is_top, F.expr("pmod(xxhash64(row), tops)")).otherwise(F.expr("tops + pmod(xxhash64(row), rest)"))
+    met = F.explode(F.sequence(F.when(is_top, F.col("tops")).otherwise(F.lit(0)), blocks - 1))
+    dealt = dealt.select("bucket", "band", "row", "root", own.alias("own"), blocks.alias("blocks"), met.alias("met"))
+    block = F.least("own", "met") * F.col("blocks") + F.greatest("own", "met")
+    dealt = dealt.select("bucket", "band", block.alias("block"), (F.col("own") <= F.col("met")).alias("left"), (F.col("own") == F.col("met")).alias("alone"), "row", "root")
+    return written(dealt.join(scanned.select("row", "signature"), "row"), "open-members")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -306,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = written(components(links), "roots")
     # every row of a mixed bucket tries its most agreeing partner of another class; then all pairs that are left
     for step in range(ROUNDS + 1):
-        still = open_members(members, roots, scanned)
+        still = open_members(members, roots, scanned, narrowed=step < ROUNDS)
         if still is None:
             break
         partners = written(best_partners(still, least, n), "partners")

@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from fixtures import SCHEMA
 from test_texts import check_repeats
 
-from motorspark.llm import repeats
+from motorspark.llm import near_duplicates, repeats
 
 
 def test_copies_of_a_text_are_cut_once_and_held_once(spark):
@@ -35,3 +37,22 @@ def test_repeats_with_very_many_copies(spark):
     rows = [(i, line, "en", "s", 1) for i in range(60)]
     rows += [(100 + i, f"{i} " * 90 + line[:450] + f" {i}" * 90, "en", "s", 1) for i in range(20)]
     check_repeats(spark, spark.createDataFrame(rows, SCHEMA).repartition(6), rows)
+
+
+def test_pairs_of_a_large_bucket_without_a_second_band_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    signs = rng.integers(0, 60_000, (30, near_duplicates.REGISTERS)).astype(np.uint16)
+    bands = [[int(b) for b in rng.integers(0, 1 << 60, near_duplicates.BANDS)] for _ in range(30)]
+    scanned = spark.createDataFrame([(i, bytearray(signs[i].tobytes()), bands[i]) for i in range(30)], "row long, signature binary, bands array<long>")
+    members = spark.createDataFrame([(9, 0, i, 30, 0) for i in range(30)], "bucket long, band int, row long, size long, leader long")
+    roots = spark.createDataFrame([(i, 0) for i in range(12)], "node long, root long")
+    dealt = near_duplicates.open_members(members, roots, scanned, narrowed=False)
+    met, largest = set(), 0
+    for task in dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct("row", "root", "left", "alone")).alias("m")).collect():
+        largest = max(largest, len(task.m))
+        pairs = [(min(a.row, b.row), max(a.row, b.row)) for a in task.m for b in task.m if a.left and a.root != b.root and (a.alone or not b.left)]
+        assert not met & set(pairs)
+        met |= set(pairs)
+    assert met == {(a, b) for b in range(30) for a in range(b) if b >= 12}
+    assert largest < 30
