@@ -49,7 +49,7 @@ def fresh_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents, packed into sequences of at most 1024 ids."""
     ship(spark)
-    found = packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2, size=1024)
+    found = packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2, size=1024, specials=True)
     return found.select(F.col("id").alias("doc_id"), "piece", "start", F.col("n").cast("long").alias("length"), "ids", "ids_crc32", "sequence_id", "offset")
 
 

@@ -3,7 +3,8 @@
 Both byte-level and word vocabularies cut a text before they merge, and never across a single space between two
 characters that are no white space. So a text is split there, chunks met before are looked up, and only new ones go
 through the library. A chunk of letters or digits closed by ASCII punctuation is cut once more, since these vocabularies
-part letters from punctuation. Texts with other white space than single spaces and line ends go through whole.
+part letters from punctuation. Texts with other white space than single spaces and line ends, or with
+an added token that counts as one, go through whole.
 """
 
 from __future__ import annotations
@@ -36,13 +37,17 @@ def byte_letters() -> dict[int, str]:
 class ChunkEncoder:
     """``encode`` gives what the library's ``encode_batch(texts, add_special_tokens=False)`` gives, as one flat array."""
 
-    def __init__(self, path: str, spaces: bool, limit: int = 700_000):
-        """``spaces``: the vocabulary encodes white space; else it is dropped. ``limit`` bounds the chunks kept in memory."""
+    def __init__(self, path: str, spaces: bool, limit: int = 700_000, specials: bool = False):
+        """``spaces``: the vocabulary encodes white space; else it is dropped. ``limit`` bounds the chunks kept in memory.
+
+        ``specials``: strings of added tokens in a text become their one id, as the library does by default; else they are ordinary text.
+        """
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = not specials
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()] if specials else []
         self.vocabulary = self.library.get_vocab_size()
         self.model, self.letters = self.library.model, byte_letters()
         self.spaces, self.limit = spaces, limit
@@ -59,7 +64,7 @@ class ChunkEncoder:
 
     def split(self, text: str) -> list[str] | None:
         """The chunks of a text, or None if it has to go through whole. A chunk without a mark follows a space."""
-        if ODD_SPACE.search(text):
+        if ODD_SPACE.search(text) or any(a in text for a in self.added):
             return None
         if not self.spaces:
             return text.split()
@@ -157,9 +162,9 @@ class ChunkEncoder:
         return flat, counts
 
 
-def encoder(path: str, spaces: bool) -> ChunkEncoder:
+def encoder(path: str, spaces: bool, specials: bool = False) -> ChunkEncoder:
     """One encoder for each worker process: later tasks find what earlier ones learned."""
-    return held((path, spaces), lambda: ChunkEncoder(path, spaces))
+    return held((path, spaces, specials), lambda: ChunkEncoder(path, spaces, specials=specials))
 
 
 def portions(texts: Iterable[str | None], most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:

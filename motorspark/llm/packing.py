@@ -34,11 +34,11 @@ def cut_lengths(total: int, size: int) -> list[int]:
     return [rest] * (rest > 0) + [size] * (total // size)
 
 
-def pieces_of(docs: DataFrame, path: str, end: int, size: int, spaces: bool, id_col: str, text_col: str) -> DataFrame:
+def pieces_of(docs: DataFrame, path: str, end: int, size: int, spaces: bool, id_col: str, text_col: str, specials: bool) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, part, seen = encoder(path, spaces), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        coder, part, seen = encoder(path, spaces, specials), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             ids = batch.column("id").to_pylist()
             for first, texts in portions(batch.column("text").to_pylist()):
@@ -210,16 +210,16 @@ def slots(plan: list[Pattern], size: int) -> dict[int, np.ndarray]:
 
 def packed_documents(
     docs: DataFrame, path: str, end: int, size: int = 1024, spaces: bool = True, id_col: str = "doc_id", text_col: str = "text",
-    with_ids: bool = True,
+    with_ids: bool = True, specials: bool = False,
 ) -> DataFrame:
     """One row per piece: (id, piece, start, n, ids, ids_crc32, sequence_id, offset); without ``ids`` if ``with_ids`` is off.
 
     A document is its whole text's ids (null text: empty) and ``end``; only documents of more than ``size`` ids are cut, and
     but for the first all their pieces have ``size`` ids. ids are little-endian unsigned 32-bit. Sequences hold at most
     ``size`` ids, from offset 0 without gaps. Null ids and repeated rows are packed like any other; other columns are not
-    read. An empty table gives no rows.
+    read. An empty table gives no rows. ``specials``: a string of an added token in a text is its one id.
     """
-    pieces = written(pieces_of(docs, path, end, size, spaces, id_col, text_col), "pieces")
+    pieces = written(pieces_of(docs, path, end, size, spaces, id_col, text_col, specials), "pieces")
     by_part = pieces.groupBy("part", "n").agg(F.count(F.lit(1)).alias("here"))
     lengths = by_part.groupBy("n").agg(F.sum("here").alias("count")).collect()  # at most one row a length
     counts = np.zeros(size + 1, np.int64)

@@ -47,7 +47,7 @@ def vocabulary(name: str) -> str:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = through_files(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1, spaces=False)
+    found = through_files(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1, spaces=False, specials=True)
     return found.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
@@ -77,7 +77,7 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packed_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2, size=1024, with_ids=False)
+    found = packed_documents(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2, size=1024, with_ids=False, specials=True)
     return found.select(F.col("id").alias("doc_id"), "piece", "start", F.col("n").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 

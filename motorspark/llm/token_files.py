@@ -26,11 +26,11 @@ TOKENS = "id long, n int, ids binary"
 BLOCKS = "shard int, block int, before long, doc_ids array<long>, counts array<int>, n_ids long, marks binary, bits binary"
 
 
-def token_ids(docs: DataFrame, path: str, end: int, spaces: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_ids(docs: DataFrame, path: str, end: int, spaces: bool, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> DataFrame:
     """(id, n, ids) of every whole text (null: empty), closed by ``end``; ids are 16-bit where the vocabulary allows, else 32-bit."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, spaces)
+        coder = encoder(path, spaces, specials)
         kind = np.uint16 if max(coder.vocabulary, end + 1) <= 1 << 16 else np.uint32
         for batch in batches:
             for first, texts in portions(batch.column("text").to_pylist()):
@@ -258,8 +258,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.join(F.broadcast(shards), "shard").select("id", (F.col("offset") + F.col("at")).alias("start"), "n", "ids")
 
 
-def through_files(docs: DataFrame, path: str, end: int, spaces: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def through_files(docs: DataFrame, path: str, end: int, spaces: bool, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> DataFrame:
     """Encodes, writes and reads back: (id, start, n, ids) in ascending order of id. Null texts are empty; other columns are not read."""
     folder = new_path(docs.sparkSession, "token-files")
-    write_token_files(written(token_ids(docs, path, end, spaces, id_col, text_col), "tokens"), folder)
+    write_token_files(written(token_ids(docs, path, end, spaces, id_col, text_col, specials), "tokens"), folder)
     return read_token_files(docs.sparkSession, folder)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import random
 import tracemalloc
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from fixtures import SCHEMA
-from test_texts import check_repeats
+from test_texts import BYTE, WORD, check_repeats
+from tokenizers import Tokenizer
 
-from motorspark.llm import near_duplicates, repeats
+from motorspark.llm import chunks, near_duplicates, queries, repeats
 
 
 def test_copies_of_a_text_are_cut_once_and_held_once(spark):
@@ -56,3 +58,23 @@ def test_pairs_of_a_large_bucket_without_a_second_band_meet(spark, monkeypatch):
         met |= set(pairs)
     assert met == {(a, b) for b in range(30) for a in range(b) if b >= 12}
     assert largest < 30
+
+
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|><|startoftext|>", "x<|endoftext|>y.\nz <|ENDOFTEXT|> <|endoftext", "plain words only", "", " <|startoftext|> "]
+
+
+def test_special_tokens_in_texts_are_the_librarys(spark):
+    for path, spaces in ((WORD, False), (BYTE, True)):
+        plain = [e.ids for e in Tokenizer.from_file(path).encode_batch(SPECIAL, add_special_tokens=False)]
+        flat, counts = chunks.ChunkEncoder(path, spaces, specials=True).encode(SPECIAL)
+        assert counts.tolist() == [len(p) for p in plain]
+        assert flat.tolist() == [i for p in plain for i in p]
+
+
+def test_queries_give_special_tokens_as_one_id(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(SPECIAL)], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    for query, path, end in ((queries.op4_token_files, WORD, 1), (queries.op9_best_fit_packing, BYTE, 2)):
+        expected = {i: crc([*e.ids, end]) for i, e in enumerate(Tokenizer.from_file(path).encode_batch(SPECIAL, add_special_tokens=False))}
+        assert {r.doc_id: r.ids_crc32 for r in query(spark, str(tmp_path)).collect()} == expected
