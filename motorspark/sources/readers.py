@@ -56,14 +56,14 @@ def trim_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def read_listings(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """The columns with line breaks are not read, but a file that has them needs ``multi_line``."""
+def read_listings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Descriptions hold line breaks, though they are not read; without ``multi_line`` such rows are cut at the break."""
     df = read_csv(spark, path, schemas.LISTINGS, exclude=fixed.UNREAD_COLUMNS, multi_line=multi_line)
     return df.withColumn("year", F.col("year").cast("int"))
 
 
-def read_recalls(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Recalls with short column names and a parsed report date."""
+def read_recalls(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Recalls with short column names and a parsed report date; their texts may hold line breaks."""
     df = read_csv(spark, path, multi_line=multi_line)
     date = F.coalesce(
         *[F.try_to_timestamp("Report Received Date", F.lit(f)) for f in ("MM/dd/yyyy", "M/d/yyyy", "yyyy-MM-dd")]

@@ -85,3 +85,17 @@ def test_columns_as_lists(spark):
     got = {r["k"]: (r["age"], r["n"]) for r in writers.as_lists(df, "age", ["age", "n"], "k").collect()}
     assert got == {"a": ([1, 2], [4, 5]), "b": ([1], [9])}
     assert writers.as_lists(df.where(F.col("k") == "a"), "age", ["n"]).collect()[0]["n"] == [4, 5]
+
+
+def test_rows_with_line_breaks_are_whole_by_default(spark, tmp_path):
+    header = "id,url,region,region_url,price,year,manufacturer,model,condition,cylinders,fuel,odometer,title_status,transmission,VIN,drive,size,type,paint_color,image_url,description,county,state,lat,long,posting_date"
+    line = '{i},u,r,ru,100,2010.0,ford,f,,,gas,5,clean,automatic,,4wd,,truck,red,i,"two\nlines\n\nof ""text"", all",,ca,1,2,2021-04-0{i}T00:00:00-0700'
+    path = write(tmp_path / "v.csv", "\n".join([header, *(line.format(i=i) for i in range(1, 6))]) + "\n")
+    rows = readers.read_listings(spark, path).orderBy("posting_date").collect()
+    assert len(rows) == 5
+    assert [str(r["posting_date"])[:10] for r in rows] == [f"2021-04-0{i}" for i in range(1, 6)]
+    assert {r["state"] for r in rows} == {"ca"}
+    columns = "NHTSA ID,Report Received Date,Manufacturer,Recall Type,Component,Potentially Affected,Subject,Recall Description,Consequence Summary,Park Outside Advisory,Do Not Drive Advisory"
+    path = write(tmp_path / "r.csv", columns + "\n" + "".join(f'R{i},01/15/2010,m,Vehicle,c,5,s,"a\nb",x,No,Yes\n' for i in range(4)))
+    rows = readers.read_recalls(spark, path).collect()
+    assert [(r["recall_id"], r["description"], r["do_not_drive"]) for r in rows] == [(f"R{i}", "a\nb", "Yes") for i in range(4)]
