@@ -546,7 +546,7 @@ def tfidf_weights(spark, sf_dir):
 
 def topic_parts(spark: SparkSession, sf_dir: str):
     docs = views.documents(spark, sf_dir).select("doc_id", "text")
-    assigned, factors = recall_plan.topic_model(docs, "doc_id", "text", STOP_WORDS, 4, 12, 20, 500)
+    assigned, factors = recall_plan.topic_model(docs, "doc_id", "text", STOP_WORDS)
     return docs, assigned, factors
 
 
