@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motorspark.llm import whitening
+from motorspark.llm.codebooks import compressed, hex_code, with_label_error
 from motorspark.llm.common import ship
 from motorspark.llm.licenses import license_scan
 from motorspark.llm.near_duplicates import near_duplicates
@@ -85,6 +87,25 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, scale=64, components=32)
+    rows = whitening.whitened(vectors, model, keep=("vec_id",), scale=64)
+    explained = F.array(*(F.lit(float(x)) for x in model.explained)) if model else F.array().cast("array<double>")
+    error = whitening.identity_error(vectors, model, scale=64) if model else 0.0
+    each = rows.select("row.vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n if model else 0).cast("long").alias("n"), F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compressed(read(spark, sf_dir, "embeddings"), keep=("vec_id", "label"), parts=8, entries=16, rounds=6, scale=4096)
+    whole = [F.expr(f"try_cast({c} AS bigint)").alias(c) for c in ("error", "label_error")]
+    return with_label_error(found.rows).select("row.vec_id", hex_code("codes").alias("code"), *whole, F.lit(found.digest).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filters": op2_url_filters,
@@ -96,9 +117,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_permutation_index": op10_permutation_index,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_vector_codes": op12_vector_codes,
 }
 
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of op12 written out one after the other."""
+    steps = [
+        """kept AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, label, embedding AS raw,
+    list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"size AS MATERIALIZED (SELECT CAST(ceil(max(len(v)) / {float(parts)}) AS BIGINT) AS s FROM kept)",
+        f"""pieces AS MATERIALIZED (SELECT n, p, list_transform(range(p * s, p * s + s), lambda i: coalesce(v[i + 1], 0)) AS x
+  FROM kept, size, (SELECT unnest(range({parts})) AS p))""",
+        f"""book0 AS MATERIALIZED (SELECT p, e, x FROM pieces JOIN (SELECT n, row_number() OVER (ORDER BY vec_id NULLS LAST, raw) - 1 AS e
+  FROM kept) USING (n) WHERE e < {entries})""",
+    ]
+    nearest = """(SELECT n, p, min({{'d': list_sum(list_transform(list_zip(pieces.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}) AS m
+  FROM pieces JOIN book{r} b USING (p) GROUP BY n, p)"""
+    for r in range(rounds):
+        steps.append(f"near{r} AS MATERIALIZED {nearest.format(r=r)}")
+        steps.append(
+            f"""mean{r} AS MATERIALIZED (SELECT p, e, list(CAST((t - ((t % c + c) % c)) // c AS BIGINT) ORDER BY i) AS x FROM
+  (SELECT p, m.e AS e, i, CAST(sum(x[i]) AS BIGINT) AS t, count(*) AS c FROM near{r} JOIN pieces USING (n, p), size, unnest(range(1, s + 1)) AS u(i) GROUP BY ALL)
+  GROUP BY p, e)"""
+        )
+        steps.append(f"book{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(mean{r}.x, book{r}.x) AS x FROM book{r} LEFT JOIN mean{r} USING (p, e))")
+    steps.append(f"last AS MATERIALIZED {nearest.format(r=rounds)}")
+    steps.append("codes AS MATERIALIZED (SELECT n, string_agg(format('{:02x}', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM last GROUP BY n)")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN codes USING (n)"""
+
+
 SQL: dict[str, str] = {
+    "op12_vector_codes": vector_codes_sql(),
     "op2_url_filters": """
 WITH rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
   ('org', '/fr/', 'allow')),
