@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from motorspark.llm import whitening
 from motorspark.llm.codebooks import compressed, hex_code, with_label_error
 from motorspark.llm.common import ship
+from motorspark.llm.language_id import identified
 from motorspark.llm.licenses import license_scan
 from motorspark.llm.near_duplicates import near_duplicates
 from motorspark.llm.packing import packed_documents
 from motorspark.llm.permutation_index import nearest
 from motorspark.llm.pieces import decoded, encoded
-from motorspark.llm.quality import quality_scores
+from motorspark.llm.quality import held_out, quality_scores
 from motorspark.llm.repeats import without_repeats
 from motorspark.llm.token_files import through_files
 from motorspark.llm.top_k import exact_top_k
@@ -106,6 +107,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_label_error(found.rows).select("row.vec_id", hex_code("codes").alias("code"), *whole, F.lit(found.digest).alias("codebooks_sha256"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
+    found = identified(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filters": op2_url_filters,
@@ -119,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_permutation_index": op10_permutation_index,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_vector_codes": op12_vector_codes,
+    "op13_language_id": op13_language_id,
 }
 
 

@@ -92,7 +92,7 @@ def scatter_sums(rows: DataFrame, scale: int) -> tuple[int, list[int], list[list
 
 
 def is_prime(p: int) -> bool:
-    """Miller and Rabin's test; these bases are proven for all numbers below 2^32."""
+    """Miller and Rabin's test; these bases are proven for all numbers below 2^31."""
     if p < 2 or p % 2 == 0:
         return p == 2
     odd, twos = p - 1, 0
