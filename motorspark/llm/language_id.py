@@ -6,7 +6,7 @@ training texts know any n-gram gives the mean of those. A language that lacks a
 frequency there can be. A text's language has the best mean over its words.
 
 Counts cover all training rows and the dictionary may be of any size, so it is never gathered in one place. Texts are read
-once into blocks: a block holds some 32 MB of texts, or one longer text, as bags over its own sorted dictionary. A block asks for each of its words
+once into blocks: a block holds some 48 MB of texts, or one longer text, as bags over its own sorted dictionary. A block asks for each of its words
 once, and the same shuffle by 64-bit hash carries its counts; the answers go back to the block. So even the most frequent word
 has one row per block in any shuffle, and the longest group is as long as the list of blocks.
 """
@@ -29,10 +29,16 @@ from motorspark.llm.common import held, partitions, written
 #: Letters of the longest n-gram; longer runs of letters than MOST are read as several words.
 LONGEST, MOST = 4, 1000
 #: Characters worked on at a time, bytes of text per block.
-CHUNK, BLOCK = 1 << 20, 32 << 20
+CHUNK, BLOCK = 1 << 20, 48 << 20
+#: An ask's ``at`` is block * PLACES + place, the last place standing for no answer wanted; ``counted`` is language * COUNTS + n.
+PLACES, COUNTS = 1 << 28, 1 << 40
+#: Blocks that one task may make.
+TASK = 1 << 12
 ODD = np.uint64(0x9E3779B97F4A7C13)
-ASKS = "hash long, block long, place int, lang int, n long"
-ANSWERS = "block long, places binary, langs binary, counts binary"
+ASKS = "hash long, at long, counted long"
+ANSWERED = ["block", "steps", "langs", "low", "high"]
+ANSWERS = "block long, steps binary, langs binary, low binary, high binary"
+LOW = (1 << 31) - 1
 UNKNOWN = "und"
 
 
@@ -132,51 +138,70 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-@dataclass
 class Bags:
-    """(text, word, times) of a block as it fills, and the letters of its words."""
+    """A block as it fills: (text, word, times) of its texts, the numbers and letters of its words, which texts hold a letter."""
 
-    rows: list
-    times: list
-    keys: list
-    letters: dict
-    lettered: np.ndarray
+    def __init__(self) -> None:
+        self.rows: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+        self.numbers: dict[int, int] = {}
+        self.letters: list[str] = []
+        self.lettered = np.zeros(0, bool)
 
     def add(self, owners: list[int], found: list[str]) -> None:
         codes = code_points("\n" + "\n".join(found) + "\n")
         starts, ends = spans(codes)
         lengths = np.fromiter((len(p) + 1 for p in found), np.int64, len(found))
         heads = np.cumsum(lengths) - lengths + 1
-        owner = np.array(owners)
-        at = np.searchsorted(heads, starts, side="right") - 1
-        keys = hashes(prefix_sums(codes), starts, ends, 0)
-        letters = np.add.reduceat(tables().letter[codes].astype(np.int64), heads) > 0
+        owner = np.array(owners, np.int32)
+        letters = np.add.reduceat(tables().letter[codes].astype(np.int32), heads) > 0
         np.logical_or.at(self.lettered, owner, letters)
-        words, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        texts = code_text(codes)
-        for key, s, e in zip(words.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
-            if key not in self.letters:
-                self.letters[key] = texts[s:e]
-        pair, times = np.unique(owner[at] * len(words) + which, return_counts=True)
-        self.rows.append(pair // max(1, len(words)))
-        self.keys.append(words[pair % max(1, len(words))] if len(pair) else words)
-        self.times.append(times)
+        keys, first, which = np.unique(hashes(prefix_sums(codes), starts, ends, 0), return_index=True, return_inverse=True)
+        text, number = code_text(codes), np.empty(len(keys), np.int32)
+        for at, (key, s, e) in enumerate(zip(keys.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True)):
+            known = self.numbers.setdefault(key, len(self.letters))
+            if known == len(self.letters):
+                self.letters.append(text[s:e])
+            number[at] = known
+        place = np.searchsorted(heads, starts, side="right") - 1
+        pair, times = np.unique(owner[place] * max(1, len(keys)) + which, return_counts=True)
+        self.rows.append((pair // max(1, len(keys))).astype(np.int32))
+        self.words.append(number[pair % max(1, len(keys))] if len(pair) else number)
+        self.times.append(times.astype(np.int32))
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, places and times in order, a pair once, and the words by place: frequent words have small places."""
+        row, word, times = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (self.rows, self.words, self.times))
+        by_size = np.argsort(-np.bincount(word, minlength=len(self.letters)), kind="stable")
+        rank = np.empty(len(by_size), np.int32)
+        rank[by_size] = np.arange(len(by_size))
+        pair = row.astype(np.int64) * max(1, len(by_size)) + rank[word]
+        order = np.argsort(pair, kind="stable")
+        pair, times = pair[order], times[order]
+        heads = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+        pair, times = pair[heads], np.add.reduceat(times.astype(np.int64), heads) if len(heads) else times
+        return (pair // max(1, len(by_size))).astype(np.int32), (pair % max(1, len(by_size))).astype(np.int32), times, by_size
 
 
 def code_text(codes: np.ndarray) -> str:
     return codes.tobytes().decode("utf-32-le")
 
 
+def codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=9)
+
+
 def squeezed(x: np.ndarray) -> bytes:
-    """Numbers below 2^32, each byte of them in a plane of its own, compressed."""
+    """Numbers below 2^31, each byte of them in a plane of its own, compressed."""
     planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    return len(x).to_bytes(8, "little") + codec().compress(planes.tobytes(), asbytes=True)
 
 
 def unsqueezed(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+    planes = np.frombuffer(codec().decompress(data[8:], 4 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
 
 
 def block_schema(row: T.StructField) -> T.StructType:
@@ -194,25 +219,18 @@ def to_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     """
 
     def block(number: int, kept: list, langs: list, bags: Bags) -> pa.RecordBatch:
-        row, key, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (bags.rows, bags.keys, bags.times))
-        words, which = np.unique(key, return_inverse=True)
-        # frequent words get small places
-        rank = np.empty(len(words), np.int64)
-        by_size = np.argsort(-np.bincount(which, minlength=len(words)), kind="stable")
-        rank[by_size] = np.arange(len(words))
-        pair, back = np.unique(row * max(1, len(words)) + rank[which], return_inverse=True)
-        times = np.bincount(back, weights=times, minlength=len(pair)).astype(np.int64)
-        row, place = pair // max(1, len(words)), pair % max(1, len(words))
+        row, place, times, by_size = bags.table()
         steps = np.diff(place, prepend=0)
-        steps[np.flatnonzero(np.diff(row, prepend=-1))] = place[np.flatnonzero(np.diff(row, prepend=-1))]
-        texts = "\n".join(bags.letters[k] for k in words[by_size].tolist()).encode()
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        steps[first] = place[first]
+        texts = "\n".join([bags.letters[k] for k in by_size.tolist()]).encode()
         n = len(bags.lettered)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([number]), listed(pa.concat_arrays(kept)), listed(pa.concat_arrays(langs)),
                 pa.array([squeezed(bags.lettered)], pa.binary()), pa.array([squeezed(np.bincount(row, minlength=n))], pa.binary()),
-                pa.array([squeezed(steps)], pa.binary()), pa.array([squeezed(np.minimum(times, 2**32 - 1))], pa.binary()),
-                pa.array([len(texts).to_bytes(8, "little") + pa.compress(texts, "zstd", asbytes=True)], pa.binary()),
+                pa.array([squeezed(steps)], pa.binary()), pa.array([squeezed(np.minimum(times, 2**31 - 1))], pa.binary()),
+                pa.array([len(texts).to_bytes(8, "little") + codec().compress(texts, asbytes=True)], pa.binary()),
             ],
             names=["block", "rows", "langs", "lettered", "sizes", "steps", "times", "words"],
         )
@@ -220,10 +238,10 @@ def to_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() * TASK
         kept: list = []
         langs: list = []
-        bags, size = Bags([], [], [], {}, np.zeros(0, bool)), 0
+        bags, size = Bags(), 0
         for batch in batches:
             at = 0
             column = batch.column("text").cast(pa.large_string())
@@ -241,7 +259,7 @@ def to_blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
                 if size >= block_bytes or stop < batch.num_rows:
                     yield block(number, kept, langs, bags)
                     number, kept, langs = number + 1, [], []
-                    bags, size = Bags([], [], [], {}, np.zeros(0, bool)), 0
+                    bags, size = Bags(), 0
                 at = stop
         if kept:
             yield block(number, kept, langs, bags)
@@ -277,16 +295,18 @@ class Block:
 
 def read_block(row: dict) -> Block:
     sizes, steps = unsqueezed(row["sizes"]), unsqueezed(row["steps"])
-    total = np.cumsum(steps)
+    total = np.cumsum(steps, dtype=np.int64)
     first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    base = np.repeat(total[first] - steps[first], sizes[sizes > 0]) if len(first) else total
-    langs = np.array([-1 if x is None else x for x in row["langs"]], np.int64)
+    if len(first):
+        total -= np.repeat(total[first] - steps[first], sizes[sizes > 0])
+    langs = np.array([-1 if x is None else x for x in row["langs"]], np.int32)
     words = row["words"]
-    text = pa.decompress(words[8:], int.from_bytes(words[:8], "little"), "zstd", asbytes=True).decode()
+    text = codec().decompress(words[8:], int.from_bytes(words[:8], "little"), asbytes=True).decode()
     codes = code_points("\n" + text + "\n")
     edges = np.flatnonzero(codes == 10)
     starts, ends = (edges[:-1] + 1, edges[1:]) if text else (edges[:0], edges[:0])
-    return Block(langs, unsqueezed(row["lettered"]) > 0, np.repeat(np.arange(len(sizes)), sizes), total - base, unsqueezed(row["times"]), codes, starts, ends)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    return Block(langs, unsqueezed(row["lettered"]) > 0, owner, total.astype(np.int32), unsqueezed(row["times"]), codes, starts, ends)
 
 
 def in_runs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -308,7 +328,7 @@ def word_hashes(block: Block) -> np.ndarray:
 
 def grams(block: Block, chosen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(word, hash) of every n-gram of the chosen words; from two letters on, the ends of a word count as a character."""
-    words, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    words, keys = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
     pad = int(n > 1)
     for a, b in in_runs(block.starts, block.ends):
         mine = chosen[(chosen >= a) & (chosen < b)]
@@ -317,7 +337,7 @@ def grams(block: Block, chosen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
         low, high = block.starts[a] - 1, block.ends[b - 1] + 1
         sums = prefix_sums(block.codes[low:high])
         count = np.maximum(0, block.ends[mine] - block.starts[mine] + 2 * pad - n + 1)
-        word = np.repeat(mine, count)
+        word = np.repeat(mine.astype(np.int32), count)
         place = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + block.starts[word] - pad - low
         words.append(word)
         keys.append(hashes(sums, place, place + n, n))
@@ -350,13 +370,14 @@ def asks(blocks: DataFrame) -> DataFrame:
                 block = read_block(row)
                 words, seen = word_hashes(block), block.seen
                 asked = np.zeros(len(words), bool)
+                spoken = block.langs[block.owner]
                 for lang in np.unique(block.langs[block.langs >= 0]).tolist():
-                    mine = block.langs[block.owner] == lang
-                    place, n = summed(block.place[mine], block.times[mine])
+                    mine = spoken == lang
+                    weight = np.bincount(block.place[mine], weights=block.times[mine], minlength=len(words)).astype(np.int64)
+                    place = np.flatnonzero(weight)
+                    n = weight[place]
                     yield ask(row["block"], words[place], np.where(asked[place], -1, place), lang, n)
                     asked[place] = True
-                    weight = np.zeros(len(words), np.int64)
-                    weight[place] = n
                     for size in range(1, LONGEST + 1):
                         word, key = grams(block, place, size)
                         key, n = summed(key, weight[word])
@@ -370,37 +391,37 @@ def asks(blocks: DataFrame) -> DataFrame:
 
 
 def ask(block: int, key: np.ndarray, place: np.ndarray, lang: int, n: np.ndarray) -> pa.RecordBatch:
-    size = len(key)
-    columns = [key.view(np.int64), np.full(size, block), place.astype(np.int32), np.full(size, lang, np.int32), n.astype(np.int64)]
-    return pa.record_batch([pa.array(c) for c in columns], names=["hash", "block", "place", "lang", "n"])
+    at = block * PLACES + np.where(place < 0, PLACES - 1, place).astype(np.int64)
+    counted = n.astype(np.int64) + max(lang, 0) * COUNTS
+    return pa.record_batch([pa.array(key.view(np.int64)), pa.array(at), pa.array(counted)], names=["hash", "at", "counted"])
 
 
 def answered(asked: DataFrame) -> DataFrame:
     """For every asking place of a block: the languages that hold its hash, with their counts over all blocks."""
 
     def packed(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, block, place, lang, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        key, at, counted = (np.concatenate(c) for c in zip(*parts, strict=True))
         group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        counted = n > 0
+        known = np.flatnonzero(counted % COUNTS)
+        lang, n = counted[known] // COUNTS, counted[known] % COUNTS
         width = int(lang.max(initial=0)) + 1
-        pair, total = summed(group[counted] * width + lang[counted], n[counted])
+        pair, total = summed(group[known] * width + lang, n)
         per_group = np.bincount(pair // width, minlength=int(group[-1]) + 1)
         first = np.cumsum(per_group) - per_group
-        wants = np.flatnonzero(place >= 0)
-        wants = wants[np.argsort(block[wants], kind="stable")]
+        wants = np.flatnonzero(at % PLACES != PLACES - 1)
+        wants = wants[np.argsort(at[wants], kind="stable")]
         times = per_group[group[wants]]
         entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[group[wants]], times)
-        to, at = np.repeat(block[wants], times), np.repeat(place[wants], times)
-        if not len(to):
-            return
-        cuts = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
-        columns: list[list] = [to[cuts[:-1]].tolist(), [], [], []]
+        to, place = np.repeat(at[wants] // PLACES, times), np.repeat(at[wants] % PLACES, times)
+        cuts = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
+        columns: list[list] = [[], [], [], [], []]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            columns[1].append(at[a:b].astype(np.int32).tobytes())
-            columns[2].append((pair[entry[a:b]] % width).astype(np.int32).tobytes())
-            columns[3].append(total[entry[a:b]].tobytes())
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "places", "langs", "counts"])
+            n = total[entry[a:b]]
+            cells = [np.diff(place[a:b], prepend=0), pair[entry[a:b]] % width, n & LOW, n >> 31]
+            for column, value in zip(columns, [int(to[a]), *map(squeezed, cells)], strict=True):
+                column.append(value)
+        if columns[0]:
+            yield pa.record_batch([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=ANSWERED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
@@ -408,7 +429,7 @@ def answered(asked: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [np.asarray(batch.column(c)) for c in ("hash", "block", "place", "lang", "n")]
+            columns = [np.asarray(batch.column(c)) for c in ("hash", "at", "counted")]
             # rows of the batch's last hash wait for the next one
             cut = int(np.searchsorted(columns[0], columns[0][-1], side="left"))
             if rows >= 1 << 19 and (cut or parts[-1][0][-1] != columns[0][0]):
@@ -494,9 +515,11 @@ def scored(blocks: DataFrame, answers: DataFrame, languages: list[str], words: n
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        answer = {name: [x.as_py() for x in right.column(name)] for name in ("places", "langs", "counts")}
-        places, langs = (np.frombuffer(b"".join(answer[c]), np.int32).astype(np.int64) for c in ("places", "langs"))
-        counts = np.frombuffer(b"".join(answer["counts"]), np.int64)
+        answer = {name: [unsqueezed(x.as_py()) for x in right.column(name)] for name in ANSWERED[1:]}
+        none = [np.zeros(0, np.int64)]
+        places = np.concatenate([np.cumsum(x, dtype=np.int64) for x in answer["steps"]] or none)
+        langs = np.concatenate(answer["langs"] or none)
+        counts = np.concatenate([low + (high.astype(np.int64) << 31) for low, high in zip(answer["low"], answer["high"], strict=True)] or none)
         given = left.drop_columns(["rows"]).to_pylist()
         for at, each in enumerate(given):
             block = read_block(each)
