@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.values import lenient_number, nullify
 from motorspark.sources import schemas
+from motorspark.sources.records import records
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
@@ -26,25 +27,42 @@ def read_csv(
     exclude: Sequence[str] = (),
     multi_line: bool = False,
     trimmed: bool = False,
+    whole_files: bool = False,
 ) -> DataFrame:
     """CSV with a header, by column name, with missing-value spellings read as missing.
 
-    With ``multi_line`` values may hold line breaks, and one file is one task; with ``trimmed`` spellings may stand between blanks.
+    With ``multi_line`` values may hold line breaks, and a file is still read by many tasks (see ``records``); only files with
+    single quotes in unquoted values need ``whole_files``, which makes one file one task. With ``trimmed`` spellings may stand
+    between blanks.
 
     Every column is read as text and cast leniently to its declared type, so ``NA`` in a number
     column is missing and not an error. Column names are trimmed. Unselected columns are pruned
     by the reader.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    df = trim_columns(reader.csv(path))
+    reader = spark.read.option("header", True).option("escape", '"')
+    if multi_line and not whole_files:
+        names = [c.strip() for c in reader.csv(path).columns]
+        df = parsed(records(spark, path), names, [c for c in (columns or names) if c not in exclude])
+    else:
+        df = trim_columns(reader.option("multiLine", multi_line).csv(path))
     kept = [c for c in (columns or df.columns) if c not in exclude]
     df = nullify(df.select(*[_quoted(c) for c in kept]), kept, trimmed=trimmed)
     types = {f.name: f.dataType for f in schema.fields} if schema else {}
     return df.select(*[_typed(c, types.get(c)) for c in kept])
 
 
+def parsed(rows: DataFrame, names: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """The kept fields of CSV records as text columns; missing ones at the end of a record are missing values.
+
+    The parser walks over the other fields, which have a number for a name.
+    """
+    schema = ", ".join(f"{_quoted(n if n in kept else f'_unread_{i}')} string" for i, n in enumerate(names))
+    fields = F.from_csv("value", schema, {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    return rows.select(fields.alias("fields")).select(*[F.col("fields")[n].alias(n) for n in names if n in kept])
+
+
 def _quoted(name: str) -> str:
-    return f"`{name}`"
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _typed(name: str, dtype: T.DataType | None):
@@ -57,7 +75,7 @@ def trim_columns(df: DataFrame) -> DataFrame:
 
 
 def read_listings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Descriptions hold line breaks, though they are not read; without ``multi_line`` such rows are cut at the break."""
+    """Descriptions hold line breaks, though they are not kept; without ``multi_line`` such rows are cut at the break."""
     df = read_csv(spark, path, schemas.LISTINGS, exclude=fixed.UNREAD_COLUMNS, multi_line=multi_line)
     return df.withColumn("year", F.col("year").cast("int"))
 
