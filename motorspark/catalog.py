@@ -500,8 +500,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def coverage_recalls(spark, sf_dir):
     counts = reports.value_counts(quality(spark, sf_dir), "join_quality", "recalls")
-    total = views.recalls(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
-    return counts.withColumn("pct_of_recalls", F.col("recalls") * 100.0 / total)
+    return reports.with_share(counts, "recalls", "pct_of_recalls")
 
 
 @query

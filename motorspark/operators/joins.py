@@ -74,7 +74,7 @@ def enrich(
 def match_ids(fact: DataFrame, keys: DataFrame, on: Sequence[str], id_column: str) -> DataFrame:
     """Ids of fact rows whose key is in the key set."""
     reached = fact.select(id_column, *on).distinct()
-    return spread_join(reached, keys.select(*on).distinct(), on, id_column, "left_semi").select(id_column).distinct()
+    return reached.join(keys.select(*on).distinct(), list(on), "left_semi").select(id_column).distinct()
 
 
 def count_distinct_by(df: DataFrame, keys: Sequence[str], id_column: str, alias: str) -> DataFrame:

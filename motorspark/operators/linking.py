@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.text import announcing_sentence, first_token, model_years, name_tokens
 from motorspark.functions.values import holds
-from motorspark.operators.joins import count_distinct_by, enrich, match_ids, spread_join
+from motorspark.operators.joins import count_distinct_by, enrich, match_ids
 from motorspark.operators.reports import value_counts
 from motorspark.session import checkpointed
 
@@ -90,7 +90,7 @@ def link_table(parsed: DataFrame, vocabulary: DataFrame, id_column: str, group:
     tokens = parsed.where(F.size("years") > 0).select(
         id_column, group, "years", F.explode("tokens").alias("model_token")
     )
-    known = spread_join(tokens, vocabulary, ["model_token"], id_column, "left_semi")
+    known = tokens.join(vocabulary, "model_token", "left_semi")
     return known.select(id_column, group, F.explode("years").alias("year"), "model_token")
 
 
@@ -106,10 +106,11 @@ def _count_columns(df: DataFrame) -> DataFrame:
 
 
 def recall_features(
-    listings: DataFrame, by_year: DataFrame, by_model: DataFrame, group: str, spread: str | None = "id"
+    listings: DataFrame, by_year: DataFrame, by_model: DataFrame, group: str, spread: str | None = None
 ) -> DataFrame:
     """Recall counts on every listing: one row in, one row out.
 
+    Keys with many listings are left to adaptive execution, which splits them, unless ``spread`` names a column to salt by.
     ``model_token`` may be the plain first word of the model: the counts hold usable words only.
     """
     first = enrich(listings, by_model, [group, "year", "model_token"], {"recall_count": 0}, spread)

@@ -1,65 +1,60 @@
 """Exact ranks and quantiles without one task per group.
 
-A group may hold a third of all rows, so its values are never gathered in one place. Rows are
-first reduced to distinct (group, value) pairs with counts, then the value axis is cut at
-global quantile points, and only bucket totals, a bounded number per group, are
-summed in order. One window partition holds one bucket of one group.
+A group may hold a third of all rows, so its values are never gathered in one place. Rows are first reduced to distinct
+(group, value) pairs with counts, which are written once. Ranks and running sums are taken in ranges of the order: a range is
+summed up where it lies, and the sums of the ranges before it come from a table of one line per range and group.
+
+Quantiles are selected, not ordered, where a group has too many distinct values for one task: every round fixes the next
+sixteen bits of every wanted rank of all groups in one aggregate, until what is left of each is few.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import sqrt
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motorspark.operators.joins import spread_join
+from motorspark.session import checkpointed
+
+#: Distinct values that one window may order, lines of a table that may be broadcast, bits that a round fixes.
+MOST, BROADCAST, BITS = 1 << 20, 20000, 16
+QUARTILES = {"q25": 0.25, "median_price": 0.5, "q75": 0.75}
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Value buckets: as many as shuffle partitions."""
+    """Ranges of an order: as many as shuffle partitions."""
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _bucketed_counts(
-    df: DataFrame, keys: Sequence[str], value: str, buckets: int | None, weight: str | None = None
-) -> DataFrame:
-    """Distinct (keys, value) with their row count, or weight, ``n`` and value bucket."""
-    buckets = buckets or bucket_count(df)
+def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
+    """All keys equal, missing ones with each other."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys], F.lit(True))
+
+
+def distinct_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Distinct (keys, value) with their row count, or weight, ``n``; missing values are left out. Written once."""
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("n"))
-    points = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
-    # The row total keeps this aggregate on the same exchange as the main branch.
-    found = counts.agg(
-        F.expr(f"percentile_approx(`{value}`, array({points}), {20 * buckets})").alias("edges"), F.sum("n").alias("rows")
-    )
-    # Two levels: every step-th edge first, then the edges up to the next of those.
-    step = max(1, round(sqrt(buckets)))
-    coarse = F.filter("edges", lambda _, i: i % step == step - 1)
-    edges = found.select(F.struct("edges", coarse.alias("coarse"), "rows")).scalar()
-    below = F.size(F.filter(F.col("_edges")["coarse"], lambda edge: edge < F.col(value))) * step
-    near = F.slice(F.col("_edges")["edges"], F.col("_bucket") + 1, step)
-    return (
-        counts.withColumn("_edges", edges)
-        .withColumn("_bucket", below)
-        .withColumn("_bucket", F.col("_bucket") + F.size(F.filter(near, lambda edge: edge < F.col(value))))
-        .drop("_edges")
-    )
-
-
-def _bucket_offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows in lower buckets (``_offset``), rows up to this one (``_upto``) and in the group (``total``)."""
-    in_group = Window.partitionBy(*keys)
-    running = in_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        counts.groupBy(*keys, "_bucket")
-        .agg(F.sum("n").alias("_rows"))
-        .withColumn("_upto", F.sum("_rows").over(running))
-        .withColumn("_offset", F.col("_upto") - F.col("_rows"))
-        .withColumn("total", F.sum("_rows").over(in_group))
-        .drop("_rows")
-    )
+    return checkpointed(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("n")))
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, ranges: int | None = None) -> DataFrame:
+    """Adds ``before``, the weight of all rows of the group that come earlier, and ``total``, that of the group.
+
+    Rows are dealt to ranges of (keys, order) and written once; no window spans more than a range, or more lines than ranges.
+    ``order`` must tell the rows of a group apart.
+    """
+    dealt = df.withColumn("_weight", weight).repartitionByRange(ranges or bucket_count(df), *keys, *order)
+    dealt = checkpointed(dealt.withColumn("_range", F.spark_partition_id()))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum("_weight").alias("_sum"))
+    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).withColumn("total", F.sum("_sum").over(group))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.alias("l").join(F.broadcast(offsets).alias("r") if not keys else offsets.alias("r"), same_keys("l", "r", [*keys, "_range"]))
+    before = F.col("_offset") + F.coalesce(F.sum("_weight").over(inside), F.lit(0))
+    return joined.select("l.*", "r._offset", "r.total").withColumn("before", before).drop("_offset", "_range", "_weight")
 
 
 def value_ranks(
@@ -69,27 +64,21 @@ def value_ranks(
 
     With a weight column, rows count with their weight.
     """
-    counts = _bucketed_counts(df, keys, value, buckets, weight)
-    return _with_positions(counts, _bucket_offsets(counts, keys), keys, value).drop("_bucket")
-
-
-def _with_positions(counts: DataFrame, offsets: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    in_bucket = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    left, right = counts.alias("c"), offsets.alias("o")
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, "_bucket"]]
-    condition = same[0]
-    for term in same[1:]:
-        condition = condition & term
-    return (
-        left.join(right, condition)
-        .select("c.*", "o._offset", "o.total")
-        .withColumn("before", F.col("_offset") + F.sum("n").over(in_bucket) - F.col("n"))
-        .drop("_offset")
-    )
+    return running_sums(distinct_counts(df, keys, value, weight), keys, [value], F.col("n"), buckets)
+
+
+def _place(q: float, side: str) -> str:
+    return f"CAST({side}({q!r}D * (total - 1)) AS BIGINT)"
+
+
+def _picked(ranked: DataFrame, keys: Sequence[str], points: dict[str, float], at: str) -> DataFrame:
+    """One row per group with its total and the values at the two places around every quantile; ``at`` tells if a row holds a place."""
+    picks = [
+        F.expr(f"max(CASE WHEN {at.format(place=_place(q, side))} THEN _v END) AS `_{tag}_{name}`")
+        for name, q in points.items()
+        for tag, side in (("lo", "floor"), ("hi", "ceil"))
+    ]
+    return ranked.groupBy(*keys).agg(F.max("total").alias("total"), *picks)
 
 
 def quantiles(
@@ -98,43 +87,77 @@ def quantiles(
     value: str,
     points: dict[str, float],
     count: str | None = None,
-    buckets: int | None = None,
+    most: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation per group; ``points`` maps output name to quantile."""
-    counts = _bucketed_counts(df, keys, value, buckets)
-    offsets = _bucket_offsets(counts, keys)
+    """Exact quantiles with linear interpolation per group; ``points`` maps output name to quantile. With a weight column, a
+    whole number, rows count as often as it says.
 
-    def place(q: float, side: str) -> str:
-        return f"{side}({q!r}D * (total - 1))"
-
-    sides = [(name, q, tag, side) for name, q in points.items() for tag, side in (("lo", "floor"), ("hi", "ceil"))]
-    needed = " OR ".join(f"(_offset <= {place(q, side)} AND {place(q, side)} < _upto)" for _, q, _, side in sides)
-    ranked = _with_positions(counts, offsets.where(needed), keys, value)
-    picks = [
-        F.expr(
-            f"max(CASE WHEN before <= {place(q, side)} AND {place(q, side)} < before + n "
-            f"THEN CAST(`{value}` AS DOUBLE) END) AS `_{tag}_{name}`"
-        )
-        for name, q, tag, side in sides
-    ]
-    picked = ranked.groupBy(*keys).agg(F.max("total").alias("total"), *picks)
+    Groups of at most ``most`` distinct values are ordered in one window each; if there is a larger one, ranks are selected by
+    their bits first.
+    """
+    most = most or MOST
+    counts = distinct_counts(df.withColumn("_v", F.col(value).cast("double")), keys, "_v", weight)
+    sizes = checkpointed(counts.groupBy(*keys).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("_distinct")))
+    if (sizes.agg(F.max("_distinct")).first()[0] or 0) <= most:
+        group = Window.partitionBy(*keys)
+        before = F.coalesce(F.sum("n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = counts.withColumns({"total": F.sum("n").over(group), "before": before})
+        found = _picked(ranked, keys, points, "before <= {place} AND {place} < before + n")
+    else:
+        found = _picked(_selected(counts, sizes, keys, points, most), keys, points, "_rank = {place}")
     between = [
-        f"`_lo_{name}` + (`_hi_{name}` - `_lo_{name}`) * ({q!r}D * (total - 1) - {place(q, 'floor')}) AS `{name}`"
+        f"`_lo_{name}` + (`_hi_{name}` - `_lo_{name}`) * ({q!r}D * (total - 1) - {_place(q, 'floor')}) AS `{name}`"
         for name, q in points.items()
     ]
     counted = [f"total AS `{count}`"] if count else []
-    return picked.selectExpr(*[f"`{k}`" for k in keys], *counted, *between)
+    return found.selectExpr(*[f"`{k}`" for k in keys], *counted, *between)
 
 
-QUARTILES = {"q25": 0.25, "median_price": 0.5, "q75": 0.75}
+def _ordered_bits(value: str) -> Column:
+    """A long that sorts as the double does."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(value)).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
 
 
-def average_rank(df: DataFrame, key: str, value: str, alias: str, descending: bool = True) -> DataFrame:
-    """Rank of each row by ``value``; ties share the mean rank, cut to a whole number.
+def _selected(counts: DataFrame, sizes: DataFrame, keys: Sequence[str], points: dict[str, float], most: int) -> DataFrame:
+    """One row per group and wanted rank, ``_rank``, with its value ``_v`` and the group's ``total``.
 
-    ``key`` identifies the rows and spreads those of one value over the tasks of the join.
+    A line of ``wanted`` is a rank with the bits of its value that are known and the rows below them. A round counts the values
+    that share these bits by the next ones. Ranks are as many as groups times points: the table is broadcast while it
+    is short, and beyond that joined by keys and bits, where adaptive execution splits large ones.
     """
+    bits = checkpointed(counts.withColumn("_bits", _ordered_bits("_v")))
+    places = F.array(*[F.expr(_place(q, side)) for q in points.values() for side in ("floor", "ceil")])
+    wanted = sizes.select(*keys, "total", F.explode(F.array_distinct(places)).alias("_rank"))
+    wanted = checkpointed(wanted.withColumns({"_known": F.lit(0).cast("long"), "_below": F.lit(0).cast("long"), "_left": F.lit(most + 1).cast("long")}))
+    short = wanted.count() <= BROADCAST
+    fixed = 0
+    while fixed < 64 and wanted.agg(F.max("_left")).first()[0] > most:
+        step = min(BITS, 64 - fixed)
+        digit = F.shiftright("_bits", 64 - fixed - step)
+        tallies = _sharing(bits, wanted, keys, fixed, short).groupBy(*keys, "total", "_rank", "_below", digit.alias("_digit"))
+        tallies = tallies.agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_left"))
+        rank = Window.partitionBy(*keys, "_rank").orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
+        placed = tallies.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_n").over(rank), F.lit(0)))
+        holds_it = (F.col("_below") <= F.col("_rank")) & (F.col("_rank") < F.col("_below") + F.col("_n"))
+        wanted = checkpointed(placed.where(holds_it).select(*keys, "total", "_rank", F.col("_digit").alias("_known"), "_below", "_left"))
+        fixed += step
+    rank = Window.partitionBy(*keys, "_rank").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    last = _sharing(bits, wanted, keys, fixed, short).withColumn("_before", F.col("_below") + F.coalesce(F.sum("n").over(rank), F.lit(0)))
+    return last.where("_before <= _rank AND _rank < _before + n").select(*keys, "total", "_rank", "_v")
+
+
+def _sharing(bits: DataFrame, wanted: DataFrame, keys: Sequence[str], fixed: int, short: bool) -> DataFrame:
+    """The values that share the known bits of a wanted rank, once per such rank."""
+    known = F.shiftright("_bits", 64 - fixed) if fixed else F.lit(0).cast("long")
+    left, right = bits.withColumn("_known", known).alias("l"), (F.broadcast(wanted) if short else wanted).alias("r")
+    return left.join(right, same_keys("l", "r", [*keys, "_known"])).select("l.*", "r.total", "r._rank", "r._below")
+
+
+def average_rank(df: DataFrame, key: str, value: str, alias: str, descending: bool = True) -> DataFrame:
+    """Rank of each row by ``value``; ties share the mean rank, cut to a whole number."""
     ranks = value_ranks(df.select(value), [], value)
     first = F.col("total") - F.col("before") - F.col("n") if descending else F.col("before")
     ranks = ranks.select(value, F.floor(first + (F.col("n") + 1) / 2).cast("long").alias(alias))
-    return spread_join(df, ranks, [value], key)
+    return df.join(ranks, value, "left")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.values import band, bin_number, cut, holds
-from motorspark.operators.joins import spread_join
 from motorspark.operators.ordering import QUARTILES, quantiles
 from motorspark.operators.reports import top_k
+from motorspark.session import checkpointed
 
 
 def stacked_summary(df: DataFrame, columns: Sequence[str], value: str) -> DataFrame:
@@ -65,15 +65,15 @@ def brand_summary(df: DataFrame, brand: str, measures: dict[str, str], min_rows:
     return wide.withColumn("iqr", F.col("q75") - F.col("q25")).where(F.col("listings") >= min_rows)
 
 
-def box_stats(df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
+def box_stats(df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5, weight: str | None = None) -> DataFrame:
     """Quartiles and the outermost values within ``reach`` times the quartile distance."""
     present = df.dropna(subset=[*keys, value])
-    boxes = quantiles(present, keys, value, QUARTILES, "listings")
-    distinct_values = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    boxes = quantiles(present, keys, value, QUARTILES, "listings", weight=weight)
+    distinct_values = present.select(*keys, value).distinct()
     spread = (F.col("q75") - F.col("q25")) * reach
     inside = F.col(value).between(F.col("q25") - spread, F.col("q75") + spread)
     return (
-        spread_join(distinct_values, boxes, keys, value, "inner")
+        distinct_values.join(boxes, list(keys))
         .where(inside)
         .groupBy(*keys, "listings", *QUARTILES)
         .agg(F.min(value).alias("whisker_low"), F.max(value).alias("whisker_high"))
@@ -85,10 +85,17 @@ def brand_era_boxes(
     edges: Sequence[int] = fixed.ERA_EDGES, labels: Sequence[str] = fixed.ERA_LABELS,
     k: int = 10, unknown: str = "unknown",
 ) -> DataFrame:
-    """Box statistics by era of the k most listed brands (at most k rows are broadcast)."""
-    top = top_k(df, brand, k, [unknown]).select(brand)
-    eras = df.join(F.broadcast(top), brand, "left_semi").withColumn("era", cut(F.col(year), edges, labels))
-    return box_stats(eras, [brand, "era"], value)
+    """Box statistics by era of the k most listed brands (at most k rows are broadcast); rows are counted once for both."""
+    counts = checkpointed(df.groupBy(brand, year, value).agg(F.count(F.lit(1)).alias("_n")))
+    top = most_listed(counts, brand, k, unknown)
+    eras = counts.join(F.broadcast(top), brand, "left_semi").withColumn("era", cut(F.col(year), edges, labels))
+    return box_stats(eras, [brand, "era"], value, weight="_n")
+
+
+def most_listed(counts: DataFrame, key: str, k: int, unknown: str) -> DataFrame:
+    """The k keys with the most rows in a table of counts ``_n``, ties to the smaller key."""
+    known = counts.where(F.col(key).isNotNull() & (F.col(key) != unknown))
+    return known.groupBy(key).agg(F.sum("_n").alias("_n")).orderBy(F.col("_n").desc(), key).limit(k).select(key)
 
 
 def depreciation(df: DataFrame, age: str, value: str, max_age: int = 25) -> DataFrame:
@@ -101,18 +108,19 @@ def depreciation_by(
 ) -> DataFrame:
     """Median price by age for the k most listed brands and for all rows.
 
-    Each row is counted once for its own brand, when that is a listed one, and once for all.
+    Rows are counted once; each counts for its own brand, when that is a listed one, and for all.
     """
-    top = top_k(df, key, k, [unknown]).select(F.col(key).alias("_top"))
+    counts = checkpointed(df.groupBy(key, age, value).agg(F.count(F.lit(1)).alias("_n")))
+    top = most_listed(counts, key, k, unknown).select(F.col(key).alias("_top"))
     series = F.when(F.col("_top").isNotNull(), F.array(F.lit(everything), F.col("_top"))).otherwise(
         F.array(F.lit(everything))
     )
     long = (
-        df.where(F.col(age) <= max_age)
+        counts.where(F.col(age) <= max_age)
         .join(F.broadcast(top), F.col(key) == F.col("_top"), "left")
-        .select(F.explode(series).alias("series"), age, value)
+        .select(F.explode(series).alias("series"), age, value, "_n")
     )
-    curves = quantiles(long, ["series", age], value, {"median_price": 0.5}, "listings")
+    curves = quantiles(long, ["series", age], value, {"median_price": 0.5}, "listings", weight="_n")
     return curves.where((F.col("series") == everything) | (F.col("listings") >= min_rows))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from motorspark.operators.ordering import running_sums
+
 
 def key_digest(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
@@ -24,11 +26,11 @@ def in_train(key: str, seed: int, share: float = 0.8) -> Column:
 def to_batches(sample: DataFrame, key: str, size: int, order: str) -> DataFrame:
     """Request batches of at most ``size`` keys, numbered from 0 in the given order.
 
-    Meant for the bounded sample that is sent to the decoder.
+    Places are counted in ranges of the order (keys that are equal in it by the key), so a sample of any size is numbered in parallel.
     """
-    place = F.row_number().over(Window.orderBy(order)) - 1
+    placed = running_sums(sample.select(*dict.fromkeys([key, order])), [], list(dict.fromkeys([order, key])), F.lit(1))
     return (
-        sample.select(key, place.alias("_place"))
+        placed.select(key, F.col("before").alias("_place"))
         .withColumn("batch", F.floor(F.col("_place") / size))
         .groupBy("batch")
         .agg(F.sort_array(F.collect_list(F.struct("_place", key))).alias("_items"))

@@ -25,7 +25,7 @@ def with_names(recalls: DataFrame, patterns: dict[str, str] = fixed.MANUFACTURER
     )
     spelling = reports.mode_by(named, "mfr_norm", "manufacturer", "_spelling")
     return (
-        joins.enrich(named, spelling, ["mfr_norm"], spread="recall_id")
+        joins.enrich(named, spelling, ["mfr_norm"])
         .withColumn("mfr_display", F.coalesce("mfr_group", "_spelling"))
         .drop("_spelling")
     )

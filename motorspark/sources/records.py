@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from motorspark.session import checkpointed
+
 SPLIT = ["_file", "_start"]
 CHANGED = "the splits of the files changed between two reads of them; set spark.sql.files.minPartitionNum"
 
@@ -64,7 +66,7 @@ def records(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     Files are read three times: once for the table of splits, once for the few lines at split borders, once for the rest.
     """
     lines = physical_lines(spark, path)
-    states = F.broadcast(split_states(lines).withColumn("known", F.lit(True)))
+    states = F.broadcast(checkpointed(split_states(lines)).withColumn("known", F.lit(True)))
     placed = lines.join(states, SPLIT, "left").where(F.when(F.col("known"), F.lit(True)).otherwise(F.raise_error(F.lit(CHANGED))))
     # a file whose lines end in return and line feed has line feeds only in its values, too
     line = F.when(F.col("returns") & F.endswith("value", F.lit("\r")), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
