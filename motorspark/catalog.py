@@ -17,7 +17,7 @@ from motorspark.functions import fixed_values as fixed
 from motorspark.functions.text import (
     announcing_sentence, classify_regex, first_token, model_years, normalize_company, severity, short_name,
 )
-from motorspark.functions.values import lenient_number, share_bucket
+from motorspark.functions.values import share_bucket
 from motorspark.operators import (
     cleaning, comparing, joins, linking, pricing, regression, reports, sampling, timeline, topics, trend,
 )
@@ -28,7 +28,7 @@ from motorspark.plans import specs as spec_plan
 from motorspark.plans import telematics as telematics_plan
 from motorspark.plans.listings import CleaningPlan, price_model, segment_models
 from motorspark.session import checkpointed
-from motorspark.sources.readers import decoded_status
+from motorspark.sources.readers import decoded_status, reply_items, spec_items
 from motorspark.sources.writers import as_lists, document
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -591,8 +591,13 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def spec_flatten(spark, sf_dir):
-    reply = F.from_json("props", "struct<k: string>")
-    return views.table(spark, sf_dir, "events").select("event_id", lenient_number(reply["k"]).alias("k"))
+    """The properties of each event as a decoder's reply: the event is the vehicle, ``k`` its engine."""
+    item = F.concat(F.lit('[{"VIN":'), F.col("event_id"), F.lit(',"reply":'), F.col("props"), F.lit("}]"))
+    replies = views.table(spark, sf_dir, "events").select(item.alias("value"))
+    fields = {"VIN": "VIN", "reply.k": "API_Engine", "reply.make": "API_Make", "reply.year": "API_Year"}
+    items = reply_items(replies, "value", "$", fields)
+    decoded = spec_items(items, fields)
+    return decoded.select(F.col("VIN").cast("long").alias("event_id"), F.col("API_Engine").alias("k"))
 
 
 @query
@@ -600,6 +605,11 @@ def spec_totals(spark, sf_dir):
     return spec_plan.vin_totals(views.listings(spark, sf_dir), "^V[0-9]+-[0-7]$")
 
 
+@query
+def spec_sample(spark, sf_dir):
+    return spec_plan.sample_totals(compared(spark, sf_dir))
+
+
 @query
 def spec_coverage(spark, sf_dir):
     return spec_plan.coverage(compared(spark, sf_dir))
@@ -710,6 +720,13 @@ def device_summary(spark, sf_dir):
     return timeline.device_summary(timeline.trip_features(signals(spark, sf_dir), SERIES), "deviceID", 100)
 
 
+@query
+def telematics_totals(spark, sf_dir):
+    trips = checkpointed(timeline.trip_features(signals(spark, sf_dir), SERIES))
+    devices = timeline.device_summary(trips, "deviceID", 100)
+    return telematics_plan.telematics_totals(views.telematics(spark, sf_dir), trips, devices, "deviceID", "tripID")
+
+
 @query
 def example_trip(spark, sf_dir):
     numbered = timeline.sessionize(views.telematics(spark, sf_dir), SERIES, GAP)

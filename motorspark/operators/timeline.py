@@ -1,30 +1,34 @@
 """Ordered work on long series: gaps, trips, runs and rolling rows.
 
-A series (a device) may hold a third of all rows, so no window covers a whole series. It is
-cut into time chunks. Two things cross a chunk border and are carried explicitly:
+A series (a device) may hold a third of all rows, so no window covers a whole series. It is cut into time chunks, which one
+exchange deals to the tasks. Two things cross a chunk border:
 
-* the last few rows before a chunk, added to it as marked overlap rows, serve ``lag`` and
-  rolling frames;
-* running totals up to a chunk come from per-chunk sums, a table of one line per chunk.
+* rows before the border that lie in the same trip serve ``lag`` and rolling frames. A trip ends after a silence longer than a
+  given gap, so only rows within that gap (times the rows of a frame) can matter: these are copied into the chunks they
+  reach as marked overlap rows where they are read, without a look at other rows;
+* running totals up to a chunk come from per-chunk sums, a table of one line per chunk, taken from the same exchange.
 
-Rows without a time come last, in the order of the tie-break, a whole number whose high bits cut them into chunks. Rows without a series key come
-after all series; each is a trip of its own, as nothing tells which row it follows.
+Rows without a time come last, in the order of the tie-break, a whole number whose high bits cut them into chunks. Rows without
+a series key come after all series; each is a trip of its own, as nothing tells which row it follows. Nothing runs before the
+result is asked for.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.values import holds
-from motorspark.session import checkpointed
 
 CHUNK = "_chunk"
 OVERLAP = "_overlap"
 _UNTIMED_BASE = 1 << 62
+#: Ranges that the series are dealt to when they are numbered.
+RANGES = 1024
 
 
 @dataclass(frozen=True)
@@ -54,49 +58,25 @@ class Series:
         return Window.partitionBy(self.key).orderBy(CHUNK)
 
 
-def with_chunks(df: DataFrame, series: Series) -> DataFrame:
-    timed = F.floor(F.unix_micros(series.ts) / (series.chunk_seconds * 1000000))
+def with_chunks(df: DataFrame, series: Series, reach: float) -> DataFrame:
+    """Rows with their chunk, and copies of them, marked as overlap, in the later chunks that start within ``reach`` seconds."""
+    micros, length = F.unix_micros(series.ts), series.chunk_seconds * 1000000
+    own = F.floor(micros / length)
+    last = F.when(F.col(series.key).isNotNull(), F.floor((micros + int(reach * 1000000)) / length))
     untimed = F.lit(_UNTIMED_BASE) + F.shiftright(F.col(series.tie).cast("long"), series.untimed_bits)
-    return df.withColumn(CHUNK, F.coalesce(timed, untimed))
+    chunks = F.coalesce(F.sequence(own, F.coalesce(last, own)), F.array(untimed))
+    return df.select("*", F.posexplode(chunks).alias(OVERLAP, CHUNK)).withColumn(OVERLAP, F.col(OVERLAP) > 0)
 
 
-def with_overlap(chunked: DataFrame, series: Series, rows: int) -> DataFrame:
-    """Adds to every chunk the last ``rows`` rows of its series before it, marked as overlap."""
-    sizes = chunked.groupBy(series.key, CHUNK).agg(F.count(F.lit(1)).alias("_size"))
-    earlier = F.collect_list(F.struct(F.col(CHUNK).alias("chunk"), F.col("_size").alias("size"))).over(
-        series.chunks.rowsBetween(-rows, -1)
-    )
-    links = (
-        sizes.withColumn("_earlier", earlier)
-        .withColumn("_sources", F.transform(F.reverse("_earlier"), _taker(rows)))
-        .select(F.col(series.key).alias("_key"), F.col(CHUNK).alias("_target"), F.inline("_sources"))
-        .where("take > 0")
-    )
-    last = Window.partitionBy(series.key, CHUNK).orderBy(*series.reverse_order)
-    tails = chunked.withColumn("_back", F.row_number().over(last)).where(F.col("_back") <= rows)
-    overlap = (
-        tails.join(links, (F.col(series.key).eqNullSafe(F.col("_key"))) & (F.col(CHUNK) == F.col("source")))
-        .where("_back <= take")
-        .withColumn(CHUNK, F.col("_target"))
-        .select(*chunked.columns, F.lit(True).alias(OVERLAP))
-    )
-    return chunked.withColumn(OVERLAP, F.lit(False)).unionByName(overlap)
-
-
-def _taker(rows: int):
-    def take(entry: Column, place: Column) -> Column:
-        nearer = F.slice(F.reverse(F.col("_earlier")), F.lit(1), place)
-        used = F.aggregate(nearer, F.lit(0).cast("long"), lambda total, e: total + e["size"])
-        return F.struct(entry["chunk"].alias("source"), (F.lit(rows) - used).alias("take"))
-
-    return take
+def held(small: DataFrame) -> DataFrame:
+    """A table of one line per chunk or trip, used several times: Spark holds it from its first use on, in memory or on disk."""
+    return small.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _offsets(sums: DataFrame, series: Series, within: list[str], across: list[str]) -> DataFrame:
     """Sum of every earlier chunk per (series, chunk); ``across`` columns also add all smaller series.
 
-    ``sums`` has one line per (series, chunk) and is written out first, so that the rows behind
-    it are read once for it and not once per use.
+    ``sums`` has one line per (series, chunk).
     """
     before = series.chunks.rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
@@ -115,24 +95,26 @@ def _offsets(sums: DataFrame, series: Series, within: list[str], across: list[st
 def _before_series(per_series: DataFrame) -> DataFrame:
     """(_own, _earlier): the weight of all series with a smaller key, a missing key last. Keys may be of any type that sorts.
 
-    Series are dealt to ranges of the key; inside a range they are added up in order, and the ranges, a line each, before it.
+    Series are dealt to ranges between the keys with the smallest hashes, which depend on the data alone; inside a range they are
+    added up in order, and the ranges, at most ``RANGES`` lines, before it.
     """
-    spark = per_series.sparkSession
-    order = F.col("_key").asc_nulls_last()
-    ranges = per_series.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order)
-    dealt = checkpointed(ranges.withColumn("_range", F.spark_partition_id()))
+    # the weight is part of the order so that all uses of the table ask for the same columns, and Spark makes it once
+    chosen = per_series.orderBy(F.col("_key").isNull(), F.xxhash64("_key"), "_key", "_weight").limit(RANGES - 2)
+    bounds = chosen.agg(F.sort_array(F.collect_list("_key"))).scalar()
+    place = F.when(F.col("_key").isNull(), F.lit(RANGES)).otherwise(F.size(F.filter("_bounds", lambda k: k <= F.col("_key"))))
+    dealt = per_series.withColumn("_bounds", bounds).withColumn("_range", place).drop("_bounds")
     lower = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     below = dealt.groupBy("_range").agg(F.sum("_weight").alias("_w")).select(
         F.col("_range").alias("_at"), F.coalesce(F.sum("_w").over(lower), F.lit(0)).alias("_below")
     )
-    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return dealt.join(below, F.col("_range") == F.col("_at")).select(
+    inside = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(below), F.col("_range").eqNullSafe(F.col("_at"))).select(
         F.col("_key").alias("_own"), (F.col("_below") + F.coalesce(F.sum("_weight").over(inside), F.lit(0))).alias("_earlier")
     )
 
 
 def _join_chunks(df: DataFrame, per_chunk: DataFrame, series: Series) -> DataFrame:
-    same = F.col(series.key).eqNullSafe(F.col("_key")) & (F.col(CHUNK) == F.col("_in"))
+    same = F.col(series.key).eqNullSafe(F.col("_key")) & (F.col(CHUNK).eqNullSafe(F.col("_in")))
     return df.join(per_chunk, same).drop("_key", "_in")
 
 
@@ -144,9 +126,7 @@ def running_totals(df: DataFrame, series: Series, within: dict[str, str], across
     """
     named = {**within, **across}
     flags = {name: F.col(flag).cast("long") for flag, name in named.items()}
-    sums = checkpointed(
-        df.groupBy(series.key, CHUNK).agg(*[F.sum(flag).alias(name) for name, flag in flags.items()])
-    )
+    sums = df.groupBy(series.key, CHUNK).agg(*[F.sum(flag).alias(name) for name, flag in flags.items()])
     inside = series.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = df.withColumns({f"_run_{name}": F.sum(flag).over(inside) for name, flag in flags.items()})
     joined = _join_chunks(local, _offsets(sums, series, list(within.values()), list(across.values())), series)
@@ -164,7 +144,7 @@ def trip_starts(df: DataFrame, series: Series, gap: float = fixed.TRIP_BREAK_SEC
     before = F.lag(F.unix_micros(series.ts)).over(series.window)
     delta = F.when(F.col(series.key).isNotNull(), (F.unix_micros(series.ts) - before) / 1e6)
     return (
-        with_overlap(with_chunks(df, series), series, rows)
+        with_chunks(df, series, gap * rows)
         .withColumn("_delta", delta)
         .withColumn("_start", F.col("_delta").isNull() | (F.col("_delta") > gap))
         .withColumn("time_delta", F.when(~F.col("_start"), F.col("_delta")))
@@ -240,10 +220,9 @@ def _with_runs(signals: DataFrame, series: Series) -> DataFrame:
 def _border_runs(runs: DataFrame, series: Series) -> DataFrame:
     """Whole size of the first and the last run of every chunk, from at most two parts per chunk.
 
-    ``runs`` has one line per (series, chunk, run) with ``size``; the per-chunk table made of it
-    is written out before its several uses.
+    ``runs`` has one line per (series, chunk, run) with ``size``.
     """
-    ends = checkpointed(
+    ends = (
         runs.groupBy(series.key, CHUNK).agg(
             F.max("_run").alias("_last"),
             F.coalesce(F.sum(F.when(F.col("_run") == 0, F.col("size"))), F.lit(0)).alias("_first_size"),
@@ -333,7 +312,7 @@ def trip_features(
     numbered and added up.
     """
     inside = series.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = checkpointed(
+    parts = held(
         signals.withColumn("_part", F.sum(F.col("_start").cast("long")).over(inside))
         .groupBy(series.key, CHUNK, "_part")
         .agg(
@@ -352,7 +331,7 @@ def trip_features(
         )
     )
     sums = parts.groupBy(series.key, CHUNK).agg(F.max("_part").alias("trip"))
-    offsets = _offsets(checkpointed(sums), series, [], ["trip"])
+    offsets = _offsets(sums, series, [], ["trip"])
     seconds = (F.unix_micros(F.max("_end")) - F.unix_micros(F.min("start"))) / 1e6
     trips = (
         _join_chunks(parts, offsets, series)

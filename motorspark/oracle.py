@@ -562,6 +562,9 @@ SQL["spec_compare"] = f"WITH {COMPARED} " + " UNION ALL ".join(
     "FROM compared"
     for name, a, b, c in _FIELDS
 )
+SQL["spec_sample"] = f"""WITH {COMPARED}
+SELECT count(*) AS sample_size, count(*) FILTER (ok) AS decoded,
+  round(avg((ok IS NOT TRUE)::INT) * 100, 6) AS failure_rate FROM compared"""
 SQL["spec_conflicts_sample"] = f"WITH {COMPARED} SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT VIN, '{name}' AS field, {a}::VARCHAR AS listing_value, {b}::VARCHAR AS api_value, "
     f"row_number() OVER (ORDER BY VIN)::INT AS place FROM compared WHERE {c}"
@@ -674,6 +677,12 @@ SELECT deviceID, count(*) AS trips, round(sum(distance_km), 6) AS distance_km,
   sum(harsh_brakes + harsh_accels)::BIGINT AS harsh_events, round(avg(idle_share), 6) AS idle_share,
   round(sum(harsh_brakes + harsh_accels) / sum(distance_km) * 100, 6) AS harsh_events_per_100km
 FROM kept_trips WHERE deviceID IS NOT NULL GROUP BY deviceID HAVING sum(distance_km) >= 100"""
+SQL["telematics_totals"] = f"""WITH {FEATURES_BY_TRIP}
+SELECT (SELECT count(*) FROM v_telematics) AS rows, (SELECT count(DISTINCT tripID) FROM v_telematics) AS original_trip_ids,
+  (SELECT count(DISTINCT deviceID) FROM v_telematics) AS devices, count(*) AS trips,
+  round(coalesce(sum(distance_km), 0), 6) AS total_distance_km, round(median(duration_min), 6) AS median_trip_min,
+  (SELECT count(*) FROM (SELECT deviceID FROM kept_trips WHERE deviceID IS NOT NULL GROUP BY deviceID
+    HAVING sum(distance_km) >= 100)) AS devices_compared FROM kept_trips"""
 SQL["example_trip"] = f"""WITH {TRIPS},
 sizes AS (SELECT trip, count(*) AS n, min(ts) AS started, min(position) AS first_position FROM trips GROUP BY trip),
 chosen AS (SELECT * FROM sizes ORDER BY abs(n - 20), trip LIMIT 1)

@@ -121,17 +121,27 @@ ORDERS = {
 
 
 def recall_totals(named: DataFrame) -> DataFrame:
-    """One line: recalls, first year, last report date, raw and normalized names, units, and recalls without a component."""
-    missing = F.col("component").isNull()
-    return named.agg(
-        F.count(F.lit(1)).alias("total_recalls"),
+    """One line: recalls, first year, last report date, raw and normalized names, units, and recalls without a component.
+
+    A raw name has one normalized name, so sums by raw name and then by normalized name count both, and no row is multiplied.
+    """
+    by_name = named.groupBy("manufacturer", "mfr_norm").agg(
+        F.count(F.lit(1)).alias("n"), F.min("year").alias("year"), F.max("report_date").alias("date"), F.sum("units").alias("units"),
+        F.count_if(F.col("component").isNull()).alias("missing"),
+    )
+    by_norm = by_name.groupBy("mfr_norm").agg(
+        F.count("manufacturer").alias("names"), F.sum("n").alias("n"), F.min("year").alias("year"), F.max("date").alias("date"),
+        F.sum("units").alias("units"), F.sum("missing").alias("missing"),
+    )
+    return by_norm.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_recalls"),
         F.min("year").alias("first_year"),
-        F.max("report_date").cast("string").alias("export_date"),
-        F.count_distinct("manufacturer").alias("raw_names"),
-        F.count_distinct("mfr_norm").alias("manufacturers"),
+        F.max("date").cast("string").alias("export_date"),
+        F.coalesce(F.sum("names"), F.lit(0)).alias("raw_names"),
+        F.count("mfr_norm").alias("manufacturers"),
         F.round(F.sum("units"), 2).alias("units_affected"),
-        F.count_if(missing).alias("missing_component"),
-        (F.avg(missing.cast("int")) * 100).alias("missing_component_pct"),
+        F.coalesce(F.sum("missing"), F.lit(0)).alias("missing_component"),
+        (F.sum("missing") * 100.0 / F.sum("n")).alias("missing_component_pct"),
     )
 
 

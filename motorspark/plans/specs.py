@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motorspark.functions import fixed_values as fixed
+from motorspark.functions.values import holds
 from motorspark.operators import comparing, joins, reports, sampling
 from motorspark.session import checkpointed
 from motorspark.sources.writers import write_document, write_summaries, write_table
@@ -71,8 +72,35 @@ def decisions(decided: DataFrame) -> DataFrame:
     return reports.with_share(reports.value_counts(decided, "action", "listings"), "listings", "pct_of_sample")
 
 
-def run(sample: DataFrame, specs: DataFrame, out: str, current_year: Column | int | None = None) -> DataFrame:
-    """Writes the specs, the enriched listings and every report; returns the enriched listings."""
+def sample_totals(flagged: DataFrame) -> DataFrame:
+    """One line: size of the sample, decoded VINs, and the share that could not be decoded."""
+    failed = ~holds(F.col("Status") == "Success")
+    return flagged.agg(
+        F.count(F.lit(1)).alias("sample_size"), F.count_if(~failed).alias("decoded"), (F.avg(failed.cast("int")) * 100).alias("failure_rate")
+    )
+
+
+#: The reports keep the order of their checks; conflicts go by field and place.
+ORDERS = {
+    "vin_coverage": [],
+    "vin_quality_audit": [],
+    "vin_drive_before_after": ["-listings_before", "drive"],
+    "vin_validation_rules": [],
+    "vin_error_taxonomy": [],
+    "vin_decisions": ["-listings", "action"],
+    "vin_conflict_samples": ["field", "place"],
+    "vin_sample": [],
+    "vin_totals": [],
+}
+
+
+def run(
+    sample: DataFrame, specs: DataFrame, out: str, current_year: Column | int | None = None, listings: DataFrame | None = None
+) -> DataFrame:
+    """Writes the specs, the enriched listings and every report; returns the enriched listings.
+
+    With all ``listings`` the share with a VIN and the malformed VINs are reported as well.
+    """
     year = F.year(F.current_date()) if current_year is None else current_year
     joins.assert_unique(specs, ["VIN"])
     flagged = checkpointed(compared(sample, specs))
@@ -85,10 +113,14 @@ def run(sample: DataFrame, specs: DataFrame, out: str, current_year: Column | in
         "vin_validation_rules": rule_report(flagged, year),
         "vin_error_taxonomy": taxonomy(flagged),
         "vin_decisions": decisions(decided),
+        "vin_conflict_samples": comparing.conflict_samples(flagged, comparing.FIELDS, "VIN"),
+        "vin_sample": sample_totals(flagged),
     }
+    if listings is not None:
+        tables["vin_totals"] = vin_totals(listings)
     write_table(specs, out, "vin_specs")
     kept = decided.where(F.col("action") != "Drop").select(*[c for c in OUTPUT_COLUMNS if c in decided.columns])
     write_table(kept, out, "listings_vin_enriched")
-    write_summaries(tables, f"{out}/tables", {})
-    write_document(f"{out}/documents", "vin", tables)
+    write_summaries(tables, f"{out}/tables", ORDERS)
+    write_document(f"{out}/documents", "vin", tables, ORDERS)
     return kept

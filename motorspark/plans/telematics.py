@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.values import holds
 from motorspark.operators import reports, timeline, trend
+from motorspark.operators.ordering import quantiles
 from motorspark.operators.timeline import Series
 from motorspark.session import checkpointed
 from motorspark.sources.writers import write_document, write_summaries, write_table
@@ -66,6 +67,19 @@ def trips_with_gaps(numbered: DataFrame, gap: float = fixed.GAP_SECONDS) -> Data
     return per_trip.agg(F.sum("_gap").alias("trips_with_gaps"), F.count(F.lit(1)).alias("trips"))
 
 
+def telematics_totals(readings: DataFrame, trips: DataFrame, devices: DataFrame, key: str, original_trip: str) -> DataFrame:
+    """One line: readings, their trip ids and devices; trips, kilometres and median minutes of a trip; devices compared."""
+    counts = readings.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct(original_trip).alias("original_trip_ids"), F.count_distinct(key).alias("devices")
+    )
+    driven = trips.agg(F.struct(F.count(F.lit(1)).alias("trips"), F.sum("distance_km").alias("km"))).scalar()
+    median = quantiles(trips, [], "duration_min", {"median_trip_min": 0.5}).scalar()
+    return counts.select(
+        "rows", "original_trip_ids", "devices", driven["trips"].alias("trips"), F.coalesce(driven["km"], F.lit(0.0)).alias("total_distance_km"),
+        median.alias("median_trip_min"), devices.agg(F.count(F.lit(1))).scalar().alias("devices_compared"),
+    )
+
+
 #: Order of the published tables, "-" for descending; the others go by their first column.
 ORDERS = {
     "telematics_signal_ranges": [],
@@ -73,6 +87,7 @@ ORDERS = {
     "telematics_quality_report": [],
     "telematics_device_summary": ["-harsh_events_per_100km"],
     "telematics_example_trip": ["place"],
+    "telematics_totals": [],
 }
 
 
@@ -91,6 +106,7 @@ def run(readings: DataFrame, out: str, series: Series = SERIES, original_trip: s
         "telematics_device_summary": devices,
         "telematics_example_trip": timeline.example_trip(numbered, series).select("trip", "place", "minutes", "speed", "rpm"),
         "telematics_trips_with_gaps": trips_with_gaps(numbered),
+        "telematics_totals": telematics_totals(readings, trips, devices, series.key, original_trip),
         "telematics_period": trend.time_span(readings, series.ts, original_trip),
     }
     write_summaries(tables, f"{out}/tables", ORDERS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,13 +113,24 @@ def read_telematics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_spec_batches(spark: SparkSession, folder: str, fields: dict[str, str] = fixed.SPEC_FIELDS) -> DataFrame:
     """Decoder replies, one JSON document per file, as one row per decoded item."""
-    replies = spark.read.schema(schemas.SPEC_REPLY).option("multiLine", True).json(folder)
-    return spec_items(replies.select(F.inline("Results")), fields)
+    replies = spark.read.text(folder, wholetext=True)
+    return spec_items(reply_items(replies, "value", "$.Results", fields), fields)
+
+
+def reply_items(replies: DataFrame, column: str, path: str, fields: Iterable[str]) -> DataFrame:
+    """The items under ``path`` of JSON replies, one row each: the given fields as text and the whole as ``item``, a variant.
+
+    Numbers and texts are read alike, fields that are not asked for stay in ``item``. A reply that is no JSON, or holds no items,
+    gives one row without any field, which counts as not decoded.
+    """
+    items = F.try_variant_get(F.try_parse_json(column), path, "array<variant>")
+    rows = replies.select(F.explode_outer(items).alias("item"))
+    return rows.select("item", *[F.try_variant_get("item", f"$.{name}", "string").alias(name) for name in fields])
 
 
 def spec_items(items: DataFrame, fields: dict[str, str] = fixed.SPEC_FIELDS) -> DataFrame:
     """Renamed fields, empty text as missing, lenient numbers, one line per VIN, and the status."""
-    named = items.select(*[F.nullif(F.col(old), F.lit("")).alias(new) for old, new in fields.items()])
+    named = items.select(*[F.nullif(F.col(_quoted(old)), F.lit("")).alias(new) for old, new in fields.items()])
     rest = [c for c in named.columns if c != "VIN"]
     one_each = named.groupBy("VIN").agg(F.max(F.struct(*rest)).alias("_item")).select("VIN", "_item.*")
     return decoded_status(one_each)

@@ -18,9 +18,3 @@ LISTINGS = _struct(
 )
 
 TELEMATICS = _struct(tripID=_L, deviceID=_L, timeStamp=_S, speed=_D, gps_speed=_D, rpm=_D, x=_D)
-
-_SPEC_ITEM = _struct(
-    VIN=_S, Make=_S, Model=_S, ModelYear=_S, BodyClass=_S, DisplacementL=_S, DriveType=_S, FuelTypePrimary=_S,
-    ErrorCode=_S,
-)
-SPEC_REPLY = _struct(Results=T.ArrayType(_SPEC_ITEM))

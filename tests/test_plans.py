@@ -137,7 +137,11 @@ def test_spec_plan(spark, cleaned, tmp_path):
         "'FWD/x' AS DriveType", "'Gasoline' AS FuelTypePrimary", "'0' AS ErrorCode",
     )
     out = str(tmp_path)
-    kept = spec_plan.run(sample, readers.spec_items(replies), out, 2026)
+    kept = spec_plan.run(sample, readers.spec_items(replies), out, 2026, cleaned[1])
+    line = summary(spark, out, "vin_sample")[0]
+    assert line["sample_size"] == 60 and line["decoded"] + line["failure_rate"] * 0.6 == pytest.approx(60)
+    assert [r["check"] for r in summary(spark, out, "vin_totals")] == ["with a VIN", "with a valid VIN", "malformed VINs"]
+    assert {r["place"] for r in summary(spark, out, "vin_conflict_samples")} <= set(range(1, 6))
     decisions = {r["action"]: r["listings"] for r in summary(spark, out, "vin_decisions")}
     assert sum(decisions.values()) == 60 and kept.count() == 60 - decisions.get("Drop", 0)
     drive = summary(spark, out, "vin_drive_before_after")
@@ -155,3 +159,5 @@ def test_telematics_plan(spark, raw, tmp_path):
     checks = {r["check"]: r["rows"] for r in summary(spark, out, "telematics_quality_report")}
     assert checks["Missing intervals (gap > 10 s inside a trip)"] == steps[-1]["rows"] == 0
     assert len(summary(spark, out, "telematics_signal_ranges")) == 4
+    line = summary(spark, out, "telematics_totals")[0]
+    assert (line["rows"], line["trips"]) == (3000, 6) and line["total_distance_km"] == pytest.approx(trips.agg({"distance_km": "sum"}).first()[0])

@@ -55,6 +55,18 @@ def test_decoder_replies_are_flattened(spark, tmp_path):
     assert (rows["B"]["API_Year"], rows["B"]["API_Engine"], rows["B"]["Status"]) == (None, None, "Failed")
 
 
+def test_broken_replies_and_unknown_fields(spark, tmp_path):
+    write(tmp_path / "a.json", '{"Results": [{"VIN": "A", "Make": "KIA", "ModelYear": 2012, "Extra": {"x": [1, 2]}}]}')
+    write(tmp_path / "b.json", '{"Results": [{"VIN": "B", "Ma')
+    write(tmp_path / "c.json", '{"Message": "no results"}')
+    rows = {r["VIN"]: r for r in readers.read_spec_batches(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"A", None}
+    assert (rows["A"]["API_Year"], rows["A"]["Status"], rows[None]["Status"]) == (2012.0, "Success", "Failed")
+    replies = spark.read.text(str(tmp_path / "a.json"), wholetext=True)
+    items = readers.reply_items(replies, "value", "$.Results", ["VIN"])
+    assert items.select(F.try_variant_get("item", "$.Extra.x[1]", "int")).first()[0] == 2
+
+
 def test_summary_is_one_file_with_header(spark, tmp_path):
     writers.write_summary(spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int"), str(tmp_path), "s")
     files = list((tmp_path / "s").glob("*.csv"))
