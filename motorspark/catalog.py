@@ -219,10 +219,23 @@ def one_hot_levels(spark, sf_dir):
 def one_hot_rows(spark, sf_dir):
     rows = clean(spark, sf_dir)
     baselines = {"fuel": "A", "drive": "fwd"}
-    found = regression.levels(rows, baselines).orderBy("feature").collect()
+    found = regression.listed_levels(rows, baselines)
     return regression.one_hot(rows.select("id", "fuel", "drive"), baselines, found)
 
 
+@query
+def one_hot_sparse(spark, sf_dir):
+    return regression.sparse_features(clean(spark, sf_dir), "id", {"fuel": "A", "drive": "fwd", "model": "unknown", "type": "unknown"})
+
+
+@query
+def ols_many_levels(spark, sf_dir):
+    """Price on mileage with a level for every part: coefficients stay a table."""
+    design = regression.Design("log_price", ["odometer_10k"], {"l_partkey": "1"})
+    rows = clean(spark, sf_dir).select("l_partkey", F.log("price").alias("log_price"), (F.col("odometer") / 10000).alias("odometer_10k"))
+    return regression.fit_table(regression.product_sums(rows, design), design)
+
+
 @query
 def ols_by_segment(spark, sf_dir):
     return segment_models(features(spark, sf_dir))

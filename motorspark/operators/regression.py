@@ -4,7 +4,11 @@ All a linear fit needs is the matrix of summed products. Rows that share their c
 first summed into one line, a plain aggregation with partial sums on the map side; the lines
 are then spread into matrix cells. Fits on part of the features, and scores on a test part,
 reuse blocks of the same matrix, so the rows are read once. The driver only sees
-features-by-features cells.
+features-by-features cells, and at most ``MAX_CELLS`` of them.
+
+With more features the cells stay a table: ``fit_table`` solves the same equations by conjugate
+gradients, one join and one aggregate of the cells that are not zero per round, and its
+coefficients are a table as well.
 """
 
 from __future__ import annotations
@@ -19,8 +23,11 @@ from pyspark.sql import functions as F
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.values import map_values
 from motorspark.operators.ordering import quantiles
+from motorspark.session import checkpointed
 
 INTERCEPT = "(intercept)"
+#: Cells and levels that the driver may hold; beyond them the sparse forms do the same work in Spark.
+MAX_CELLS, MAX_LEVELS = 4_000_000, 1000
 
 
 @dataclass(frozen=True)
@@ -53,6 +60,22 @@ def levels(df: DataFrame, baselines: Mapping[str, str]) -> DataFrame:
     )
 
 
+def listed_levels(df: DataFrame, baselines: Mapping[str, str], most: int = MAX_LEVELS) -> list[Row]:
+    """``levels`` in order on the driver, where there are at most ``most``."""
+    found = levels(df, baselines).orderBy("feature").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} levels: take sparse_features, one row per id and feature, instead of a column each")
+    return found
+
+
+def sparse_features(df: DataFrame, id_column: str, baselines: Mapping[str, str]) -> DataFrame:
+    """The 0/1 features that are 1, as (id, feature): any number of levels, no list of them, no shuffle."""
+    pairs = [
+        F.when(F.col(c).cast("string") != base, F.concat_ws("_", F.lit(c), F.col(c).cast("string"))) for c, base in baselines.items()
+    ]
+    return df.select(id_column, F.explode(F.array_compact(F.array(*pairs))).alias("feature"))
+
+
 def one_hot(df: DataFrame, baselines: Mapping[str, str], found: Iterable[Row]) -> DataFrame:
     """One 0/1 column per level found by ``levels``."""
     return df.withColumns(
@@ -112,7 +135,10 @@ class Products:
 
 def collect_products(cells: DataFrame, by: Sequence[str] = ()) -> dict[tuple, Products]:
     groups: dict[tuple, list[Row]] = {}
-    for row in cells.collect():
+    found = cells.limit(MAX_CELLS + 1).collect()
+    if len(found) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells: fit with fit_table, which keeps them in Spark")
+    for row in found:
         groups.setdefault(tuple(row[c] for c in by), []).append(row)
     out = {}
     for key, rows in groups.items():
@@ -161,6 +187,33 @@ def fit(products: Products, design: Design, without: Iterable[str] = ()) -> Mode
     return Model(design, float(intercept), dict(zip(features, map(float, coefficients))), int(rows))
 
 
+def fit_table(cells: DataFrame, design: Design, tol: float = 1e-12, rounds: int = 1000) -> DataFrame:
+    """Least squares as (feature, coefficient), the intercept included, by conjugate gradients on summed products.
+
+    ``cells`` are the ``product_sums`` of the design. Each feature is scaled by its own square sum. A round multiplies the
+    cells by the direction, one line per feature, and stops once the scaled gradient is ``tol`` times the first one. The
+    driver sees sums only. Of features that say the same the coefficients are the smallest that fit.
+    """
+    inner = checkpointed(cells.where((F.col("i") != design.target) & (F.col("j") != design.target)))
+    known = inner.where((F.col("i") == F.col("j")) & (F.col("value") > 0)).select(F.col("i").alias("feature"), F.col("value").alias("scale"))
+    right = cells.where((F.col("j") == design.target) & (F.col("i") != design.target)).select(F.col("i").alias("feature"), F.col("value").alias("r"))
+    state = checkpointed(known.join(right, "feature").withColumns({"x": F.lit(0.0), "p": F.col("r") / F.col("scale")}))
+    size = first = state.agg(F.sum(F.col("r") * F.col("r") / F.col("scale"))).first()[0] or 0.0
+    for _ in range(rounds):
+        if size <= tol * tol * first:
+            break
+        moved = inner.join(state.select(F.col("feature").alias("j"), "p"), "j").groupBy(F.col("i").alias("feature"))
+        both = checkpointed(state.join(moved.agg(F.sum(F.col("value") * F.col("p")).alias("ap")), "feature"))
+        curve = both.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
+        if curve <= 0:
+            break
+        step = size / curve
+        stepped = both.select("feature", "scale", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("ap")).alias("r"), "p")
+        before, size = size, stepped.agg(F.sum(F.col("r") * F.col("r") / F.col("scale"))).first()[0]
+        state = stepped.withColumn("p", F.col("r") / F.col("scale") + size / before * F.col("p"))
+    return state.select("feature", F.col("x").alias("coefficient"))
+
+
 def r_squared(products: Products, model: Model) -> float:
     """Share of explained variance on the rows behind ``products``."""
     names = [INTERCEPT, *model.coefficients]

@@ -193,6 +193,18 @@ SQL["one_hot_rows"] = f"""WITH {CLEAN}
 SELECT id, fuel, drive, (drive = '4wd')::INT::DOUBLE AS drive_4wd, (drive = 'rwd')::INT::DOUBLE AS drive_rwd,
   (drive = 'unknown')::INT::DOUBLE AS drive_unknown, (fuel = 'N')::INT::DOUBLE AS "fuel_N", (fuel = 'R')::INT::DOUBLE AS "fuel_R"
 FROM clean"""
+SQL["one_hot_sparse"] = f"WITH {CLEAN} " + " UNION ALL ".join(
+    f"SELECT id, '{c}_' || {c} AS feature FROM clean WHERE {c} <> '{base}'"
+    for c, base in [("fuel", "A"), ("drive", "fwd"), ("model", "unknown"), ("type", "unknown")]
+)
+SQL["ols_many_levels"] = f"""WITH {CLEAN},
+points AS (SELECT l_partkey AS g, ln(price) AS y, odometer / 10000 AS x FROM clean),
+means AS (SELECT g, avg(x) AS mx, avg(y) AS my FROM points GROUP BY g),
+slopes AS (SELECT sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS slope FROM points JOIN means USING (g)),
+bases AS (SELECT g, my - slope * mx AS base FROM means, slopes)
+SELECT '(intercept)' AS feature, round(base, 6) AS coefficient FROM bases WHERE g = 1
+UNION ALL SELECT 'odometer_10k', round(slope, 6) FROM slopes
+UNION ALL SELECT 'l_partkey_' || g, round(base - (SELECT base FROM bases WHERE g = 1), 6) FROM bases WHERE g <> 1"""
 SQL["ols_by_segment"] = f"""WITH {FEATURES},
 m AS (SELECT brand_segment, count(*) AS listings, covar_pop(vehicle_age, vehicle_age) AS aa,
   covar_pop(odometer_10k, odometer_10k) AS oo, covar_pop(vehicle_age, odometer_10k) AS ao,

@@ -179,3 +179,34 @@ def test_blocks_cover_every_row(monkeypatch):
     assert [(p.start, p.stop) for p, _ in parts] == [(0, 2), (2, 3), (3, 4)]
     right = np.arange(8.0).reshape(4, 2)
     assert np.concatenate([b.times(right) for _, b in parts]).tolist() == [[2, 4], [4, 5], [12, 16], [2, 3]]
+
+
+def test_sparse_fit_equals_the_dense_one(spark):
+    random = np.random.default_rng(3)
+    n = 400
+    pdf = pd.DataFrame({"id": range(n), "x": random.normal(5, 2, n), "z": random.normal(-100, 30, n), "g": random.choice(list("abcd"), n), "h": random.choice(["p", "q"], n)})
+    pdf["y"] = 3 + 0.5 * pdf["x"] - 0.01 * pdf["z"] + pdf["g"].map({"a": 0, "b": 1, "c": -2, "d": 0.3}) + random.normal(0, 0.1, n)
+    design = regression.Design("y", ["x", "z"], {"g": "a", "h": "p"})
+    cells = regression.product_sums(spark.createDataFrame(pdf), design)
+    dense = regression.fit(regression.collect_products(cells)[()], design)
+    sparse = {r["feature"]: r["coefficient"] for r in regression.fit_table(cells, design).collect()}
+    assert sparse.pop(regression.INTERCEPT) == pytest.approx(dense.intercept, abs=1e-8)
+    assert sparse == pytest.approx(dense.coefficients, abs=1e-8)
+    ones = {tuple(r) for r in regression.sparse_features(spark.createDataFrame(pdf), "id", design.categorical).collect()}
+    assert ones == {(i, f"g_{g}") for i, g in zip(pdf["id"], pdf["g"]) if g != "a"} | {(i, "h_q") for i, h in zip(pdf["id"], pdf["h"]) if h == "q"}
+
+
+def test_a_hundred_thousand_levels_never_reach_the_driver(spark):
+    levels = 100_000
+    rows = spark.range(3 * levels).select(
+        (F.col("id") % levels).alias("g"), (F.col("id") % 7 + F.col("id") / levels).alias("x")
+    )
+    rows = rows.withColumn("y", F.lit(2.0) + 0.25 * F.col("x") + F.col("g") % 10)
+    design = regression.Design("y", ["x"], {"g": "0"})
+    cells = regression.product_sums(rows, design)
+    with pytest.raises(ValueError, match="levels"):
+        regression.listed_levels(rows, design.categorical)
+    found = regression.fit_table(cells, design)
+    wanted = F.when(F.col("feature") == "x", 0.25).when(F.col("feature") == regression.INTERCEPT, 2.0).otherwise(F.substring("feature", 3, 9).cast("int") % 10)
+    worst = found.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("coefficient") - wanted)).alias("off")).first()
+    assert worst["n"] == levels + 1 and worst["off"] < 1e-6
