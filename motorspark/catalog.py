@@ -544,16 +544,17 @@ def spot_check(spark, sf_dir):
 @query
 def tfidf_top_terms(spark, sf_dir):
     docs = views.documents(spark, sf_dir).select("doc_id", "text")
-    counts = topics.term_counts(docs, "doc_id", "text", STOP_WORDS)
-    return topics.vocabulary(counts, topics.document_count(docs, "text"), 20, 500)
+    counted = checkpointed(topics.bags(docs, "doc_id", "text", STOP_WORDS))
+    return topics.frequent_terms(counted, topics.document_count(docs, "text"), 20, 2000)
 
 
 @query
 def tfidf_weights(spark, sf_dir):
     docs = views.documents(spark, sf_dir).select("doc_id", "text")
-    counts = checkpointed(topics.term_counts(docs, "doc_id", "text", STOP_WORDS))
-    vocab = topics.vocabulary(counts, topics.document_count(docs, "text"), 20, 500)
-    return topics.long_weights(topics.tfidf(counts, vocab, "doc_id"), "doc_id")
+    names, rows = recall_plan.topic_rows(docs, "doc_id", "text", STOP_WORDS, 20, 2000)
+    numbers = spark.createDataFrame(list(enumerate(names)), "term_id long, term string")
+    pairs = rows.select("doc_id", F.inline(F.arrays_zip("term_ids", "weights"))).toDF("doc_id", "term_id", "weight")
+    return pairs.join(F.broadcast(numbers), "term_id").select("doc_id", "term", "weight")
 
 
 def topic_parts(spark: SparkSession, sf_dir: str):
@@ -576,6 +577,25 @@ def topic_summary(spark, sf_dir):
     return topics.top_terms(spark, factors).join(counts, "topic").join(examples, "topic")
 
 
+@query
+def topic_facts(spark, sf_dir):
+    """What must hold of the topics whatever their numbers: nothing negative, an error below that of one direction for all texts."""
+    docs = views.documents(spark, sf_dir).select("doc_id", "text")
+    names, rows = recall_plan.topic_rows(docs, "doc_id", "text", STOP_WORDS)
+    factors = topics.factorise(rows, names)
+    assigned = topics.assign_topics(rows, factors, "doc_id")
+    summed = rows.select(F.inline(F.arrays_zip("term_ids", "weights"))).groupBy("term_ids").agg(F.sum("weights").alias("s"))
+    length = summed.agg(F.sum(F.col("s") * F.col("s"))).scalar()
+    facts = assigned.agg(
+        F.count(F.lit(1)).alias("with_terms"), F.count_if(F.col("topic_weight") < 0).alias("negative_weights"), F.max("topic").alias("last_topic")
+    )
+    bound = F.col("with_terms") - length / F.col("with_terms")
+    return facts.select(
+        docs.agg(F.count(F.lit(1))).scalar().alias("documents"), "with_terms", "negative_weights", F.lit(int((factors.topics < 0).sum())).alias("negative_cells"),
+        (F.col("last_topic") < 8).alias("topics_in_range"), bound.alias("one_direction_error"), (F.lit(factors.errors[-1]) <= bound).alias("error_within"),
+    )
+
+
 @query
 def topic_severity(spark, sf_dir):
     docs, assigned, _ = topic_parts(spark, sf_dir)

@@ -1,7 +1,8 @@
 """Weighted terms and topics of a text column.
 
-Terms stay in Spark as (document, term) counts; the kept vocabulary is a top-k list, so it is
-small by construction and the only thing broadcast. Topics come from a non-negative
+Terms are counted inside their row, so no (document, term) pair is ever shuffled: a sketch of bucket counts, which adds up over
+tasks, rules out nearly all terms that are too rare, and only the others are counted exactly. The kept vocabulary is a top-k
+list, small by construction. Topics come from a non-negative
 factorisation whose passes run over the document rows in Arrow batches: a document's topic
 weights depend only on its own terms and the k-by-terms topic matrix, and the sums that update
 that matrix are added up by a distributed aggregation.
@@ -15,10 +16,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel, cloudpickle
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.text import letters_only
@@ -82,6 +86,79 @@ def vocabulary(counts: DataFrame, documents: Column, min_df: int = 20, max_featu
     )
 
 
+def bags(df: DataFrame, id_column: str, text: str, stop_words: Sequence[str], pairs: bool = True) -> DataFrame:
+    """One row per document: its different ``terms`` and how often each occurs, ``tfs``. No rows are moved."""
+    tokens = df.select(id_column, F.coalesce(terms(words(F.col(text), stop_words), pairs), F.array().cast("array<string>")).alias("terms"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            sizes = np.asarray(lists.value_lengths(), dtype=np.int64)
+            coded = lists.flatten().dictionary_encode()
+            width = max(1, len(coded.dictionary))
+            keys = np.repeat(np.arange(len(sizes)), sizes) * width + np.asarray(coded.indices, dtype=np.int64)
+            found, tfs = np.unique(keys, return_counts=True)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(found // width, minlength=len(sizes)))]).astype(np.int32))
+            names = coded.dictionary.take(pa.array(found % width))
+            rows = [batch.column(0), pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(tfs.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(rows, names=[id_column, "terms", "tfs"])
+
+    schema = T.StructType().add(df.schema[id_column]).add("terms", T.ArrayType(T.StringType())).add("tfs", T.ArrayType(T.IntegerType()))
+    return tokens.mapInArrow(count, schema)
+
+
+def frequent_terms(
+    counted: DataFrame, documents: Column, min_df: int = 20, max_features: int = 2000, buckets: int = 1 << 18
+) -> DataFrame:
+    """The same table as ``vocabulary``, from ``bags``.
+
+    A term's documents are at most those of its hash bucket, so buckets below ``min_df`` hold no wanted term; the list of the
+    others has ``buckets`` lines at most.
+    """
+    each = counted.select(F.inline(F.arrays_zip("terms", "tfs"))).toDF("term", "tf")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("_bucket")
+    full = each.groupBy(bucket).agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= min_df).select("_bucket")
+    likely = each.withColumn("_bucket", bucket).join(F.broadcast(full), "_bucket", "left_semi")
+    return (
+        likely.groupBy("term")
+        .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+        .where(F.col("df") >= min_df)
+        .orderBy(F.col("total").desc(), "term")
+        .limit(max_features)
+        .withColumn("idf", F.log((documents + 1) / (F.col("df") + 1)) + 1)
+    )
+
+
+def weighted_rows(counted: DataFrame, id_column: str, names: Sequence[str], idfs: Sequence[float]) -> DataFrame:
+    """``bags`` as (id, ``term_ids``, ``weights``): numbers of the kept terms and tf-idf scaled to length one.
+
+    Documents without a kept term are left out. Every row is worked out where it lies.
+    """
+    known, factors = list(names), np.array(idfs, dtype=np.float64)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = pa.array(known, pa.string())
+        for batch in batches:
+            lists = batch.column("terms")
+            sizes = np.asarray(lists.value_lengths(), dtype=np.int64)
+            number = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=kept), -1), dtype=np.int64)
+            hit = number >= 0
+            row, number = np.repeat(np.arange(len(sizes)), sizes)[hit], number[hit]
+            weight = np.asarray(batch.column("tfs").flatten(), dtype=np.float64)[hit] * factors[number]
+            order = np.lexsort((number, row))
+            row, number, weight = row[order], number[order], weight[order]
+            weight /= np.sqrt(np.bincount(row, weight**2, minlength=len(sizes)))[row]
+            per_row = np.bincount(row, minlength=len(sizes))
+            rows = np.flatnonzero(per_row)
+            ends = pa.array(np.concatenate([[0], np.cumsum(per_row[rows])]).astype(np.int32))
+            ids = batch.column(0).take(pa.array(rows))
+            columns = [ids, pa.ListArray.from_arrays(ends, pa.array(number)), pa.ListArray.from_arrays(ends, pa.array(weight))]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_column, "term_ids", "weights"])
+
+    schema = T.StructType().add(counted.schema[id_column]).add("term_ids", T.ArrayType(T.LongType())).add("weights", T.ArrayType(T.DoubleType()))
+    return counted.mapInArrow(weigh, schema)
+
+
 def document_count(df: DataFrame, text: str) -> Column:
     return df.agg(F.count_if(letters_only(F.col(text)) != "")).scalar()
 
@@ -166,6 +243,48 @@ def topic_weights(cross: np.ndarray, square: np.ndarray, sweeps: int = 60) -> np
     return weights
 
 
+def exact_weights(cross: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """The non-negative weights of each row that fit best, by exchanging active sets of all rows at once.
+
+    Rows with the same set of positive weights are solved together. A row exchanges every weight that breaks a condition, and,
+    when that does not help three times, only the last of them, which always ends.
+    """
+    n, k = cross.shape
+    positive, weights, gradient = np.zeros((n, k), bool), np.zeros((n, k)), -cross
+    tries, fewest = np.full(n, 3), np.full(n, k + 1)
+    small = 1e-12 * max(1.0, float(np.abs(cross).max(initial=0.0)))
+    for _ in range(100 * k):
+        broken = np.where(positive, weights < -small, gradient < -small)
+        count = broken.sum(1)
+        rows = np.flatnonzero(count)
+        if not len(rows):
+            break
+        better = count[rows] < fewest[rows]
+        fewest[rows[better]], tries[rows[better]] = count[rows[better]], 3
+        alone = ~better & (tries[rows] == 0)
+        tries[rows[~better & ~alone]] -= 1
+        flip = broken[rows]
+        last = k - 1 - np.argmax(flip[alone][:, ::-1], axis=1)
+        flip[alone] = np.arange(k) == last[:, None]
+        positive[rows] ^= flip
+        sets, which = np.unique(positive[rows] @ (1 << np.arange(k)), return_inverse=True)
+        for at, code in enumerate(sets.tolist()):
+            mine = rows[which == at]
+            on = np.array([bool(code >> j & 1) for j in range(k)])
+            weights[mine] = 0
+            if on.any():
+                weights[np.ix_(mine, np.flatnonzero(on))] = cross[np.ix_(mine, np.flatnonzero(on))] @ np.linalg.pinv(square[np.ix_(on, on)], hermitian=True)
+            gradient[mine] = weights[mine] @ square - cross[mine]
+            gradient[np.ix_(mine, np.flatnonzero(on))] = 0
+    return np.maximum(weights, 0)
+
+
+def gradient_left(topics: np.ndarray, ww: np.ndarray, wx: np.ndarray) -> float:
+    """Sum of the projected gradient of the topics; that of the weights is zero, as they are the best for these topics."""
+    gradient = ww @ topics - wx
+    return float(np.abs(np.where(topics > 0, gradient, np.minimum(gradient, 0))).sum())
+
+
 _CELLS = "kind string, a int, b int, value double"
 
 
@@ -242,16 +361,22 @@ def _start(rows: DataFrame, width: int, k: int, seed: int, passes: int) -> np.nd
 def factorise(
     rows: DataFrame, terms_: list[str], k: int = 8, max_iter: int = 400, tol: float = 1e-4, seed: int = 42, passes: int = 6
 ) -> Factors:
-    """Non-negative topics of rows with ``term_ids`` and ``weights``."""
+    """Non-negative topics of rows with ``term_ids`` and ``weights``.
+
+    Ends after ``max_iter`` rounds, or once the sum of the projected gradient is ``tol`` times that of the first round. The rows
+    are kept by Spark between rounds.
+    """
     width = len(terms_)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     topics = _start(rows, width, k, seed, passes)
     factors = Factors(terms_, topics)
+    first = None
     for _ in range(max_iter):
         square = topics @ topics.T
 
         def work(block: Block, sums: dict, topics: np.ndarray = topics, square: np.ndarray = square) -> None:
             cross = block.times(topics.T)
-            own = topic_weights(cross, square)
+            own = exact_weights(cross, square)
             ww = sums.setdefault("ww", np.zeros(square.shape))
             ww += own.T @ own
             wx = sums.setdefault("wx", np.zeros((width, topics.shape[0])))
@@ -264,7 +389,9 @@ def factorise(
         wx = _matrix(sums.get("wx"), (width, square.shape[0])).T
         error = _matrix(sums.get("fit"), (1, 1))[0, 0] + (ww * square).sum()
         factors.errors.append(float(error))
-        if len(factors.errors) > 1 and factors.errors[-2] - error <= tol * factors.errors[0]:
+        left = gradient_left(topics, ww, wx)
+        first = left if first is None else first
+        if left <= tol * first:
             break
         topics = topics.copy()
         for _ in range(10):
@@ -272,6 +399,7 @@ def factorise(
                 if ww[j, j] > 0:
                     topics[j] = np.maximum(topics[j] + (wx[j] - ww[j] @ topics) / ww[j, j], 0)
         factors.topics = topics
+    rows.unpersist()
     return factors
 
 
@@ -295,7 +423,7 @@ def assign_topics(rows: DataFrame, factors: Factors, id_column: str) -> DataFram
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part, block in blocks(batch):
-                own = topic_weights(block.times(topics.T), square)
+                own = exact_weights(block.times(topics.T), square)
                 yield pd.DataFrame({id_column: batch[id_column].iloc[part], "topic_weights": list(own)})
 
     weighted = rows.select(id_column, "term_ids", "weights").mapInPandas(run, f"{id_column} {id_type}, topic_weights array<double>")

