@@ -158,6 +158,46 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((1.0 / ((x.sum() - u.sum() + below) / u + (y.sum() - v.sum() + above) / v)).sum())
 
 
+class Sets:
+    """The strings and weights of the texts of a block, so that one text meets many others in one step."""
+
+    def __init__(self, strings: list[bytes], weights: list[bytes]):
+        self.sizes = np.array([len(s) // 8 for s in strings], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.values = np.frombuffer(b"".join(strings), np.uint64)
+        self.weights = np.frombuffer(b"".join(weights), np.int32)
+        known, self.ids = np.unique(self.values, return_inverse=True)
+        self.dense = np.zeros(len(known))
+        self.plain = np.array([bool((self.weights[a : a + n] == 1).all()) for a, n in zip(self.starts, self.sizes, strict=True)], bool)
+        self.shares = self.weights / np.repeat(np.maximum(np.add.reduceat(self.weights, self.starts) if len(self.starts) else self.sizes, 1), self.sizes)
+
+    def one(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.starts[i], self.starts[i] + self.sizes[i])
+        return self.values[part], self.weights[part]
+
+    def similar(self, i: int, others: np.ndarray, threshold: float) -> np.ndarray:
+        """Which of the others have a similarity of at least ``threshold`` to text i.
+
+        Where no string repeats it is common over all strings. Else it is at most the summed smaller shares of the common
+        strings, and only texts beyond the threshold by that bound are worked out one by one.
+        """
+        sizes = self.sizes[others]
+        cells = np.repeat(self.starts[others] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        mine = slice(self.starts[i], self.starts[i] + self.sizes[i])
+        self.dense[self.ids[mine]] = self.shares[mine]
+        there, share = self.dense[self.ids[cells]], self.shares[cells]
+        self.dense[self.ids[mine]] = 0
+        heads = np.cumsum(sizes) - sizes
+        common = np.add.reduceat((there > 0).astype(np.int64), heads)
+        bound = np.add.reduceat(np.minimum(there, share), heads)
+        out = common / (self.sizes[i] + sizes - common) >= threshold - 1e-12
+        hard = ~(self.plain[others] & self.plain[i])
+        out[hard] = False
+        for at in np.flatnonzero(hard & (bound >= threshold - 1e-9)):
+            out[at] = probability_jaccard(*self.one(i), *self.one(int(others[at]))) >= threshold - 1e-12
+        return out
+
+
 def sets_of(nodes: DataFrame, docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(row, strings, weights) of the rows in ``nodes``."""
     asked = nodes.join(scanned.select("row", "rk"), "row")
@@ -239,15 +279,18 @@ def joining_links(members: DataFrame, least: float, threshold: float, n: int) ->
         for rows in blocks_of(batches, columns):
             row, root, band, out = np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), rows[0][6], []
             signs = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), REGISTERS)
-            sets = [(np.frombuffer(r[7], np.uint64), np.frombuffer(r[8], np.int32)) for r in rows]
+            sets = Sets([r[7] for r in rows], [r[8] for r in rows])
             left, alone = np.array([r[2] for r in rows]), rows[0][9]
             for i in np.flatnonzero(left):
                 other = np.flatnonzero((root != root[i]) & (alone | ~left))
                 same = signs[other] == signs[i]
                 share = same.mean(1)
                 keep = (share >= least) & (same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band)
-                for j in other[keep][np.argsort(-share[keep], kind="stable")]:
-                    if root[i] != root[j] and probability_jaccard(*sets[i], *sets[j]) >= threshold - 1e-12:
+                if not keep.any():
+                    continue
+                other = other[keep]
+                for j in other[sets.similar(int(i), other, threshold)]:
+                    if root[i] != root[j]:
                         out.append((int(min(row[i], row[j])), int(max(row[i], row[j]))))
                         root[root == root[j]] = root[i]
             yield pa.record_batch([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
