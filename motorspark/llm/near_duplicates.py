@@ -337,6 +337,19 @@ def open_members(members: DataFrame, roots: DataFrame, scanned: DataFrame, narro
     return written(dealt.join(scanned.select("row", "signature"), "row"), "open-members")
 
 
+def nearest_roots(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(node, root) where a root is the smallest of a node's own and those of the nodes it is linked with.
+
+    Nodes of one root are of one class, though a class may still have several roots: that costs a later step some
+    comparisons, and saves the rounds that whole components take. Without ``roots`` every node is its own.
+    """
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    if roots is None:
+        return both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("root"))
+    named = both.join(roots.withColumnRenamed("node", "other"), "other", "left").select("node", F.coalesce("root", "other").alias("root"))
+    return named.unionByName(roots).groupBy("node").agg(F.min("root").alias("root")).select("node", F.least("node", "root").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: (rk, id, class_id, first).
 
@@ -362,7 +375,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = members.filter("row <> leader").select(F.col("leader").alias("a"), F.col("row").alias("b")).distinct()
     links = verified(written(agreeing(stars, scanned, least), "stars"), texts, scanned, threshold)
-    roots = written(components(links), "roots")
+    roots = written(nearest_roots(links, None), "roots")
     # every row of a mixed bucket tries its most agreeing partner of another class; then all pairs that are left
     for step in range(ROUNDS + 1):
         still = open_members(members, roots, scanned, narrowed=step < ROUNDS)
@@ -378,7 +391,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = written(joining_links(still.join(lonely, "row"), least, threshold, n), "joining")
         if not found.isEmpty():
             links = links.unionByName(found)
-            roots = written(components(links), "roots")
+            if step < ROUNDS:
+                roots = written(nearest_roots(found, roots), "roots")
+    roots = written(components(links), "roots")
 
     classed = written(
         scanned.select("row", "rk", "id", "key").join(same, "key")
