@@ -99,7 +99,8 @@ class ChunkEncoder:
         for chunk in chunks:
             raw = self.raw(chunk)
             base = raw.rstrip(PUNCTUATION)
-            cut = len(base) < len(raw) and base.lstrip(" \n").isalnum()
+            # lower case may end in a mark (as of U+0130), which goes with the punctuation
+            cut = len(base) < len(raw) and base.lower().lstrip(" \n").isalnum()
             bases.append(base if cut else raw)
             tails.append(raw[len(base) :] if cut else "")
         parts = self.parts
