@@ -49,6 +49,23 @@ def test_top_k_against_all_products(spark):
     assert [r.rank for r in top_k.exact_top_k(few, F.col("id") == 0).collect()] == [1, 2]
 
 
+def test_top_k_of_huge_numbers(spark):
+    random.seed(11)
+    # products below 2^53, beyond it, beyond a long, beyond a double
+    sizes = [1.0, 1e6, 1e9, 1e30, 1e160, 1e300]
+    rows = [(i, [random.choice([-1, 1]) * random.random() * sizes[i % 6] for _ in range(5)]) for i in range(120)]
+    rows += [(200 + i, [1e9 + i % 2, 2e9, 0.0, 0.0, 0.0]) for i in range(20)] + [(400, [1.7e308] * 5), (401, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = top_k.exact_top_k(df, F.col("id") % 20 == 0, k=7, query_rows=3, block_rows=8, run_rows=40, head=2).collect()
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if all(math.isfinite(64 * x) for x in v)]
+    expected = Counter()
+    for q, v in whole:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in whole if c != q)[:7]
+            expected.update((q, rank, c, -s if -(2**63) <= -s < 2**63 else None) for rank, (s, c) in enumerate(best, 1))
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got) == expected
+
+
 def test_permutation_index_finds_what_there_is(spark):
     rows = odd_vectors()
     df = with_clashes(spark.createDataFrame(rows, VECTORS)).repartition(3)
@@ -69,22 +86,41 @@ def test_permutation_index_finds_what_there_is(spark):
     assert permutation_index.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
-def test_permutation_index_recall(spark):
-    sf = "/root/testdata/sf0.1"
-    table = spark.read.parquet(f"{sf}/embeddings.parquet")
-    got = permutation_index.nearest(table, F.col("id") % 50 == 0, k=5, shard_rows=1024, least=64).collect()
-    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{sf}/embeddings.parquet'").fetchall()
-    ids = np.array([r[0] for r in rows])
-    x = np.array([r[1] for r in rows], float)
-    x /= np.sqrt((x**2).sum(1))[:, None]
+def recall(found: list, ids: np.ndarray, x: np.ndarray, part: np.ndarray, every: int) -> float:
+    """Share of the five truly nearest that were found, for the queries among the rows of ``part``."""
     hits = wanted = 0
-    for at in np.flatnonzero(ids % 50 == 0):
+    x = x / np.sqrt((x**2).sum(1))[:, None]
+    for at in np.flatnonzero(part & (ids % every == 0)):
         s = x @ x[at]
         s[at] = -2
         true = set(ids[np.argsort(-s)[:5]].tolist())
-        hits += len(true & {r.vec_id for r in got if r.query_id == ids[at]})
+        hits += len(true & {r.vec_id for r in found if r.query_id == ids[at]})
         wanted += 5
-    assert hits / wanted >= 0.9
+    return hits / wanted
+
+
+@pytest.mark.parametrize("hot", [0, 0.3, 1.0])
+def test_permutation_index_recall(spark, hot):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{path}' ORDER BY vec_id").fetchall()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    cluster = np.arange(len(ids)) % 3 == 0
+    if hot:  # a third of all rows around one vector
+        x[cluster] = 3 * np.sqrt((x[cluster] ** 2).sum(1))[:, None] * x[1] / np.sqrt((x[1] ** 2).sum()) + hot * x[cluster]
+    table = spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "vec_id long, embedding array<double>")
+    got = permutation_index.nearest(table, F.col("id") % 50 == 0, k=5, least=64).collect()
+    whole, outside = recall(got, ids, x, np.full(len(ids), True), 50), recall(got, ids, x, ~cluster, 50)
+    print(f"hot {hot}: recall {whole:.3f}, outside the cluster {outside:.3f}")
+    assert whole >= 0.95
+    assert outside >= 0.93
+
+
+def test_permutation_index_of_huge_numbers(spark):
+    rows = [(i, [math.cos(i / 7) * 10.0 ** (i % 300), math.sin(i / 7) * 10.0 ** (i % 300)]) for i in range(60)]
+    rows += [(100 + i, [x * 1e-200 for x in rows[i][1]]) for i in range(3)]
+    got = permutation_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 5, k=3).collect()
+    expected = sorted((-math.cos((5 - i % 100) / 7), i) for i, _ in rows if i != 5)[:3]
+    assert [r.score for r in got] == pytest.approx([-s for s, _ in expected], abs=1e-12)
 
 
 def test_url_verdicts_against_every_rule(spark):
