@@ -24,6 +24,7 @@ from motorspark.llm.common import held
 ODD_SPACE = re.compile(
     r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
 )
+MARK = re.compile(r"[\u0300-\u036f]")
 PUNCTUATION = ".,;:!?|#$%&*()"
 
 
@@ -67,7 +68,10 @@ class ChunkEncoder:
         if ODD_SPACE.search(text) or any(a in text for a in self.added):
             return None
         if not self.spaces:
-            return text.split()
+            # the vocabulary is of lower case, so spellings of one word share a chunk; no added token may come of it,
+            # and a mark after a letter may only have one sign together with it in one of the cases
+            low = text if not text.isascii() and MARK.search(text) else text.encode().lower().decode()
+            return (text if any(a in low for a in self.added) else low).split()
         if not text:
             return []
         if text[0] in " \n" or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
@@ -87,29 +91,28 @@ class ChunkEncoder:
         word = part[1:] if part[0] == " " else part
         return word.isalpha() and (word.isascii() or max(word) < "\u0100")
 
-    def word_ids(self, word: str) -> list[int]:
-        """A simple word, without the library's passes before and after the merges."""
-        word = word if self.spaces else word.strip(" ").lower()
-        if not word.isascii() or self.spaces:
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(word)]
-
     def learn(self, chunks: list[str]) -> None:
         bases, tails = [], []
-        for chunk in chunks:
-            raw = self.raw(chunk)
+        for raw in chunks if not self.spaces else map(self.raw, chunks):
             base = raw.rstrip(PUNCTUATION)
             # lower case may end in a mark (as of U+0130), which goes with the punctuation
-            cut = len(base) < len(raw) and base.lower().lstrip(" \n").isalnum()
-            bases.append(base if cut else raw)
-            tails.append(raw[len(base) :] if cut else "")
-        parts = self.parts
+            if len(base) < len(raw) and (base if base.isascii() else base.lower()).lstrip(" \n").isalnum():
+                bases.append(base)
+                tails.append(raw[len(base) :])
+            else:
+                bases.append(raw)
+                tails.append("")
+        parts, tokenize, spaces, letters = self.parts, self.model.tokenize, self.spaces, self.letters
         others = []
         for part in {*bases, *tails}.difference(parts):
-            if self.simple(part):
-                parts[part] = array("I", self.word_ids(part)).tobytes()
-            else:
+            if not self.simple(part):
                 others.append(part)
+                continue
+            # a simple word goes without the library's passes before and after the merges
+            word = part if spaces else part.lower()
+            if spaces or not word.isascii():
+                word = word.encode().decode("latin-1").translate(letters)
+            parts[part] = array("I", [t.id for t in tokenize(word)]).tobytes()
         for part, ids in zip(others, self.library_ids(others), strict=True):
             parts[part] = array("I", ids).tobytes()
         found = [parts[b] + parts[t] for b, t in zip(bases, tails, strict=True)]
