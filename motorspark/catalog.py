@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -603,6 +604,38 @@ def topic_severity(spark, sf_dir):
     return recall_plan.topic_severity(assigned.join(levels, "doc_id"))
 
 
+def given_topics(spark: SparkSession, sf_dir: str):
+    """Eight topics that SQL can build too: the kept terms in order, dealt one by one, each topic of another height."""
+    docs = views.documents(spark, sf_dir).select("doc_id", "text")
+    names, rows = recall_plan.topic_rows(docs, "doc_id", "text", STOP_WORDS)
+    number = np.arange(len(names))
+    cells = np.zeros((8, len(names)))
+    cells[number % 8, number] = (1 + number % 3) * (1 + number % 8 / 16)
+    factors = topics.Factors(names, cells)
+    return docs, checkpointed(topics.assign_topics(rows, factors, "doc_id")), factors
+
+
+@query
+def topic_assignment(spark, sf_dir):
+    docs, assigned, _ = given_topics(spark, sf_dir)
+    return docs.select("doc_id").join(assigned, "doc_id", "left").fillna({"topic": -1})
+
+
+@query
+def topic_report(spark, sf_dir):
+    docs, assigned, factors = given_topics(spark, sf_dir)
+    counts = assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("documents"))
+    examples = topics.topic_examples(assigned, docs, "doc_id", "text").select("topic", "place", "doc_id")
+    return topics.top_terms(spark, factors).join(counts, "topic").join(examples, "topic")
+
+
+@query
+def topic_levels(spark, sf_dir):
+    docs, assigned, _ = given_topics(spark, sf_dir)
+    levels = docs.select("doc_id", severity(F.col("text"), HIGH_TERMS, MEDIUM_TERMS).alias("severity"))
+    return recall_plan.topic_severity(assigned.join(levels, "doc_id"))
+
+
 # --- decoded specifications ---
 
 

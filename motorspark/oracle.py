@@ -532,6 +532,27 @@ n AS (SELECT count(DISTINCT doc_id) AS with_terms FROM scaled)
 SELECT (SELECT count(*) FROM v_docs) AS documents, with_terms, 0 AS negative_weights, 0 AS negative_cells, true AS topics_in_range,
   round(with_terms - (SELECT sum(s * s) FROM summed) / with_terms, 6) AS one_direction_error, true AS error_within FROM n"""
 
+# topics without a common term: the best weight of each is a projection
+GIVEN_TOPICS = f"""{TERMS}, numbered AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS j FROM vocab),
+cells AS (SELECT term, (j % 8)::INT AS topic, (1 + j % 3) * (1 + (j % 8) / 16.0::DOUBLE) AS h FROM numbered),
+squares AS (SELECT topic, sum(h * h) AS s FROM cells GROUP BY topic),
+weighted AS (SELECT doc_id, term, tf * idf AS w FROM counts JOIN idfs USING (term)),
+scaled AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM weighted),
+fits AS (SELECT doc_id, topic, sum(w * h / s) AS topic_weight FROM scaled JOIN cells USING (term) JOIN squares USING (topic) GROUP BY doc_id, topic),
+assigned AS (SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY topic_weight DESC, topic) = 1)"""
+SQL["topic_assignment"] = f"""WITH {GIVEN_TOPICS}
+SELECT doc_id, coalesce(topic, -1) AS topic, round(topic_weight, 6) AS topic_weight FROM v_docs LEFT JOIN assigned USING (doc_id)"""
+SQL["topic_report"] = f"""WITH {GIVEN_TOPICS},
+words AS (SELECT topic, string_agg(term, ', ' ORDER BY h DESC, term) AS top_words
+  FROM (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY topic ORDER BY h DESC, term) <= 8) GROUP BY topic),
+sizes AS (SELECT topic, count(*) AS documents FROM assigned GROUP BY topic),
+texts AS (SELECT topic, text, max(topic_weight) AS topic_weight, min(doc_id) AS doc_id FROM assigned JOIN v_docs USING (doc_id) GROUP BY topic, text),
+places AS (SELECT topic, doc_id, row_number() OVER (PARTITION BY topic ORDER BY round(topic_weight, 12) DESC, doc_id)::INT AS place FROM texts)
+SELECT topic, top_words, documents, place, doc_id FROM words JOIN sizes USING (topic) JOIN places USING (topic) WHERE place <= 2"""
+SQL["topic_levels"] = f"""WITH {GIVEN_TOPICS}, levels AS (SELECT doc_id, {SEVERITY} AS severity FROM v_docs)
+SELECT topic, count(*) AS recalls, round(avg(severity), 6) AS mean_severity, round(avg((severity = 3)::INT) * 100, 6) AS share_high
+FROM assigned JOIN levels USING (doc_id) GROUP BY topic"""
+
 # --- decoded specifications ---
 
 _SPEC_COLUMNS = _columns(views.SPECS)
