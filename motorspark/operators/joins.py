@@ -7,6 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motorspark.session import checkpointed
+
+
+#: Lines of a key set that may be sent to every task.
+BROADCAST = 20_000
+
 
 class JoinContractError(ValueError):
     """A join's right side has a key twice, or the join changed the number of rows."""
@@ -71,10 +77,21 @@ def enrich(
     return joined.fillna(fill) if fill else joined
 
 
+def in_key_set(fact: DataFrame, keys: DataFrame, on: Sequence[str], spread: str) -> DataFrame:
+    """Fact rows whose key is in the key set, which is counted first.
+
+    A few keys would pull all rows of a key into one task, since adaptive execution does not broadcast a side that fills few
+    partitions: at most ``BROADCAST`` keys are sent to the rows. With more, rows of a hot key are cut by the ``spread`` column.
+    """
+    known = checkpointed(keys.select(*on).distinct())
+    if known.count() <= BROADCAST:
+        return fact.join(F.broadcast(known), list(on), "left_semi")
+    return spread_join(fact, known, on, spread, "left_semi")
+
+
 def match_ids(fact: DataFrame, keys: DataFrame, on: Sequence[str], id_column: str) -> DataFrame:
     """Ids of fact rows whose key is in the key set."""
-    reached = fact.select(id_column, *on).distinct()
-    return reached.join(keys.select(*on).distinct(), list(on), "left_semi").select(id_column).distinct()
+    return in_key_set(fact.select(id_column, *on), keys, on, id_column).select(id_column).distinct()
 
 
 def count_distinct_by(df: DataFrame, keys: Sequence[str], id_column: str, alias: str) -> DataFrame:

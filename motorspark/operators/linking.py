@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from motorspark.functions import fixed_values as fixed
 from motorspark.functions.text import announcing_sentence, first_token, model_years, name_tokens
 from motorspark.functions.values import holds
-from motorspark.operators.joins import count_distinct_by, enrich, match_ids
+from motorspark.operators.joins import count_distinct_by, enrich, in_key_set, match_ids
 from motorspark.operators.reports import value_counts
 from motorspark.session import checkpointed
 
@@ -62,19 +62,19 @@ def listing_keys(df: DataFrame, model: str, keep: Sequence[str]) -> DataFrame:
 def parsed_recalls(recalls: DataFrame, id_column: str, group: str, description: str) -> DataFrame:
     """Model years and tokens of each announcing sentence; written out, as texts are read once.
 
-    Recalls without a manufacturer group cannot meet a listing and are left out.
+    Recalls without a manufacturer group cannot meet a listing and are left out. The lines are dealt to parts of bounded size,
+    as a file split may hold any number of recalls and the counts hold an entry for each (recall, year, token) of a part.
     """
     sentences = recalls.where(F.col(group).isNotNull()).select(
         id_column, group, announcing_sentence(F.col(description)).alias("_sentence")
     )
-    return checkpointed(
-        sentences.select(
-            id_column,
-            group,
-            model_years(F.col("_sentence")).alias("years"),
-            F.array_distinct(name_tokens(F.col("_sentence"))).alias("tokens"),
-        )
+    parsed = sentences.select(
+        id_column,
+        group,
+        model_years(F.col("_sentence")).alias("years"),
+        F.array_distinct(name_tokens(F.col("_sentence"))).alias("tokens"),
     )
+    return checkpointed(parsed.hint("rebalance", F.col(id_column)))
 
 
 def recall_years(parsed: DataFrame, id_column: str, group: str) -> DataFrame:
@@ -90,7 +90,7 @@ def link_table(parsed: DataFrame, vocabulary: DataFrame, id_column: str, group:
     tokens = parsed.where(F.size("years") > 0).select(
         id_column, group, "years", F.explode("tokens").alias("model_token")
     )
-    known = tokens.join(vocabulary, "model_token", "left_semi")
+    known = in_key_set(tokens, vocabulary, ["model_token"], id_column)
     return known.select(id_column, group, F.explode("years").alias("year"), "model_token")
 
 

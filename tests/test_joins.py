@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from motorspark.functions import fixed_values as fixed
 from motorspark.operators import comparing, joins, linking
 from motorspark.plans import specs as spec_plan
+from motorspark.session import checkpointed
 
 
 def test_spread_join_equals_plain_join(spark):
@@ -27,6 +28,29 @@ def test_only_hot_keys_are_offered_more_than_once(spark):
     assert joins.spread_join(left, right, ["k"], "id").where("n is null").count() == 0
 
 
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_rows_in_a_key_set_by_broadcast_and_by_parts(spark, monkeypatch, most):
+    monkeypatch.setattr(joins, "BROADCAST", most)
+    rows = [(i, "hot" if i % 3 else None if i % 2 else "x", 1 if i % 5 else None) for i in range(90)]
+    left = spark.createDataFrame([*rows, *rows[:7], (None, "hot", 1)], "id int, k string, y int")
+    keys = spark.createDataFrame([("hot", 1), ("hot", 1), ("y", 1), (None, 1), ("x", None)], "k string, y int")
+    found = joins.in_key_set(left, keys, ["k", "y"], "id").select("id", "k", "y")
+    assert sorted(map(str, found.collect())) == sorted(map(str, left.where("k = 'hot' and y = 1").collect()))
+    ids = [r["id"] for r in joins.match_ids(left, keys, ["k", "y"], "id").collect()]
+    assert len(ids) == len(set(ids)) and set(ids) == {i for i, k, y in rows if k == "hot" and y == 1} | {None}
+
+
+def test_a_few_known_words_do_not_gather_all_recalls_of_a_word_in_one_task(spark):
+    text = "Ford is recalling certain 2010-2012 F-150 trucks"
+    recalls = spark.range(200).select("id", F.lit("Ford").alias("g"), F.lit(text).alias("t"))
+    parsed = linking.parsed_recalls(recalls, "id", "g", "t")
+    words = checkpointed(spark.createDataFrame([("f150",), ("escape",)], "model_token string"))
+    table = linking.link_table(parsed, words, "id", "g")
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(model_token" not in plan
+    assert table.count() == 600
+
+
 def test_join_contract(spark):
     twice = spark.createDataFrame([("a",), ("a",)], "k string")
     with pytest.raises(joins.JoinContractError):
