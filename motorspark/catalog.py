@@ -85,6 +85,13 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pricing.price_features(clean(spark, sf_dir), REFERENCE_YEAR, LUXURY, 20)
 
 
+def fitted_prices(spark: SparkSession, sf_dir: str) -> listings_plan.PriceModel:
+    """The price model on cleaned listings that are written once: the kept models, the sums and the scores all read them."""
+    columns = ["id", "price", "year", "odometer", "manufacturer", "model", "type", "fuel", "transmission", "drive"]
+    rows = checkpointed(clean(spark, sf_dir).select(*columns))
+    return price_model(pricing.price_features(rows, REFERENCE_YEAR, LUXURY, 20), DESIGN)
+
+
 @query
 def rule_audit(spark, sf_dir):
     return CLEANING.audit(views.listings(spark, sf_dir))
@@ -244,14 +251,14 @@ def ols_by_segment(spark, sf_dir):
 
 @query
 def ols_effects(spark, sf_dir):
-    fitted = price_model(features(spark, sf_dir), DESIGN)
+    fitted = fitted_prices(spark, sf_dir)
     lines = regression.effects(fitted.model, regression.NUMERIC_LABELS, fixed.FEATURE_GROUP_NAMES)
     return spark.createDataFrame(lines, "effect_group string, label string, pct_effect double, coefficient double")
 
 
 @query
 def ols_importance(spark, sf_dir):
-    fitted = price_model(features(spark, sf_dir), DESIGN)
+    fitted = fitted_prices(spark, sf_dir)
     names = {**{k: v[0] for k, v in regression.NUMERIC_LABELS.items()}, **fixed.FEATURE_GROUP_NAMES}
     lines = regression.group_importance(fitted.train, fitted.test, DESIGN, names)
     return spark.createDataFrame(lines, "feature_group string, r2_without double, r2_drop double")
@@ -259,7 +266,7 @@ def ols_importance(spark, sf_dir):
 
 @query
 def ols_eval(spark, sf_dir):
-    return listings_plan.model_score(price_model(features(spark, sf_dir), DESIGN))
+    return listings_plan.model_score(fitted_prices(spark, sf_dir))
 
 
 @query
@@ -274,7 +281,7 @@ def listing_first_rows(spark, sf_dir):
 
 @query
 def error_by_band(spark, sf_dir):
-    fitted = price_model(features(spark, sf_dir), DESIGN)
+    fitted = fitted_prices(spark, sf_dir)
     return regression.error_by_band(
         fitted.scored, "price", "predicted_price", 20000, 2, ("Asking price under 20000", "Asking price 20000 and above")
     )
@@ -282,7 +289,7 @@ def error_by_band(spark, sf_dir):
 
 @query
 def prediction_sample(spark, sf_dir):
-    fitted = price_model(features(spark, sf_dir), DESIGN)
+    fitted = fitted_prices(spark, sf_dir)
     return sampling.sample_n(fitted.scored.select("id", "price", "predicted_price"), 500, 7, "id")
 
 

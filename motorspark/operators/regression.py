@@ -194,7 +194,8 @@ def fit_table(cells: DataFrame, design: Design, tol: float = 1e-12, rounds: int
     cells by the direction, one line per feature, and stops once the scaled gradient is ``tol`` times the first one. The
     driver sees sums only. Of features that say the same the coefficients are the smallest that fit.
     """
-    inner = checkpointed(cells.where((F.col("i") != design.target) & (F.col("j") != design.target)))
+    cells = checkpointed(cells)
+    inner = cells.where((F.col("i") != design.target) & (F.col("j") != design.target))
     known = inner.where((F.col("i") == F.col("j")) & (F.col("value") > 0)).select(F.col("i").alias("feature"), F.col("value").alias("scale"))
     right = cells.where((F.col("j") == design.target) & (F.col("i") != design.target)).select(F.col("i").alias("feature"), F.col("value").alias("r"))
     state = checkpointed(known.join(right, "feature").withColumns({"x": F.lit(0.0), "p": F.col("r") / F.col("scale")}))
@@ -266,10 +267,12 @@ def error_by_band(
     labels: tuple[str, str] = ("Asking price under $2,000", "Asking price $2,000 and above"),
 ) -> DataFrame:
     """Rows, median prediction, and share predicted at more than ``factor`` times the price, by band."""
-    banded = scored.select(
-        F.when(F.col(actual) < cut, labels[0]).otherwise(labels[1]).alias("listings"),
-        F.col(predicted).alias("_p"),
-        (F.col(predicted) > factor * F.col(actual)).cast("int").alias("_far"),
+    banded = checkpointed(
+        scored.select(
+            F.when(F.col(actual) < cut, labels[0]).otherwise(labels[1]).alias("listings"),
+            F.col(predicted).alias("_p"),
+            (F.col(predicted) > factor * F.col(actual)).cast("int").alias("_far"),
+        )
     )
     medians = quantiles(banded, ["listings"], "_p", {"median_predicted": 0.5}, "test_rows")
     shares = banded.groupBy("listings").agg((F.avg("_far") * 100).alias("predicted_more_than_double"))

@@ -1,7 +1,7 @@
 """Weighted terms and topics of a text column.
 
 Terms are counted inside their row, so no (document, term) pair is ever shuffled: a sketch of bucket counts, which adds up over
-tasks, rules out nearly all terms that are too rare, and only the others are counted exactly. The kept vocabulary is a top-k
+tasks, rules out nearly all terms that are too rare, and only the others are counted exactly, many documents at a time. The kept vocabulary is a top-k
 list, small by construction. Topics come from a non-negative
 factorisation whose passes run over the document rows in Arrow batches: a document's topic
 weights depend only on its own terms and the k-by-terms topic matrix, and the sums that update
@@ -86,25 +86,135 @@ def vocabulary(counts: DataFrame, documents: Column, min_df: int = 20, max_featu
     )
 
 
+#: Bytes of text, and terms of documents, that a task works on at once.
+MAX_TEXT, MAX_TERMS = 1 << 22, 1 << 19
+_LETTERS = np.full(256, ord(" "), dtype=np.uint8)
+_LETTERS[97:123] = np.arange(97, 123)
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of whole rows, as (first, number), of at most ``most`` in sum, or one row."""
+    ends, low = np.cumsum(sizes), 0
+    while low < len(sizes):
+        taken = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, taken + most, side="right")))
+        yield low, high - low
+        low = high
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    wide = pa.types.is_large_string(column.type)
+    return np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+
+
+def _split(column: pa.Array) -> pa.ListArray:
+    """Runs of a-z of lower-cased texts without nulls; there may be empty words."""
+    ends = _offsets(column)
+    letters = _LETTERS[np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]]
+    buffers = [None, pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(letters)]
+    return pc.split_pattern(pa.Array.from_buffers(pa.string(), len(column), buffers), " ")
+
+
+def _bag(texts: pa.Array, stop: pa.Array, pairs: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Different terms per text: how many, the terms, and how often each occurs."""
+    lists = _split(texts)
+    coded = lists.flatten().dictionary_encode()
+    known, width = coded.dictionary, len(coded.dictionary)
+    kept = np.asarray(pc.greater_equal(pc.binary_length(known), 2)) & ~np.asarray(pc.is_in(known, value_set=stop))
+    codes = np.asarray(coded.indices, dtype=np.int64)
+    rows = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths(), dtype=np.int64))[kept[codes]]
+    codes = codes[kept[codes]]
+    keys, all_rows = codes, rows
+    if pairs:
+        near = rows[1:] == rows[:-1]
+        keys = np.concatenate([codes, width + codes[:-1][near] * width + codes[1:][near]])
+        all_rows = np.concatenate([rows, rows[1:][near]])
+    span = max(1, width + width * width)
+    found, tfs = np.unique(all_rows * span + keys, return_counts=True)
+    rows, keys = found // span, found % span
+    single = keys < width
+    first = known.take(pa.array(np.where(single, keys, (keys - width) // max(1, width))))
+    second = known.take(pa.array(np.where(single, keys, (keys - width) % max(1, width))))
+    names = pc.if_else(pa.array(single), first, pc.binary_join_element_wise(first, second, " "))
+    return np.bincount(rows, minlength=len(lists)), names, tfs
+
+
+def _ends(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+
 def bags(df: DataFrame, id_column: str, text: str, stop_words: Sequence[str], pairs: bool = True) -> DataFrame:
-    """One row per document: its different ``terms`` and how often each occurs, ``tfs``. No rows are moved."""
-    tokens = df.select(id_column, F.coalesce(terms(words(F.col(text), stop_words), pairs), F.array().cast("array<string>")).alias("terms"))
+    """One row per document: its different ``terms`` and how often each occurs, ``tfs``. No rows are moved.
+
+    Terms are those of ``terms`` and ``words``; a task works on few texts at once, however many a batch has.
+    """
+    lowered = df.select(id_column, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
+    left_out = list(stop_words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = pa.array(left_out, pa.string())
         for batch in batches:
-            lists = batch.column("terms")
-            sizes = np.asarray(lists.value_lengths(), dtype=np.int64)
-            coded = lists.flatten().dictionary_encode()
-            width = max(1, len(coded.dictionary))
-            keys = np.repeat(np.arange(len(sizes)), sizes) * width + np.asarray(coded.indices, dtype=np.int64)
-            found, tfs = np.unique(keys, return_counts=True)
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(found // width, minlength=len(sizes)))]).astype(np.int32))
-            names = coded.dictionary.take(pa.array(found % width))
-            rows = [batch.column(0), pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(tfs.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(rows, names=[id_column, "terms", "tfs"])
+            for low, number in _slices(np.diff(_offsets(batch.column(1))), MAX_TEXT):
+                sizes, names, tfs = _bag(batch.column(1).slice(low, number), stop, pairs)
+                ends = _ends(sizes)
+                rows = [batch.column(0).slice(low, number), pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(tfs.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(rows, names=[id_column, "terms", "tfs"])
 
     schema = T.StructType().add(df.schema[id_column]).add("terms", T.ArrayType(T.StringType())).add("tfs", T.ArrayType(T.IntegerType()))
-    return tokens.mapInArrow(count, schema)
+    return lowered.mapInArrow(count, schema)
+
+
+def _term_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Different terms of some documents at a time, with how often they occur and in how many documents."""
+    for batch in batches:
+        lists, tfs = batch.column("terms"), batch.column("tfs")
+        for low, number in _slices(np.asarray(lists.value_lengths(), dtype=np.int64), MAX_TERMS):
+            coded = lists.slice(low, number).flatten().dictionary_encode()
+            codes = np.asarray(coded.indices, dtype=np.int64)
+            totals = np.bincount(codes, np.asarray(tfs.slice(low, number).flatten(), dtype=np.float64), len(coded.dictionary))
+            yield coded.dictionary, totals.astype(np.int64), np.bincount(codes, minlength=len(coded.dictionary))
+
+
+def _buckets(names: pa.Array, buckets: int) -> np.ndarray:
+    return (pd.util.hash_array(names.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(buckets)).astype(np.int64)
+
+
+def _sketch(counted: DataFrame, min_df: int, max_features: int, buckets: int) -> np.ndarray:
+    """For each hash bucket, whether it may hold one of the wanted terms.
+
+    A term occurs in no more documents, and no more often, than its bucket. Some terms are counted by every task, so these
+    counts are at most the true ones: once there are ``max_features`` of them in enough documents, no wanted term is rarer
+    than the last of these. A table of ``buckets`` lines and one of a few thousand counts per task are all that is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, df = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
+        watched, sums = None, np.zeros((2, 0), dtype=np.int64)
+        for names, totals, dfs in _term_sums(batches):
+            if not len(names):
+                continue
+            place = _buckets(names, buckets)
+            np.add.at(total, place, totals)
+            np.add.at(df, place, dfs)
+            if watched is None:
+                watched = names.take(pa.array(np.argsort(-totals, kind="stable")[: 2 * max_features]))
+                sums = np.zeros((2, len(watched)), dtype=np.int64)
+            at = np.asarray(pc.fill_null(pc.index_in(watched, value_set=names), -1), dtype=np.int64)
+            sums[:, at >= 0] += np.stack([totals, dfs])[:, at[at >= 0]]
+        filled = np.flatnonzero(df)
+        none = pa.nulls(len(filled), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(filled), none, pa.array(total[filled]), pa.array(df[filled])], names=["bucket", "term", "total", "df"])
+        if watched is not None:
+            none = pa.nulls(len(watched), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, watched, pa.array(sums[0]), pa.array(sums[1])], names=["bucket", "term", "total", "df"])
+
+    lines = counted.select("terms", "tfs").mapInArrow(run, "bucket long, term string, total long, df long")
+    summed = checkpointed(lines.groupBy("bucket", "term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")).where(F.col("df") >= min_df))
+    known = [r["total"] for r in summed.where("term is not null").orderBy(F.col("total").desc()).limit(max_features).select("total").collect()]
+    least = known[-1] if known and len(known) == max_features else 0
+    likely = np.zeros(buckets, dtype=bool)
+    likely[np.asarray(summed.where(F.col("bucket").isNotNull() & (F.col("total") >= least)).select("bucket").toArrow().column(0), dtype=np.int64)] = True
+    return likely
 
 
 def frequent_terms(
@@ -112,16 +222,22 @@ def frequent_terms(
 ) -> DataFrame:
     """The same table as ``vocabulary``, from ``bags``.
 
-    A term's documents are at most those of its hash bucket, so buckets below ``min_df`` hold no wanted term; the list of the
-    others has ``buckets`` lines at most.
+    Terms in hash buckets that cannot hold a wanted one are left out, the others are summed up for many documents at a time
+    before they are moved.
     """
-    each = counted.select(F.inline(F.arrays_zip("terms", "tfs"))).toDF("term", "tf")
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("_bucket")
-    full = each.groupBy(bucket).agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") >= min_df).select("_bucket")
-    likely = each.withColumn("_bucket", bucket).join(F.broadcast(full), "_bucket", "left_semi")
+    packed = np.packbits(_sketch(counted, min_df, max_features, buckets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        likely = np.unpackbits(packed, count=buckets).astype(bool)
+        for names, totals, dfs in _term_sums(batches):
+            mine = np.flatnonzero(likely[_buckets(names, buckets)]) if len(names) else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(mine)), pa.array(totals[mine]), pa.array(dfs[mine])], names=["term", "total", "df"])
+
     return (
-        likely.groupBy("term")
-        .agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+        counted.select("terms", "tfs")
+        .mapInArrow(run, "term string, total long, df long")
+        .groupBy("term")
+        .agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
         .where(F.col("df") >= min_df)
         .orderBy(F.col("total").desc(), "term")
         .limit(max_features)
@@ -138,29 +254,33 @@ def weighted_rows(counted: DataFrame, id_column: str, names: Sequence[str], idfs
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = pa.array(known, pa.string())
-        for batch in batches:
-            lists = batch.column("terms")
-            sizes = np.asarray(lists.value_lengths(), dtype=np.int64)
-            number = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=kept), -1), dtype=np.int64)
-            hit = number >= 0
-            row, number = np.repeat(np.arange(len(sizes)), sizes)[hit], number[hit]
-            weight = np.asarray(batch.column("tfs").flatten(), dtype=np.float64)[hit] * factors[number]
-            order = np.lexsort((number, row))
-            row, number, weight = row[order], number[order], weight[order]
-            weight /= np.sqrt(np.bincount(row, weight**2, minlength=len(sizes)))[row]
-            per_row = np.bincount(row, minlength=len(sizes))
-            rows = np.flatnonzero(per_row)
-            ends = pa.array(np.concatenate([[0], np.cumsum(per_row[rows])]).astype(np.int32))
-            ids = batch.column(0).take(pa.array(rows))
-            columns = [ids, pa.ListArray.from_arrays(ends, pa.array(number)), pa.ListArray.from_arrays(ends, pa.array(weight))]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_column, "term_ids", "weights"])
+        for whole in batches:
+            for low, count in _slices(np.asarray(whole.column("terms").value_lengths(), dtype=np.int64), MAX_TERMS):
+                yield weighed(whole.slice(low, count), kept)
+
+    def weighed(batch: pa.RecordBatch, kept: pa.Array) -> pa.RecordBatch:
+        lists = batch.column("terms")
+        sizes = np.asarray(lists.value_lengths(), dtype=np.int64)
+        number = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=kept), -1), dtype=np.int64)
+        hit = number >= 0
+        row, number = np.repeat(np.arange(len(sizes)), sizes)[hit], number[hit]
+        weight = np.asarray(batch.column("tfs").flatten(), dtype=np.float64)[hit] * factors[number]
+        order = np.lexsort((number, row))
+        row, number, weight = row[order], number[order], weight[order]
+        weight /= np.sqrt(np.bincount(row, weight**2, minlength=len(sizes)))[row]
+        per_row = np.bincount(row, minlength=len(sizes))
+        rows = np.flatnonzero(per_row)
+        ends = _ends(per_row[rows])
+        ids = batch.column(0).take(pa.array(rows))
+        columns = [ids, pa.ListArray.from_arrays(ends, pa.array(number)), pa.ListArray.from_arrays(ends, pa.array(weight))]
+        return pa.RecordBatch.from_arrays(columns, names=[id_column, "term_ids", "weights"])
 
     schema = T.StructType().add(counted.schema[id_column]).add("term_ids", T.ArrayType(T.LongType())).add("weights", T.ArrayType(T.DoubleType()))
     return counted.mapInArrow(weigh, schema)
 
 
 def document_count(df: DataFrame, text: str) -> Column:
-    return df.agg(F.count_if(letters_only(F.col(text)) != "")).scalar()
+    return df.agg(F.count_if(F.lower(F.col(text)).rlike("[a-z]"))).scalar()
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, id_column: str) -> DataFrame:
@@ -268,14 +388,10 @@ def exact_weights(cross: np.ndarray, square: np.ndarray) -> np.ndarray:
         flip[alone] = np.arange(k) == last[:, None]
         positive[rows] ^= flip
         sets, which = np.unique(positive[rows] @ (1 << np.arange(k)), return_inverse=True)
-        for at, code in enumerate(sets.tolist()):
-            mine = rows[which == at]
-            on = np.array([bool(code >> j & 1) for j in range(k)])
-            weights[mine] = 0
-            if on.any():
-                weights[np.ix_(mine, np.flatnonzero(on))] = cross[np.ix_(mine, np.flatnonzero(on))] @ np.linalg.pinv(square[np.ix_(on, on)], hermitian=True)
-            gradient[mine] = weights[mine] @ square - cross[mine]
-            gradient[np.ix_(mine, np.flatnonzero(on))] = 0
+        on = (sets[:, None] >> np.arange(k) & 1).astype(bool)
+        inverses = np.linalg.pinv(np.where(on[:, :, None] & on[:, None, :], square, 0), hermitian=True)
+        weights[rows] = np.where(on[which], (inverses[which] @ cross[rows][:, :, None])[:, :, 0], 0)
+        gradient[rows] = np.where(on[which], 0, weights[rows] @ square - cross[rows])
     return np.maximum(weights, 0)
 
 
