@@ -241,3 +241,46 @@ def test_terms_counted_inside_rows_equal_the_pair_table(spark):
     assert got == pytest.approx({(r["id"], r["term"]): r["weight"] for r in topics.long_weights(topics.tfidf(counts, wanted, "id"), "id").collect()})
     plan = topics.frequent_terms(counted, documents, 4, 6)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [id" not in plan
+
+
+def test_cells_and_scored_rows_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = spark.createDataFrame([(float(i % 7), "abc"[i % 3], float(i % 5)) for i in range(60)], "x double, c string, y double")
+    design = regression.Design("y", ["x"], {"c": "a"})
+    cells = regression.product_sums(rows, design).mapInPandas(count, "i string, j string, value double")
+    assert regression.fit_table(cells, design).count() == 4
+    assert seen.value == regression.product_sums(rows, design).count()
+    scored = rows.selectExpr("x + 1 AS price", "y AS predicted").mapInPandas(count, "price double, predicted double")
+    seen.value = 0
+    assert regression.error_by_band(scored, "price", "predicted", 4, 2).count() == 2
+    assert seen.value == 60
+
+
+def test_texts_and_not_their_terms_are_sent_to_be_counted(spark, monkeypatch):
+    monkeypatch.setattr(topics, "MAX_TEXT", 9)
+    monkeypatch.setattr(topics, "MAX_TERMS", 3)
+    texts = ["Fire in the engine\u00e9engine", None, "", "x 1", "fire-risk, FIRE risk", "\u212a the end", "the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(2)
+    for pairs in (True, False):
+        counted = topics.bags(df, "id", "t", ["the"], pairs)
+        got = {(r["id"], t, n) for r in counted.collect() for t, n in zip(r["terms"], r["tfs"])}
+        assert got == {(r["id"], r["term"], r["tf"]) for r in topics.term_counts(df, "id", "t", ["the"], pairs).collect()}
+        assert counted.count() == len(texts)
+    assert "zip_with" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    counted = topics.bags(df, "id", "t", ["the"])
+    assert [(r["term"], r["total"], r["df"]) for r in topics.frequent_terms(counted, F.lit(4), 1, 2).collect()] == [("engine", 2, 1), ("fire", 3, 2)][::-1]
+
+
+def test_the_sketch_leaves_out_what_is_rarer_than_the_wanted_terms(spark):
+    """Rare words in more documents than the least number pass a sketch by documents alone."""
+    often, rare = " ".join(f"{a}{b}often" for a in "abcde" for b in "abcde"), [f"{a}{b}{c}rare" for a in "klmnopqr" for b in "klmnopqr" for c in "kl"]
+    df = spark.createDataFrame([(i, f"{often} {rare[i % len(rare)]}") for i in range(3 * len(rare))], "id long, t string").repartition(2)
+    counted = topics.bags(df, "id", "t", [], pairs=False)
+    assert int(topics._sketch(counted, 2, 25, 1 << 18).sum()) <= 25
+    assert {r["term"] for r in topics.frequent_terms(counted, F.lit(1), 2, 25).collect()} == set(often.split())
