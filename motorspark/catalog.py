@@ -552,8 +552,7 @@ def spot_check(spark, sf_dir):
 @query
 def tfidf_top_terms(spark, sf_dir):
     docs = views.documents(spark, sf_dir).select("doc_id", "text")
-    counted = checkpointed(topics.bags(docs, "doc_id", "text", STOP_WORDS))
-    return topics.frequent_terms(counted, topics.document_count(docs, "text"), 20, 2000)
+    return recall_plan.vocabulary_bags(docs, "doc_id", "text", STOP_WORDS, 20, 2000)[1]
 
 
 @query

@@ -1,8 +1,9 @@
 """Weighted terms and topics of a text column.
 
 Terms are counted inside their row, so no (document, term) pair is ever shuffled: a sketch of bucket counts, which adds up over
-tasks, rules out nearly all terms that are too rare, and only the others are counted exactly, many documents at a time. The kept vocabulary is a top-k
-list, small by construction. Topics come from a non-negative
+tasks, rules out nearly all terms that are too rare, and only the others are counted exactly, many documents at a time. Where the
+vocabulary is all that is wanted of the texts, their words are written as numbers once, two passes over these find it first, and
+bags list its terms only. The kept vocabulary is a top-k list, small by construction. Topics come from a non-negative
 factorisation whose passes run over the document rows in Arrow batches: a document's topic
 weights depend only on its own terms and the k-by-terms topic matrix, and the sums that update
 that matrix are added up by a distributed aggregation.
@@ -10,6 +11,7 @@ that matrix are added up by a distributed aggregation.
 
 from __future__ import annotations
 
+import string
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
@@ -87,9 +89,15 @@ def vocabulary(counts: DataFrame, documents: Column, min_df: int = 20, max_featu
 
 
 #: Bytes of text, and terms of documents, that a task works on at once.
-MAX_TEXT, MAX_TERMS = 1 << 22, 1 << 19
-_LETTERS = np.full(256, ord(" "), dtype=np.uint8)
-_LETTERS[97:123] = np.arange(97, 123)
+MAX_TEXT, MAX_TERMS = 1 << 20, 1 << 19
+#: Counts that a task holds before it adds them up.
+MAX_COUNTS = 1 << 18
+_LETTERS = bytes(b for b in range(256) if chr(b) in string.ascii_letters)
+_OTHERS = bytes(b for b in range(256) if b not in _LETTERS)
+_LOWER = bytes(range(256)).lower()
+_IS_LETTER = bytes(b in _LETTERS for b in range(256))
+#: The only other characters with a letter a-z in lower case.
+_TO_LETTERS = {"\u0130": "i\u0307", "\u212a": "k"}
 
 
 def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -107,61 +115,251 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
 
 
-def _split(column: pa.Array) -> pa.ListArray:
-    """Runs of a-z of lower-cased texts without nulls; there may be empty words."""
-    ends = _offsets(column)
-    letters = _LETTERS[np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]]
-    buffers = [None, pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(letters)]
-    return pc.split_pattern(pa.Array.from_buffers(pa.string(), len(column), buffers), " ")
+def _split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Runs of a-z of texts without nulls, in lower case, and the text each is in."""
+    def body(column: pa.Array) -> tuple[np.ndarray, bytes]:
+        ends = _offsets(column)
+        return ends, (column.buffers()[2] or pa.py_buffer(b""))[ends[0] : ends[-1]].to_pybytes()
+
+    ends, raw = body(column)
+    if not raw.isascii() and any(sign.encode() in raw for sign in _TO_LETTERS):
+        for sign, low in _TO_LETTERS.items():
+            column = pc.replace_substring(column, sign, low)
+        ends, raw = body(column)
+    on = np.frombuffer(raw.translate(_IS_LETTER), dtype=bool)
+    ends = ends.astype(np.int64) - ends[0]
+    borders = ends[(ends > 0) & (ends < len(on))]
+    before, after = np.zeros(len(on), dtype=bool), np.zeros(len(on), dtype=bool)
+    before[1:], after[:-1] = on[:-1], on[1:]
+    before[borders], after[borders - 1] = False, False
+    starts = np.flatnonzero(on & ~before)
+    sizes = np.flatnonzero(on & ~after) + 1 - starts
+    words_ = pa.Array.from_buffers(pa.string(), len(starts), [None, _ends(sizes).buffers()[1], pa.py_buffer(raw.translate(_LOWER, _OTHERS))])
+    return words_, np.repeat(np.arange(len(column)), np.diff(np.searchsorted(starts, ends)))
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _coded(texts: pa.Array, stop: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words, and of every word that counts, in order, its text and its number."""
+    words_, rows = _split(texts)
+    coded = words_.dictionary_encode()
+    known = coded.dictionary
+    kept = np.asarray(pc.greater_equal(pc.binary_length(known), 2)) & ~np.asarray(pc.is_in(known, value_set=stop))
+    codes = np.asarray(coded.indices, dtype=np.int64)
+    counts = kept[codes]
+    return known, rows[counts], codes[counts]
+
+
+#: Ids of some texts, the words in them, and of every word that counts its text and its number.
+_Coded = tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]
+
+
+def _coded_texts(batches: Iterator[pa.RecordBatch], stop: pa.Array) -> Iterator[_Coded]:
+    for batch in batches:
+        for low, number in _slices(np.diff(_offsets(batch.column(1))), MAX_TEXT):
+            yield batch.column(0).slice(low, number), *_coded(batch.column(1).slice(low, number), stop)
+
+
+def _coded_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Coded]:
+    for batch in batches:
+        for ids, *cells in zip(*batch.columns):
+            sizes, codes, ends, letters = (c.as_buffer() for c in cells)
+            known = pa.Array.from_buffers(pa.string(), ends.size // 4 - 1, [None, ends, letters])
+            rows = np.repeat(np.arange(sizes.size // 4), np.frombuffer(sizes, dtype=np.int32))
+            yield ids.values, known, rows, np.frombuffer(codes, dtype=np.int32).astype(np.int64)
+
+
+def word_blocks(df: DataFrame, id_column: str, text: str, stop_words: Sequence[str]) -> DataFrame:
+    """The words of some documents a row, in order, as numbers into the row's different words. No rows are moved."""
+    left_out = list(stop_words)
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, known, rows, codes in _coded_texts(batches, pa.array(left_out, pa.string())):
+            used = np.bincount(codes, minlength=len(known)) > 0
+            known, codes = known.filter(pa.array(used)), (np.cumsum(used) - 1)[codes]
+            ends = _offsets(known)
+            letters = (known.buffers()[2] or pa.py_buffer(b""))[ends[0] : ends[-1]] if len(known) else pa.py_buffer(b"")
+            cells = np.bincount(rows, minlength=len(ids)), codes, ends - ends[0] if len(known) else np.zeros(1)
+            columns = [pa.array([c.astype(np.int32).tobytes()]) for c in cells] + [pa.array([letters.to_pybytes()])]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(_ends(np.array([len(ids)])), ids), *columns], names=["ids", "sizes", "codes", "ends", "letters"])
 
+    schema = T.StructType().add("ids", T.ArrayType(df.schema[id_column].dataType))
+    for name in ("sizes", "codes", "ends", "letters"):
+        schema = schema.add(name, T.BinaryType())
+    return df.select(id_column, _texts(text)).mapInArrow(block, schema)
 
-def _bag(texts: pa.Array, stop: pa.Array, pairs: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+
+def _bag(known: pa.Array, rows: np.ndarray, codes: np.ndarray, number: int, pairs: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Different terms per text: how many, the terms, and how often each occurs."""
-    lists = _split(texts)
-    coded = lists.flatten().dictionary_encode()
-    known, width = coded.dictionary, len(coded.dictionary)
-    kept = np.asarray(pc.greater_equal(pc.binary_length(known), 2)) & ~np.asarray(pc.is_in(known, value_set=stop))
-    codes = np.asarray(coded.indices, dtype=np.int64)
-    rows = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths(), dtype=np.int64))[kept[codes]]
-    codes = codes[kept[codes]]
+    width = len(known)
     keys, all_rows = codes, rows
     if pairs:
         near = rows[1:] == rows[:-1]
         keys = np.concatenate([codes, width + codes[:-1][near] * width + codes[1:][near]])
         all_rows = np.concatenate([rows, rows[1:][near]])
     span = max(1, width + width * width)
-    found, tfs = np.unique(all_rows * span + keys, return_counts=True)
+    found, tfs = _distinct(all_rows * span + keys)
     rows, keys = found // span, found % span
     single = keys < width
     first = known.take(pa.array(np.where(single, keys, (keys - width) // max(1, width))))
     second = known.take(pa.array(np.where(single, keys, (keys - width) % max(1, width))))
     names = pc.if_else(pa.array(single), first, pc.binary_join_element_wise(first, second, " "))
-    return np.bincount(rows, minlength=len(lists)), names, tfs
+    return np.bincount(rows, minlength=number), names, tfs
+
+
+@dataclass(frozen=True)
+class _Wanted:
+    """Some terms by number, and the words they are made of."""
+
+    terms: pa.Array
+    words: pa.Array
+    singles: np.ndarray
+    keys: np.ndarray
+    numbers: np.ndarray
+
+    @classmethod
+    def of(cls, terms_: Sequence[str]) -> _Wanted:
+        split = [t.split(" ") for t in terms_]
+        place = {w: i for i, w in enumerate(sorted({w for parts in split for w in parts}))}
+        singles = np.full(len(place) + 1, -1, dtype=np.int64)
+        couples = []
+        for number, parts in enumerate(split):
+            if len(parts) == 1:
+                singles[place[parts[0]]] = number
+            elif len(parts) == 2:
+                couples.append((place[parts[0]] * len(place) + place[parts[1]], number))
+        couples = np.array(sorted(couples), dtype=np.int64).reshape(-1, 2)
+        return cls(pa.array(list(terms_), pa.string()), pa.array(list(place), pa.string()), singles, couples[:, 0], couples[:, 1])
+
+    def bag(self, known: pa.Array, rows: np.ndarray, codes: np.ndarray, number: int, pairs: bool) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """``_bag`` of these terms alone."""
+        places = _places(known, self.words)[codes]
+        numbers = self.singles[places]
+        if pairs and len(self.keys):
+            near, keys = _neighbours(rows, places, len(self.words))
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            numbers = np.concatenate([numbers, np.where(self.keys[at] == keys, self.numbers[at], -1)])
+            rows = np.concatenate([rows, rows[1:][near]])
+        span = max(1, len(self.terms))
+        found, tfs = _distinct((rows * span + numbers)[numbers >= 0])
+        return np.bincount(found // span, minlength=number), self.terms.take(pa.array(found % span)), tfs
+
+
+def _places(known: pa.Array, wanted: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.index_in(known, value_set=wanted), -1), dtype=np.int64)
+
+
+def _neighbours(rows: np.ndarray, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where two neighbours of a text both have a place, and the number of each such pair."""
+    near = (rows[1:] == rows[:-1]) & (places[1:] >= 0) & (places[:-1] >= 0)
+    return near, places[:-1][near] * width + places[1:][near]
 
 
 def _ends(sizes: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
 
 
-def bags(df: DataFrame, id_column: str, text: str, stop_words: Sequence[str], pairs: bool = True) -> DataFrame:
+def _texts(text: str) -> Column:
+    return F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")
+
+
+def bags(
+    df: DataFrame, id_column: str, text: str, stop_words: Sequence[str], pairs: bool = True,
+    among: Sequence[str] | None = None, blocks: DataFrame | None = None,
+) -> DataFrame:
     """One row per document: its different ``terms`` and how often each occurs, ``tfs``. No rows are moved.
 
-    Terms are those of ``terms`` and ``words``; a task works on few texts at once, however many a batch has.
+    Terms are those of ``terms`` and ``words``, or those of them that are ``among`` a bounded list; a task works on few texts
+    at once, however many a batch has. ``blocks``: the ``word_blocks`` of ``df`` where they are written; texts are not read then.
     """
-    lowered = df.select(id_column, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    left_out = list(stop_words)
+    left_out, few, from_texts = list(stop_words), None if among is None else list(among), blocks is None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stop = pa.array(left_out, pa.string())
-        for batch in batches:
-            for low, number in _slices(np.diff(_offsets(batch.column(1))), MAX_TEXT):
-                sizes, names, tfs = _bag(batch.column(1).slice(low, number), stop, pairs)
-                ends = _ends(sizes)
-                rows = [batch.column(0).slice(low, number), pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(tfs.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays(rows, names=[id_column, "terms", "tfs"])
+        bag = _bag if few is None else _Wanted.of(few).bag
+        for ids, known, rows, codes in _coded_texts(batches, pa.array(left_out, pa.string())) if from_texts else _coded_blocks(batches):
+            sizes, names, tfs = bag(known, rows, codes, len(ids), pairs)
+            ends = _ends(sizes)
+            columns = [ids, pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(tfs.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_column, "terms", "tfs"])
 
     schema = T.StructType().add(df.schema[id_column]).add("terms", T.ArrayType(T.StringType())).add("tfs", T.ArrayType(T.IntegerType()))
-    return lowered.mapInArrow(count, schema)
+    return (df.select(id_column, _texts(text)) if from_texts else blocks).mapInArrow(count, schema)
+
+
+class _Sums:
+    """Totals and numbers of documents by term, added up in a task as far as they fit."""
+
+    def __init__(self, name: str):
+        self.name, self.held, self.size = name, [], 0
+
+    def added(self) -> pa.RecordBatch:
+        coded = pa.concat_arrays([keys for keys, *_ in self.held]).dictionary_encode()
+        which, width = np.asarray(coded.indices), len(coded.dictionary)
+        sums = [np.bincount(which, np.concatenate([x[i] for x in self.held]), width).astype(np.int64) for i in (1, 2)]
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(sums[0]), pa.array(sums[1])], names=[self.name, "total", "df"])
+
+    def add(self, keys: pa.Array, totals: np.ndarray, dfs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((keys, totals, dfs))
+        self.size += len(keys)
+        if self.size > MAX_COUNTS:
+            batch = self.added()
+            self.held, self.size = [], 0
+            if 2 * len(batch) > MAX_COUNTS:
+                yield batch
+            else:
+                self.held, self.size = [(batch.column(0), np.asarray(batch.column(1)), np.asarray(batch.column(2)))], len(batch)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            yield self.added()
+
+
+def likely_terms(blocks: DataFrame, min_df: int = 20, max_features: int = 2000, pairs: bool = True) -> list[str] | None:
+    """The terms of ``vocabulary``, from two passes over ``word_blocks``; None if too many words are as frequent as the last one wanted.
+
+    A pair is in no more documents, and no more often, than either of its words. So once there are ``max_features`` words in
+    enough documents, both words of a wanted pair are at least as frequent as the last of these; only such pairs are counted.
+    """
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums("term")
+        for _, known, rows, codes in _coded_blocks(batches):
+            span = max(1, len(known))
+            totals, dfs = np.bincount(codes, minlength=span), np.bincount(_distinct(rows * span + codes)[0] % span, minlength=span)
+            used = np.flatnonzero(totals)
+            yield from sums.add(known.take(pa.array(used)), totals[used], dfs[used])
+        yield from sums.rest()
+
+    sums = F.sum("total").alias("total"), F.sum("df").alias("df")
+    single = blocks.mapInArrow(count_words, "term string, total long, df long").groupBy("term").agg(*sums).where(F.col("df") >= min_df)
+    found = single.orderBy(F.col("total").desc(), "term").limit(2 * max_features + 1).collect()
+    least = found[max_features - 1]["total"] if len(found) >= max_features else 0
+    if len(found) > 2 * max_features and found[-1]["total"] >= least:
+        return None
+    ranked = [(-r["total"], r["term"]) for r in found if r["total"] >= least]
+    if pairs and ranked:
+        # in order, as a blank comes before all letters: pairs by number are pairs by name
+        names = sorted(term for _, term in ranked)
+        width = len(names)
+
+        def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted, sums = pa.array(names, pa.string()), _Sums("pair")
+            for _, known, rows, codes in _coded_blocks(batches):
+                near, keys = _neighbours(rows, _places(known, wanted)[codes], width)
+                cells, times = _distinct(rows[1:][near] * width**2 + keys)
+                yield from sums.add(pa.array(cells % width**2), times, np.ones(len(cells), dtype=np.int64))
+            yield from sums.rest()
+
+        double = blocks.mapInArrow(count_pairs, "pair long, total long, df long").groupBy("pair").agg(*sums)
+        double = double.where((F.col("df") >= min_df) & (F.col("total") >= least)).orderBy(F.col("total").desc(), "pair").limit(max_features)
+        ranked += [(-r["total"], f"{names[r['pair'] // width]} {names[r['pair'] % width]}") for r in double.collect()]
+    return [term for _, term in sorted(ranked)[:max_features]]
 
 
 def _term_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -223,15 +421,19 @@ def frequent_terms(
     """The same table as ``vocabulary``, from ``bags``.
 
     Terms in hash buckets that cannot hold a wanted one are left out, the others are summed up for many documents at a time
-    before they are moved.
+    before they are moved. ``buckets`` 0 leaves none out, for bags of few different terms.
     """
-    packed = np.packbits(_sketch(counted, min_df, max_features, buckets))
+    packed = np.packbits(_sketch(counted, min_df, max_features, buckets)) if buckets else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        likely = np.unpackbits(packed, count=buckets).astype(bool)
+        likely = np.unpackbits(packed, count=buckets).astype(bool) if buckets else None
+        sums = _Sums("term")
         for names, totals, dfs in _term_sums(batches):
-            mine = np.flatnonzero(likely[_buckets(names, buckets)]) if len(names) else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(mine)), pa.array(totals[mine]), pa.array(dfs[mine])], names=["term", "total", "df"])
+            if buckets and len(names):
+                mine = np.flatnonzero(likely[_buckets(names, buckets)])
+                names, totals, dfs = names.take(pa.array(mine)), totals[mine], dfs[mine]
+            yield from sums.add(names, totals, dfs)
+        yield from sums.rest()
 
     return (
         counted.select("terms", "tfs")
@@ -265,7 +467,7 @@ def weighted_rows(counted: DataFrame, id_column: str, names: Sequence[str], idfs
         hit = number >= 0
         row, number = np.repeat(np.arange(len(sizes)), sizes)[hit], number[hit]
         weight = np.asarray(batch.column("tfs").flatten(), dtype=np.float64)[hit] * factors[number]
-        order = np.lexsort((number, row))
+        order = np.argsort(row * len(known) + number)
         row, number, weight = row[order], number[order], weight[order]
         weight /= np.sqrt(np.bincount(row, weight**2, minlength=len(sizes)))[row]
         per_row = np.bincount(row, minlength=len(sizes))
@@ -280,7 +482,7 @@ def weighted_rows(counted: DataFrame, id_column: str, names: Sequence[str], idfs
 
 
 def document_count(df: DataFrame, text: str) -> Column:
-    return df.agg(F.count_if(F.lower(F.col(text)).rlike("[a-z]"))).scalar()
+    return df.agg(F.count_if(F.col(text).rlike(f"[A-Za-z{''.join(_TO_LETTERS)}]"))).scalar()
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, id_column: str) -> DataFrame:

@@ -49,12 +49,22 @@ def topic_severity(scored: DataFrame) -> DataFrame:
     )
 
 
+def vocabulary_bags(
+    documents: DataFrame, id_column: str, text: str, stop_words: Sequence[str], min_df: int = 20, max_features: int = 2000
+) -> tuple[DataFrame, DataFrame]:
+    """The bags of the documents and the vocabulary; bags list no other terms, unless too many words are equally frequent."""
+    blocks = checkpointed(topics.word_blocks(documents, id_column, text, stop_words))
+    likely = topics.likely_terms(blocks, min_df, max_features)
+    counted = checkpointed(topics.bags(documents, id_column, text, stop_words, among=likely, blocks=blocks))
+    count = topics.document_count(documents, text)
+    return counted, topics.frequent_terms(counted, count, min_df, max_features, **({} if likely is None else {"buckets": 0}))
+
+
 def topic_rows(
     documents: DataFrame, id_column: str, text: str, stop_words: Sequence[str], min_df: int = 20, max_features: int = 2000
 ) -> tuple[list[str], DataFrame]:
-    """The kept terms in order, at most ``max_features``, and the weighted rows of the documents; texts are read once."""
-    counted = checkpointed(topics.bags(documents, id_column, text, stop_words))
-    vocab = topics.frequent_terms(counted, topics.document_count(documents, text), min_df, max_features)
+    """The kept terms in order, at most ``max_features``, and the weighted rows of the documents."""
+    counted, vocab = vocabulary_bags(documents, id_column, text, stop_words, min_df, max_features)
     found = vocab.select("term", "idf").orderBy("term").collect()
     names = [r["term"] for r in found]
     return names, checkpointed(topics.weighted_rows(counted, id_column, names, [r["idf"] for r in found]))
