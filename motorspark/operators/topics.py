@@ -516,7 +516,7 @@ class Factors:
     errors: list[float] = field(default_factory=list)
 
 
-MAX_ENTRIES = 500_000
+MAX_ENTRIES = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -526,32 +526,43 @@ class Block:
     starts: np.ndarray
     ids: np.ndarray
     weights: np.ndarray
+    held: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def dense(self, width: int) -> np.ndarray | None:
+        """The rows as a matrix of at most 32 cells an entry; None if it would need more."""
+        if 32 * len(self.ids) < len(self.starts) * width:
+            return None
+        if "dense" not in self.held:
+            cells = np.repeat(np.arange(len(self.starts)) * width, np.diff(np.append(self.starts, len(self.ids)))) + self.ids
+            self.held["dense"] = np.bincount(cells, self.weights, len(self.starts) * width).reshape(-1, width)
+        return self.held["dense"]
 
     def times(self, right: np.ndarray) -> np.ndarray:
         """Rows times a terms-by-k matrix."""
+        dense = self.dense(len(right))
+        if dense is not None:
+            return dense @ right
         return np.add.reduceat(self.weights[:, None] * right[self.ids], self.starts, axis=0)
 
     def transposed_times(self, own: np.ndarray, width: int) -> np.ndarray:
         """Transposed rows times a rows-by-k matrix."""
+        dense = self.dense(width)
+        if dense is not None:
+            return dense.T @ own
         spread = np.repeat(own, np.diff(np.append(self.starts, len(self.ids))), axis=0) * self.weights[:, None]
         return np.stack([np.bincount(self.ids, spread[:, j], minlength=width) for j in range(own.shape[1])], axis=1)
 
 
-def blocks(batch: pd.DataFrame) -> Iterator[tuple[slice, Block]]:
+def blocks(batch: pa.RecordBatch | pd.DataFrame) -> Iterator[tuple[slice, Block]]:
     """The batch in blocks of whole rows with a bounded number of entries; no row is empty."""
-    sizes = batch["term_ids"].str.len().to_numpy()
-    ends = np.cumsum(sizes)
-    low = 0
-    while low < len(batch):
+    ids, weights = (c if isinstance(c, pa.Array) else pa.array(c) for c in (batch["term_ids"], batch["weights"]))
+    ends = np.cumsum(np.asarray(ids.value_lengths(), dtype=np.int64))
+    ids, weights = np.asarray(ids.flatten()), np.asarray(weights.flatten())
+    for low, number in _slices(np.diff(ends, prepend=0), MAX_ENTRIES):
         taken = ends[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(ends, taken + MAX_ENTRIES, side="right")))
-        rows = slice(low, high)
-        yield rows, Block(
-            np.append(0, np.cumsum(sizes[rows])[:-1]),
-            np.concatenate(batch["term_ids"].to_numpy()[rows]),
-            np.concatenate(batch["weights"].to_numpy()[rows]),
-        )
-        low = high
+        own = slice(taken, ends[low + number - 1])
+        starts = np.append(taken, ends[low : low + number - 1]) - taken
+        yield slice(low, low + number), Block(starts, ids[own], weights[own])
 
 
 def topic_weights(cross: np.ndarray, square: np.ndarray, sweeps: int = 60) -> np.ndarray:
@@ -565,10 +576,10 @@ def topic_weights(cross: np.ndarray, square: np.ndarray, sweeps: int = 60) -> np
     return weights
 
 
-def exact_weights(cross: np.ndarray, square: np.ndarray) -> np.ndarray:
+def exact_weights(cross: np.ndarray, square: np.ndarray, solved: dict[int, np.ndarray] | None = None) -> np.ndarray:
     """The non-negative weights of each row that fit best, by exchanging active sets of all rows at once.
 
-    Rows with the same set of positive weights are solved together. A row exchanges every weight that breaks a condition, and,
+    ``solved`` keeps inverses between calls with the same ``square``. Rows with the same set of positive weights are solved together. A row exchanges every weight that breaks a condition, and,
     when that does not help three times, only the last of them, which always ends.
     """
     n, k = cross.shape
@@ -591,12 +602,22 @@ def exact_weights(cross: np.ndarray, square: np.ndarray) -> np.ndarray:
         positive[rows] ^= flip
         sets, which = np.unique(positive[rows] @ (1 << np.arange(k)), return_inverse=True)
         on = (sets[:, None] >> np.arange(k) & 1).astype(bool)
-        inverses = np.linalg.pinv(np.where(on[:, :, None] & on[:, None, :], square, 0), hermitian=True)
+        inverses = _inverses(sets, on, square, solved)
         weights[rows] = np.where(on[which], (inverses[which] @ cross[rows][:, :, None])[:, :, 0], 0)
         gradient[rows] = np.where(on[which], 0, weights[rows] @ square - cross[rows])
     return np.maximum(weights, 0)
 
 
+def _inverses(sets: np.ndarray, on: np.ndarray, square: np.ndarray, solved: dict[int, np.ndarray] | None) -> np.ndarray:
+    """The inverse of ``square`` within each set."""
+    solved = {} if solved is None or len(solved) + len(sets) > 1 << 14 else solved
+    new = np.array([s not in solved for s in sets.tolist()], dtype=bool)
+    if new.any():
+        fresh = np.linalg.pinv(np.where(on[new][:, :, None] & on[new][:, None, :], square, 0), hermitian=True)
+        solved.update(zip(sets[new].tolist(), fresh))
+    return np.stack([solved[s] for s in sets.tolist()])
+
+
 def gradient_left(topics: np.ndarray, ww: np.ndarray, wx: np.ndarray) -> float:
     """Sum of the projected gradient of the topics; that of the weights is zero, as they are the best for these topics."""
     gradient = ww @ topics - wx
@@ -606,32 +627,47 @@ def gradient_left(topics: np.ndarray, ww: np.ndarray, wx: np.ndarray) -> float:
 _CELLS = "kind string, a int, b int, value double"
 
 
-def _sum_pass(rows: DataFrame, work: Callable[[Block, dict], None]) -> dict[str, list[tuple[int, int, float]]]:
-    """Runs ``work`` over all rows; each task adds into matrices, Spark adds the tasks up.
+def _packed(rows: DataFrame) -> DataFrame:
+    """One row per block, as bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, block in blocks(batch):
+                parts = block.starts.astype(np.int32), block.ids.astype(np.int32), block.weights
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in parts], names=["starts", "ids", "weights"])
+
+    return rows.select("term_ids", "weights").mapInArrow(pack, "starts binary, ids binary, weights binary")
+
 
-    Every matrix has topics-by-terms cells at most, so the driver receives a bounded result.
+def _sum_pass(packed: DataFrame, work: Callable[[Block, dict], None]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs ``work`` over all blocks; each task adds into matrices, Spark adds the tasks up.
+
+    Every matrix has topics-by-terms cells at most, so the driver receives a bounded result: rows, columns and values by name.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for _, block in blocks(batch):
-                work(block, sums)
+            for starts, ids, weights in zip(*batch.columns):
+                work(Block(*(np.frombuffer(x.as_buffer(), t) for x, t in ((starts, np.int32), (ids, np.int32), (weights, np.float64)))), sums)
         for kind, matrix in sums.items():
             a, b = np.nonzero(matrix)
-            yield pd.DataFrame({"kind": kind, "a": a.astype("int32"), "b": b.astype("int32"), "value": matrix[a, b]})
-
-    cells = rows.select("term_ids", "weights").mapInPandas(run, _CELLS)
-    out: dict[str, list[tuple[int, int, float]]] = {}
-    for r in cells.groupBy("kind", "a", "b").agg(F.sum("value").alias("value")).collect():
-        out.setdefault(r["kind"], []).append((r["a"], r["b"], r["value"]))
+            columns = [pa.repeat(kind, len(a)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(matrix[a, b])]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "value"])
+
+    cells = packed.mapInArrow(run, _CELLS)
+    table = cells.groupBy("kind", "a", "b").agg(F.sum("value").alias("value")).toArrow()
+    out = {}
+    for kind in table.column("kind").unique().to_pylist():
+        mine = table.filter(pc.equal(table.column("kind"), kind))
+        out[kind] = tuple(mine.column(c).to_numpy() for c in ("a", "b", "value"))
     return out
 
 
-def _matrix(cells: list[tuple[int, int, float]] | None, shape: tuple[int, int]) -> np.ndarray:
+def _matrix(cells: tuple[np.ndarray, np.ndarray, np.ndarray] | None, shape: tuple[int, int]) -> np.ndarray:
     out = np.zeros(shape)
-    for a, b, value in cells or []:
-        out[a, b] = value
+    if cells is not None:
+        out[cells[0], cells[1]] = cells[2]
     return out
 
 
@@ -681,20 +717,21 @@ def factorise(
 ) -> Factors:
     """Non-negative topics of rows with ``term_ids`` and ``weights``.
 
-    Ends after ``max_iter`` rounds, or once the sum of the projected gradient is ``tol`` times that of the first round. The rows
-    are kept by Spark between rounds.
+    Ends after ``max_iter`` rounds, or once the sum of the projected gradient is ``tol`` times that of the first round. Blocks
+    of rows are kept by Spark between rounds.
     """
     width = len(terms_)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _packed(rows).persist(StorageLevel.MEMORY_AND_DISK)
     topics = _start(rows, width, k, seed, passes)
     factors = Factors(terms_, topics)
     first = None
     for _ in range(max_iter):
         square = topics @ topics.T
+        solved: dict[int, np.ndarray] = {}
 
-        def work(block: Block, sums: dict, topics: np.ndarray = topics, square: np.ndarray = square) -> None:
+        def work(block: Block, sums: dict, topics: np.ndarray = topics, square: np.ndarray = square, solved: dict = solved) -> None:
             cross = block.times(topics.T)
-            own = exact_weights(cross, square)
+            own = exact_weights(cross, square, solved)
             ww = sums.setdefault("ww", np.zeros(square.shape))
             ww += own.T @ own
             wx = sums.setdefault("wx", np.zeros((width, topics.shape[0])))
@@ -736,15 +773,18 @@ def assign_topics(rows: DataFrame, factors: Factors, id_column: str) -> DataFram
     """(document, topic, topic_weight); a document without any weight gets topic -1."""
     topics = factors.topics
     square = topics @ topics.T
-    id_type = rows.schema[id_column].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        solved: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, block in blocks(batch):
-                own = exact_weights(block.times(topics.T), square)
-                yield pd.DataFrame({id_column: batch[id_column].iloc[part], "topic_weights": list(own)})
+                own = exact_weights(block.times(topics.T), square, solved)
+                ends = _ends(np.full(len(own), own.shape[1]))
+                columns = [batch.column(0).slice(part.start, len(own)), pa.ListArray.from_arrays(ends, pa.array(own.ravel()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_column, "topic_weights"])
 
-    weighted = rows.select(id_column, "term_ids", "weights").mapInPandas(run, f"{id_column} {id_type}, topic_weights array<double>")
+    schema = T.StructType().add(rows.schema[id_column]).add("topic_weights", T.ArrayType(T.DoubleType()))
+    weighted = rows.select(id_column, "term_ids", "weights").mapInArrow(run, schema)
     largest = F.array_max("topic_weights")
     return weighted.select(
         id_column,

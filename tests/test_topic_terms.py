@@ -1,7 +1,10 @@
-"""The vocabulary found before the bags are made."""
+"""The vocabulary found before the bags are made, and the blocks that the passes of a fit run over."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +73,46 @@ def test_vocabulary_without_a_sketch_is_the_same(docs):
     bags = topics.bags(docs, "id", "t", STOP)
     wanted = topics.frequent_terms(bags, F.lit(30), 3, 7).collect()
     assert topics.frequent_terms(bags, F.lit(30), 3, 7, buckets=0).collect() == wanted
+
+
+def test_passes_of_a_fit_run_over_packed_blocks(spark, monkeypatch):
+    random = np.random.default_rng(5)
+    full = random.random((40, 30)) * (random.random((40, 30)) < 0.3) + np.eye(40, 30) + np.eye(40, 30, -30)
+    rows = [(i, [int(j) for j in np.flatnonzero(r)], [float(x) for x in r[r > 0]]) for i, r in enumerate(full)]
+    df = spark.createDataFrame(rows, "id long, term_ids array<long>, weights array<double>").repartition(2)
+    monkeypatch.setattr(topics, "MAX_ENTRIES", 50)
+    packed = topics._packed(df)
+    assert [t for _, t in packed.dtypes] == ["binary"] * 3 and 5 < packed.count() < 40
+    right = random.normal(size=(30, 4))
+
+    def work(block, sums):
+        part = sums.setdefault("y", np.zeros((30, 4)))
+        part += block.transposed_times(block.times(right), 30)
+
+    assert np.allclose(topics._matrix(topics._sum_pass(packed, work)["y"], (30, 4)), full.T @ (full @ right))
+
+
+def test_dense_and_sparse_blocks_agree():
+    random = np.random.default_rng(6)
+    lists = [random.permutation(2000)[:n].astype(np.int64) for n in (1, 5, 700, 2)]
+    for own, dense in ((lists, True), ([x[:5] for x in lists], False)):
+        batch = pd.DataFrame({"term_ids": own, "weights": [random.random(len(x)) for x in own]})
+        arrow = pa.RecordBatch.from_arrays([pa.array(batch["term_ids"]), pa.array(batch["weights"])], names=["term_ids", "weights"])
+        full = np.zeros((4, 2000))
+        for i, (x, w) in enumerate(zip(batch["term_ids"], batch["weights"])):
+            full[i, x] = w
+        right = random.normal(size=(2000, 3))
+        for source in (batch, arrow):
+            ((rows, block),) = topics.blocks(source)
+            assert (block.dense(2000) is not None) is dense and rows == slice(0, 4)
+            assert np.allclose(block.times(right), full @ right)
+            assert np.allclose(block.transposed_times(right[:4], 2000), full.T @ right[:4])
+
+
+def test_kept_inverses_give_the_same_weights():
+    random = np.random.default_rng(7)
+    matrix = np.abs(random.normal(size=(5, 20)))
+    cross, solved = random.normal(size=(50, 20)) @ matrix.T, {}
+    wanted = topics.exact_weights(cross, matrix @ matrix.T)
+    for _ in range(2):
+        assert (topics.exact_weights(cross, matrix @ matrix.T, solved) == wanted).all() and solved
