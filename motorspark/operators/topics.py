@@ -167,12 +167,22 @@ def _coded_texts(batches: Iterator[pa.RecordBatch], stop: pa.Array) -> Iterator[
 
 
 def _coded_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Coded]:
+    def read(ids: pa.ListScalar, *cells: pa.BinaryScalar) -> _Coded:
+        # copies: else a block's few words keep its whole batch while the next one is read
+        sizes, codes, ends, letters = (pa.py_buffer(c.as_py()) for c in cells)
+        sizes = np.frombuffer(sizes, dtype=np.int32)
+        known = pa.Array.from_buffers(pa.string(), ends.size // 4 - 1, [None, ends, letters])
+        codes = np.frombuffer(codes, dtype=np.uint16 if len(known) <= 1 << 16 else np.int32)
+        return pa.concat_arrays([ids.values]), known, np.repeat(np.arange(len(sizes)), sizes), codes.astype(np.int64)
+
     for batch in batches:
-        for ids, *cells in zip(*batch.columns):
-            sizes, codes, ends, letters = (c.as_buffer() for c in cells)
-            known = pa.Array.from_buffers(pa.string(), ends.size // 4 - 1, [None, ends, letters])
-            rows = np.repeat(np.arange(sizes.size // 4), np.frombuffer(sizes, dtype=np.int32))
-            yield ids.values, known, rows, np.frombuffer(codes, dtype=np.int32).astype(np.int64)
+        columns, number = batch.columns, batch.num_rows
+        del batch
+        for at in range(number):
+            coded = read(*(c[at] for c in columns))
+            if at + 1 == number:
+                del columns
+            yield coded
 
 
 def word_blocks(df: DataFrame, id_column: str, text: str, stop_words: Sequence[str]) -> DataFrame:
@@ -185,8 +195,9 @@ def word_blocks(df: DataFrame, id_column: str, text: str, stop_words: Sequence[s
             known, codes = known.filter(pa.array(used)), (np.cumsum(used) - 1)[codes]
             ends = _offsets(known)
             letters = (known.buffers()[2] or pa.py_buffer(b""))[ends[0] : ends[-1]] if len(known) else pa.py_buffer(b"")
-            cells = np.bincount(rows, minlength=len(ids)), codes, ends - ends[0] if len(known) else np.zeros(1)
-            columns = [pa.array([c.astype(np.int32).tobytes()]) for c in cells] + [pa.array([letters.to_pybytes()])]
+            sizes, ends = np.bincount(rows, minlength=len(ids)).astype(np.int32), (ends - ends[0] if len(known) else np.zeros(1)).astype(np.int32)
+            cells = sizes, codes.astype(np.uint16 if len(known) <= 1 << 16 else np.int32), ends
+            columns = [pa.array([c.tobytes()]) for c in cells] + [pa.array([letters.to_pybytes()])]
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(_ends(np.array([len(ids)])), ids), *columns], names=["ids", "sizes", "codes", "ends", "letters"])
 
     schema = T.StructType().add("ids", T.ArrayType(df.schema[id_column].dataType))

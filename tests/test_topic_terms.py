@@ -116,3 +116,21 @@ def test_kept_inverses_give_the_same_weights():
     wanted = topics.exact_weights(cross, matrix @ matrix.T)
     for _ in range(2):
         assert (topics.exact_weights(cross, matrix @ matrix.T, solved) == wanted).all() and solved
+
+
+def test_words_of_a_block_do_not_keep_the_batch_it_came_in():
+    def cells():
+        ends = np.array([0, 2, 1 << 23], dtype=np.int32)
+        kinds = np.array([2], np.int32), np.array([1, 0], np.uint16), ends
+        return [pa.array([[7]], pa.list_(pa.int64())), *(pa.array([k.tobytes()]) for k in kinds), pa.array([b"a" * (1 << 23)])]
+
+    before = pa.total_allocated_bytes()
+    found = list(topics._coded_blocks(iter([pa.RecordBatch.from_arrays(cells(), names=["ids", "sizes", "codes", "ends", "letters"])])))
+    ((ids, known, rows, codes),) = found
+    assert ids.to_pylist() == [7] and known[0].as_py() == "aa" and rows.tolist() == [0, 0] and codes.tolist() == [1, 0]
+    assert pa.total_allocated_bytes() - before < 1 << 20
+
+
+def test_numbers_of_few_words_take_two_bytes(docs):
+    for r in topics.word_blocks(docs, "id", "t", STOP).collect():
+        assert len(r["codes"]) == 2 * int(np.frombuffer(r["sizes"], np.int32).sum())
