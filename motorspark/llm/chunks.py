@@ -4,7 +4,8 @@ Both byte-level and word vocabularies cut a text before they merge, and never ac
 characters that are no white space. So a text is split there, chunks met before are looked up, and only new ones go
 through the library. A chunk of letters or digits closed by ASCII punctuation is cut once more, since these vocabularies
 part letters from punctuation. Texts with other white space than single spaces and line ends, or with
-an added token that counts as one, go through whole.
+an added token that counts as one, go through whole. A vocabulary that drops white space has no spaces to keep, so all
+words of many texts are found at once in their bytes (``word_table``).
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from itertools import repeat
 import numpy as np
 
 from motorspark.llm.common import held
+from motorspark.llm.word_table import PUNCTUATION, SHORT, WordTable, word_bounds, word_keys
 
 #: White space other than space and line end, as Python or the library's patterns see it.
 ODD_SPACE = re.compile(
     r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
 )
 MARK = re.compile(r"[\u0300-\u036f]")
-PUNCTUATION = ".,;:!?|#$%&*()"
+#: Chunks kept in memory: as Python's strings where the vocabulary encodes white space, else as rows of arrays.
+KEPT = {True: 700_000, False: 1_500_000}
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,8 +41,8 @@ def byte_letters() -> dict[int, str]:
 class ChunkEncoder:
     """``encode`` gives what the library's ``encode_batch(texts, add_special_tokens=False)`` gives, as one flat array."""
 
-    def __init__(self, path: str, spaces: bool, limit: int = 700_000, specials: bool = False):
-        """``spaces``: the vocabulary encodes white space; else it is dropped. ``limit`` bounds the chunks kept in memory.
+    def __init__(self, path: str, spaces: bool, limit: int | None = None, specials: bool = False):
+        """``spaces``: the vocabulary encodes white space; else it is dropped. ``limit`` (default: ``KEPT``) bounds the chunks kept in memory.
 
         ``specials``: strings of added tokens in a text become their one id, as the library does by default; else they are ordinary text.
         """
@@ -49,15 +52,17 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = not specials
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()] if specials else []
+        self.added_bytes = [a.encode() for a in self.added]
         self.vocabulary = self.library.get_vocab_size()
         self.model, self.letters = self.library.model, byte_letters()
-        self.spaces, self.limit = spaces, limit
+        self.spaces, self.limit = spaces, limit or KEPT[spaces]
         self.parts: dict[str, bytes] = {"": b""}
         self.forget()
 
     def forget(self) -> None:
         """Drops the chunks, and their parts only once these are as many."""
-        self.places: dict[str, int] = {}
+        self.places: dict[str | bytes, int] = {}
+        self.table, self.numbered, self.chunks = WordTable(), np.zeros(1 << 14, np.int64), 0
         if len(self.parts) > self.limit:
             self.parts = {"": b""}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -67,19 +72,24 @@ class ChunkEncoder:
         """The chunks of a text, or None if it has to go through whole. A chunk without a mark follows a space."""
         if ODD_SPACE.search(text) or any(a in text for a in self.added):
             return None
-        if not self.spaces:
-            # the vocabulary is of lower case, so spellings of one word share a chunk; no added token may come of it,
-            # and a mark after a letter may only have one sign together with it in one of the cases
-            low = text if not text.isascii() and MARK.search(text) else text.encode().lower().decode()
-            return (text if any(a in low for a in self.added) else low).split()
         if not text:
             return []
         if text[0] in " \n" or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
             return None
         return ("\r" + text.replace("\n", " \n")).split(" ")
 
+    def body(self, text: str) -> bytes | None:
+        """The bytes to take the words of a text from, or None if it has to go through whole."""
+        if ODD_SPACE.search(text) or any(a in text for a in self.added):
+            return None
+        # the vocabulary is of lower case, so spellings of one word share a chunk; no added token may come of it,
+        # and a mark after a letter may only have one sign together with it in one of the cases
+        raw = text.encode()
+        low = raw if not text.isascii() and MARK.search(text) else raw.lower()
+        return raw if any(a in low for a in self.added_bytes) else low
+
     def raw(self, chunk: str) -> str:
-        if not self.spaces or chunk[0] == "\n":
+        if chunk[0] == "\n":
             return chunk
         return chunk[1:] if chunk[0] == "\r" else " " + chunk
 
@@ -91,9 +101,9 @@ class ChunkEncoder:
         word = part[1:] if part[0] == " " else part
         return word.isalpha() and (word.isascii() or max(word) < "\u0100")
 
-    def learn(self, chunks: list[str]) -> None:
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
         bases, tails = [], []
-        for raw in chunks if not self.spaces else map(self.raw, chunks):
+        for raw in chunks:
             base = raw.rstrip(PUNCTUATION)
             # lower case may end in a mark (as of U+0130), which goes with the punctuation
             if len(base) < len(raw) and (base if base.isascii() else base.lower()).lstrip(" \n").isalnum():
@@ -115,19 +125,50 @@ class ChunkEncoder:
             parts[part] = array("I", [t.id for t in tokenize(word)]).tobytes()
         for part, ids in zip(others, self.library_ids(others), strict=True):
             parts[part] = array("I", ids).tobytes()
-        found = [parts[b] + parts[t] for b, t in zip(bases, tails, strict=True)]
+        return [parts[b] + parts[t] for b, t in zip(bases, tails, strict=True)]
+
+    def keep(self, found: list[bytes]) -> range:
+        """Takes the ids of new chunks into memory, and gives their places there."""
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
-        first, total = len(self.places), self.used + len(flat)
+        first, total = self.chunks, self.used + len(flat)
+        self.chunks += len(found)
         while len(self.pool) < total:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while len(self.starts) < first + len(found):
+        while len(self.starts) < self.chunks:
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         self.pool[self.used : total] = flat
-        self.sizes[first : first + len(found)] = sizes
-        self.starts[first : first + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.places.update(zip(chunks, range(first, first + len(found)), strict=True))
+        self.sizes[first : self.chunks] = sizes
+        self.starts[first : self.chunks] = self.used + np.cumsum(sizes) - sizes
         self.used = total
+        return range(first, self.chunks)
+
+    def by_string(self, chunks: list[str] | list[bytes]) -> np.ndarray:
+        """The places of chunks, by a dictionary; words come as bytes."""
+        places = np.fromiter(map(self.places.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if len(missed := np.flatnonzero(places < 0)):
+            every = [chunks[i] for i in missed.tolist()]
+            new = list(dict.fromkeys(every))
+            self.places.update(zip(new, self.keep(self.chunk_ids([self.raw(c) if self.spaces else c.decode() for c in new])), strict=True))
+            places[missed] = np.fromiter(map(self.places.__getitem__, every), np.int64, len(every))
+        return places
+
+    def by_key(self, buffer: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The places of words of up to ``SHORT`` bytes."""
+        low, high = word_keys(buffer, starts, sizes)
+        numbers = self.table.find(low, high)
+        if len(missed := np.flatnonzero(numbers < 0)):
+            every = [buffer[s : s + n] for s, n in zip(starts[missed].tolist(), sizes[missed].tolist(), strict=True)]
+            new = dict(zip(every, missed.tolist(), strict=True))
+            at = np.fromiter(new.values(), np.int64, len(new))
+            self.table.add(low[at], high[at])
+            places = self.keep(self.chunk_ids([w.decode() for w in new]))
+            while len(self.numbered) < self.table.n:
+                self.numbered = np.concatenate([self.numbered, np.zeros_like(self.numbered)])
+            self.numbered[self.table.n - len(new) : self.table.n] = places
+            self.parts = {"": b""}  # the table has them
+            numbers[missed] = self.table.find(low[missed], high[missed])
+        return self.numbered[numbers]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and the number of ids of each.
@@ -142,21 +183,32 @@ class ChunkEncoder:
             if collecting:
                 gc.enable()
 
+    def chunk_places(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The texts that go through whole, the places of the chunks of all others, and the number of chunks before each text and in all."""
+        split = [self.split(t) for t in texts]
+        chunk_ends = np.concatenate([[0], np.cumsum([len(s or ()) for s in split])]).astype(np.int64)
+        return [i for i, s in enumerate(split) if s is None], self.by_string([c for s in split if s for c in s]), chunk_ends
+
+    def word_places(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """As ``chunk_places``, for a vocabulary that drops white space."""
+        bodies = [self.body(t) for t in texts]
+        buffer = b"\n".join([b"", *(b or b"" for b in bodies), bytes(16)])
+        starts, ends = word_bounds(np.frombuffer(buffer, np.uint8)[:-16])
+        sizes = ends - starts
+        places = np.empty(len(starts), np.int64)
+        short, long = np.flatnonzero(sizes <= SHORT), np.flatnonzero(sizes > SHORT)
+        places[short] = self.by_key(buffer, starts[short], sizes[short])
+        places[long] = self.by_string([buffer[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+        text_ends = np.cumsum([len(b or b"") + 1 for b in bodies])
+        return [i for i, b in enumerate(bodies) if b is None], places, np.concatenate([[0], np.searchsorted(starts, text_ends)])
+
     def looked_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.places) > self.limit:
+        if self.chunks > self.limit:
             self.forget()
-        split = [self.split(t) for t in texts]
-        whole = [i for i, s in enumerate(split) if s is None]
-        chunks = [c for s in split if s for c in s]
-        places = np.fromiter(map(self.places.get, chunks, repeat(-1)), np.int64, len(chunks))
-        if len(missed := np.flatnonzero(places < 0)):
-            new = [chunks[i] for i in missed.tolist()]
-            self.learn(list(dict.fromkeys(new)))
-            places[missed] = np.fromiter(map(self.places.__getitem__, new), np.int64, len(new))
+        whole, places, chunk_ends = self.chunk_places(texts) if self.spaces else self.word_places(texts)
         sizes = self.sizes[places]
         flat = self.pool[np.repeat(self.starts[places] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        chunk_ends = np.concatenate([[0], np.cumsum([len(s or ()) for s in split])]).astype(np.int64)
         counts = np.diff(ends[chunk_ends])
         if whole:
             found = dict(zip(whole, self.library_ids([texts[i] for i in whole]), strict=True))

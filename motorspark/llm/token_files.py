@@ -51,14 +51,25 @@ def wide(ids: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ids, np.uint16 if len(ids) == 2 * n else np.uint32).astype(np.uint32)
 
 
+def flat_ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The ids of rows (n, ids) one after the other, as many rows at once as hold ids of one width."""
+    column = batch.column("ids").cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    narrow = np.diff(bounds) == 2 * np.asarray(batch.column("n"), np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(narrow)) + 1).tolist(), len(column)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if bounds[a] < bounds[b]:
+            yield np.frombuffer(column.buffers()[2], np.uint8)[bounds[a] : bounds[b]].view(np.uint16 if narrow[a] else np.uint32)
+
+
 def id_counts(tokens: DataFrame) -> list[tuple[int, int]]:
     """(token id, places) over all documents: one row for each id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids"), strict=True):
-                own = np.bincount(np.frombuffer(ids.as_buffer(), np.uint16 if len(ids.as_buffer()) == 2 * n else np.uint32))
+            for flat in flat_ids(batch):
+                own = np.bincount(flat)
                 if len(own) > len(total):
                     total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
                 total[: len(own)] += own
