@@ -1,11 +1,10 @@
 """The tokenizers library with a memory: each different chunk of text is encoded once.
 
-Both byte-level and word vocabularies cut a text before they merge, and never across a single space between two
-characters that are no white space. So a text is split there, chunks met before are looked up, and only new ones go
-through the library. A chunk of letters or digits closed by ASCII punctuation is cut once more, since these vocabularies
-part letters from punctuation. Texts with other white space than single spaces and line ends, or with
-an added token that counts as one, go through whole. A vocabulary that drops white space has no spaces to keep, so all
-words of many texts are found at once in their bytes (``word_table``).
+Both byte-level and word vocabularies cut a text before they merge, at known places of white space and where letters or
+digits meet punctuation. So all chunks of many texts are found at once in their bytes (``word_table``), chunks met before
+are looked up, and only new ones go through the library. A vocabulary that drops white space has words as chunks; else a
+chunk may begin with the space before it, and white space that belongs to no word is a chunk of its own. Texts with other
+white space than spaces and line ends, or with an added token that counts as one, go through whole.
 """
 
 from __future__ import annotations
@@ -20,15 +19,15 @@ from itertools import repeat
 import numpy as np
 
 from motorspark.llm.common import held
-from motorspark.llm.word_table import PUNCTUATION, SHORT, WordTable, word_bounds, word_keys
+from motorspark.llm.word_table import GAP, PUNCTUATION, SHORT, WordTable, piece_bounds, word_bounds, word_keys
 
 #: White space other than space and line end, as Python or the library's patterns see it.
 ODD_SPACE = re.compile(
     r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
 )
 MARK = re.compile(r"[\u0300-\u036f]")
-#: Chunks kept in memory: as Python's strings where the vocabulary encodes white space, else as rows of arrays.
-KEPT = {True: 700_000, False: 1_500_000}
+#: Chunks kept in memory as rows of arrays; those of more than ``SHORT`` bytes, which a dictionary holds, count twice.
+KEPT = 1_500_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -55,44 +54,31 @@ class ChunkEncoder:
         self.added_bytes = [a.encode() for a in self.added]
         self.vocabulary = self.library.get_vocab_size()
         self.model, self.letters = self.library.model, byte_letters()
-        self.spaces, self.limit = spaces, limit or KEPT[spaces]
+        self.spaces, self.limit = spaces, limit or KEPT
         self.parts: dict[str, bytes] = {"": b""}
         self.forget()
 
     def forget(self) -> None:
         """Drops the chunks, and their parts only once these are as many."""
-        self.places: dict[str | bytes, int] = {}
+        self.places: dict[bytes, int] = {}
         self.table, self.numbered, self.chunks = WordTable(), np.zeros(1 << 14, np.int64), 0
         if len(self.parts) > self.limit:
             self.parts = {"": b""}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def split(self, text: str) -> list[str] | None:
-        """The chunks of a text, or None if it has to go through whole. A chunk without a mark follows a space."""
-        if ODD_SPACE.search(text) or any(a in text for a in self.added):
-            return None
-        if not text:
-            return []
-        if text[0] in " \n" or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
-            return None
-        return ("\r" + text.replace("\n", " \n")).split(" ")
-
     def body(self, text: str) -> bytes | None:
-        """The bytes to take the words of a text from, or None if it has to go through whole."""
+        """The bytes to take the chunks of a text from, or None if it has to go through whole."""
         if ODD_SPACE.search(text) or any(a in text for a in self.added):
             return None
+        if self.spaces:
+            return text.encode()
         # the vocabulary is of lower case, so spellings of one word share a chunk; no added token may come of it,
         # and a mark after a letter may only have one sign together with it in one of the cases
         raw = text.encode()
         low = raw if not text.isascii() and MARK.search(text) else raw.lower()
         return raw if any(a in low for a in self.added_bytes) else low
 
-    def raw(self, chunk: str) -> str:
-        if chunk[0] == "\n":
-            return chunk
-        return chunk[1:] if chunk[0] == "\r" else " " + chunk
-
     def library_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -106,7 +92,7 @@ class ChunkEncoder:
         for raw in chunks:
             base = raw.rstrip(PUNCTUATION)
             # lower case may end in a mark (as of U+0130), which goes with the punctuation
-            if len(base) < len(raw) and (base if base.isascii() else base.lower()).lstrip(" \n").isalnum():
+            if len(base) < len(raw) and (base if base.isascii() else base.lower()).removeprefix(" ").isalnum():
                 bases.append(base)
                 tails.append(raw[len(base) :])
             else:
@@ -120,8 +106,7 @@ class ChunkEncoder:
                 continue
             # a simple word goes without the library's passes before and after the merges
             word = part if spaces else part.lower()
-            if spaces or not word.isascii():
-                word = word.encode().decode("latin-1").translate(letters)
+            word = word.replace(" ", letters[32]) if word.isascii() else word.encode().decode("latin-1").translate(letters)
             parts[part] = array("I", [t.id for t in tokenize(word)]).tobytes()
         for part, ids in zip(others, self.library_ids(others), strict=True):
             parts[part] = array("I", ids).tobytes()
@@ -143,18 +128,18 @@ class ChunkEncoder:
         self.used = total
         return range(first, self.chunks)
 
-    def by_string(self, chunks: list[str] | list[bytes]) -> np.ndarray:
-        """The places of chunks, by a dictionary; words come as bytes."""
+    def by_string(self, chunks: list[bytes]) -> np.ndarray:
+        """The places of chunks, by a dictionary."""
         places = np.fromiter(map(self.places.get, chunks, repeat(-1)), np.int64, len(chunks))
         if len(missed := np.flatnonzero(places < 0)):
             every = [chunks[i] for i in missed.tolist()]
             new = list(dict.fromkeys(every))
-            self.places.update(zip(new, self.keep(self.chunk_ids([self.raw(c) if self.spaces else c.decode() for c in new])), strict=True))
+            self.places.update(zip(new, self.keep(self.chunk_ids([c.decode() for c in new])), strict=True))
             places[missed] = np.fromiter(map(self.places.__getitem__, every), np.int64, len(every))
         return places
 
     def by_key(self, buffer: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The places of words of up to ``SHORT`` bytes."""
+        """The places of chunks of up to ``SHORT`` bytes."""
         low, high = word_keys(buffer, starts, sizes)
         numbers = self.table.find(low, high)
         if len(missed := np.flatnonzero(numbers < 0)):
@@ -185,15 +170,9 @@ class ChunkEncoder:
 
     def chunk_places(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """The texts that go through whole, the places of the chunks of all others, and the number of chunks before each text and in all."""
-        split = [self.split(t) for t in texts]
-        chunk_ends = np.concatenate([[0], np.cumsum([len(s or ()) for s in split])]).astype(np.int64)
-        return [i for i, s in enumerate(split) if s is None], self.by_string([c for s in split if s for c in s]), chunk_ends
-
-    def word_places(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
-        """As ``chunk_places``, for a vocabulary that drops white space."""
         bodies = [self.body(t) for t in texts]
-        buffer = b"\n".join([b"", *(b or b"" for b in bodies), bytes(16)])
-        starts, ends = word_bounds(np.frombuffer(buffer, np.uint8)[:-16])
+        buffer = GAP.join([b"", *(b or b"" for b in bodies), GAP * 16])
+        starts, ends = (piece_bounds if self.spaces else word_bounds)(np.frombuffer(buffer, np.uint8))
         sizes = ends - starts
         places = np.empty(len(starts), np.int64)
         short, long = np.flatnonzero(sizes <= SHORT), np.flatnonzero(sizes > SHORT)
@@ -203,9 +182,9 @@ class ChunkEncoder:
         return [i for i, b in enumerate(bodies) if b is None], places, np.concatenate([[0], np.searchsorted(starts, text_ends)])
 
     def looked_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.chunks > self.limit:
+        if self.chunks + len(self.places) > self.limit:
             self.forget()
-        whole, places, chunk_ends = self.chunk_places(texts) if self.spaces else self.word_places(texts)
+        whole, places, chunk_ends = self.chunk_places(texts)
         sizes = self.sizes[places]
         flat = self.pool[np.repeat(self.starts[places] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
         ends = np.concatenate([[0], np.cumsum(sizes)])

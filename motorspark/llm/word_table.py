@@ -1,6 +1,7 @@
 """Words of a byte buffer, and the numbers of those met before, found for all words of a buffer at once.
 
-A word of up to 15 bytes is its own key: its bytes and its length in two 64-bit numbers, so equal keys are equal words.
+Texts stand in a buffer between carriage returns, which none of them holds. A word of up to 15 bytes is its own key: its
+bytes and its length in two 64-bit numbers, so equal keys are equal words.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ import string
 import numpy as np
 
 SHORT = 15
+GAP = b"\r"
 PUNCTUATION = ".,;:!?|#$%&*()"
 WHITE, MARK, ALNUM, OTHER = 0, 1, 2, 4
 KINDS = np.full(256, OTHER, np.uint8)
-KINDS[[*b" \n"]], KINDS[[*PUNCTUATION.encode()]], KINDS[[*(string.ascii_letters + string.digits).encode()]] = WHITE, MARK, ALNUM
+KINDS[[*b" \n" + GAP]], KINDS[[*PUNCTUATION.encode()]], KINDS[[*(string.ascii_letters + string.digits).encode()]] = WHITE, MARK, ALNUM
 #: The first ``n`` bytes of eight.
 MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
@@ -30,6 +32,21 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.flatnonzero((last != WHITE) & ((now == WHITE) | cut)) + 1
 
 
+def piece_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces of bytes that begin and end with a gap between texts; pieces cover all of every text.
+
+    Cuts are those of words, but a space goes with the word after it. A line end before a word is a piece, and so is other
+    white space between two words but for the last sign, or all of it at the end of a text.
+    """
+    kinds, gap = KINDS[data], data == GAP[0]
+    white = (kinds == WHITE) & ~gap
+    cut = kinds[:-2] * kinds[1:-1] == MARK * ALNUM
+    cut |= white[1:-1] & (~white[:-2] | (kinds[2:] != WHITE))
+    cut |= (data[:-2] == ord("\n")) & (kinds[1:-1] != WHITE)
+    starts = (cut | gap[:-2]) & ~gap[1:-1]
+    return np.flatnonzero(starts) + 1, np.flatnonzero((starts | gap[1:-1]) & ~gap[:-2]) + 1
+
+
 def word_keys(padded: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys of words of up to ``SHORT`` bytes; 16 bytes follow the last word in ``padded``."""
     eights = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
